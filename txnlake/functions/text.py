@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnlake.functions.fixed_values import (
     ARABIC_DIGITS_AND_MARKS,
@@ -85,7 +86,7 @@ def words(*cols: Column) -> Column:
 
 def split_list(col: Column) -> Column:
     """Parts of a comma-joined list, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(col, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(col, ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def json_strings(col: Column) -> Column:
@@ -98,7 +99,7 @@ def sha256(*cols: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 

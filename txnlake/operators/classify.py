@@ -214,7 +214,7 @@ def match_regex(df: DataFrame, merchant: str, rules: Sequence[dict], out: str =
 
 def match_tag(df: DataFrame, tags: str, rules: Sequence[dict], out: str = "rule_idx") -> DataFrame:
     """Adds the first rule whose ``match_tag`` is among the row's tags, without regard to case."""
-    lowered = F.transform(F.col(tags), F.lower)
+    lowered = F.transform(F.col(tags), lambda t: F.lower(t))
     choices = [(F.array_contains(lowered, r["match_tag"].lower()), i) for i, r in enumerate(rules) if r.get("match_tag")]
     return df.withColumn(out, first_match(choices))
 
