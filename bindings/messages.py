@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.registry import WITH_MESSAGES, longs, message_table, query, read, rounded, scratch
+from bindings.registry import WITH_MESSAGES, longs, message_table, query, read, rounded, scratch, spread
 from txnlake.functions import similarity, text
 from txnlake.functions.fixed_values import BANK_PATTERNS, PROMO_ARABIC, PROMO_LATIN
 from txnlake.functions.templates import STOCK_TEMPLATES
@@ -282,7 +282,7 @@ def _(spark, sf):
 @query("c8_identify_bank")
 def _(spark, sf):
     """With fuzzy matching of what no pattern found; checked against brute force in the tests."""
-    return classify.identify_bank(read(spark, sf, "conversations")).select("conv_id", "turn", "bank_id", "bank_score")
+    return classify.identify_bank(spread(read(spark, sf, "conversations"))).select("conv_id", "turn", "bank_id", "bank_score")
 
 
 @query("g28_bank_statistics", WITH_MESSAGES + f"SELECT bank_id, count(*) AS count FROM (SELECT {BANK_CASE} AS bank_id FROM messages) GROUP BY 1")
@@ -303,11 +303,11 @@ X15_COLUMNS = ["message_id", "amount", "currency", "date", "payee", "transaction
 
 
 @query("x15_messages_to_ledger", WITH_PARSED + f""", acc AS ({ACCOUNTS}),
- d AS (SELECT *, {STATE_SQL} AS transaction_state, {RESOLVED} AS at, try_cast(replace(amount, ',', '') AS decimal(28,10)) AS number FROM parsed),
- w AS (SELECT *, (amount IS NULL)::INT + (coalesce(number, 1) <= 0)::INT + (currency IS NULL)::INT + (date IS NOT NULL AND at IS NULL)::INT AS warned FROM d),
+ d AS (SELECT *, {STATE_SQL} AS transaction_state, {RESOLVED} AS day_at, try_cast(replace(amount, ',', '') AS decimal(28,10)) AS number FROM parsed),
+ w AS (SELECT *, (amount IS NULL)::INT + (coalesce(number, 1) <= 0)::INT + (currency IS NULL)::INT + (date IS NOT NULL AND day_at IS NULL)::INT AS warned FROM d),
  j AS (SELECT w.*, acc.account_id AS known, acc.account_type AS known_type FROM w LEFT JOIN acc ON w.card_suffix = acc.card_suffix),
  k AS (SELECT *, CASE WHEN card_suffix IS NOT NULL THEN coalesce(known_type, 'Unknown') END AS kind FROM j)
- SELECT message_id, number::DOUBLE AS amount, upper(currency) AS currency, strftime(at, '%Y-%m-%d') AS date, payee, transaction_state,
+ SELECT message_id, number::DOUBLE AS amount, upper(currency) AS currency, strftime(day_at, '%Y-%m-%d') AS date, payee, transaction_state,
  CASE WHEN card_suffix IS NOT NULL THEN coalesce(known, 'unknown_' || card_suffix) END AS account_id, kind AS account_type,
  CASE WHEN number >= 10000 THEN 'high' WHEN kind = 'Credit' AND number >= 5000 THEN 'medium' ELSE 'normal' END AS urgency,
  CASE WHEN amount IS NULL OR warned >= 2 THEN 'low' WHEN warned = 1 THEN 'medium' WHEN date IS NOT NULL THEN 'high' ELSE confidence END AS confidence,

@@ -138,22 +138,80 @@ def best_name_udf(patterns: Sequence[tuple[int, str]], threshold: float):
     return best_name
 
 
+class TextBatch:
+    """Texts laid end to end with room between them, so that one pass scores a pattern on all."""
+
+    def __init__(self, texts: Sequence[str], gap: int):
+        self.lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        self.starts = gap + np.concatenate(([0], np.cumsum(self.lengths + gap)[:-1])).astype(np.int64)
+        codes = np.zeros(int((self.lengths + gap).sum()) + gap, dtype=np.uint32)
+        for start, t in zip(self.starts, texts):
+            codes[start:start + len(t)] = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+        self.letters, self.places = np.unique(codes, return_inverse=True)
+
+    def partial_ratios(self, pattern: str) -> np.ndarray:
+        """Partial ratio of a pattern no longer than any text against every text of the batch."""
+        m = len(pattern)
+        kind = np.uint8 if m <= 8 else np.uint16 if m <= 16 else np.uint32 if m <= 32 else np.uint64
+        full = kind((1 << m) - 1)
+        table = np.zeros(len(self.letters), dtype=kind)
+        for i, ch in enumerate(pattern):
+            table[self.letters == ord(ch)] |= kind(1 << i)
+        hits = table[self.places]
+        n = len(hits) - m + 1
+        free = np.full(n, full, dtype=kind)
+        hit, rest = np.empty_like(free), np.empty_like(free)
+        for step in range(m):
+            np.bitwise_and(free, hits[step:step + n], out=hit)
+            np.subtract(free, hit, out=rest)
+            np.add(free, hit, out=free)
+            np.bitwise_or(free, rest, out=free)
+            np.bitwise_and(free, full, out=free)
+        common = m - np.bitwise_count(free).astype(np.int64)
+        # Stretch i of a text starts at start + i, for i from 1 - m up to its length - 1.
+        best = np.zeros(len(self.lengths))
+        ends = np.arange(1, m)
+        for j, (start, length) in enumerate(zip(self.starts, self.lengths)):
+            head = common[start - m + 1:start]
+            body = common[start:start + length - m + 1]
+            tail = common[start + length - m + 1:start + length]
+            top = 200.0 * body.max() / (2 * m)
+            if m > 1:
+                top = max(top, (200.0 * head / (m + ends)).max(), (200.0 * tail / (m + ends[::-1])).max())
+            best[j] = top
+        return best
+
+
 def best_group_udf(groups: Sequence[Sequence[str]], threshold: float):
     """UDF: (group idx, score); a group scores by its first pattern over ``threshold``."""
     listed = [[p.lower() for p in g] for g in groups]
-
-    def choose(text: str) -> tuple:
-        best = (None, None)
-        lowered = text.lower()
-        for i, patterns in enumerate(listed):
-            score = next((s for p in patterns if (s := partial_ratio(p, lowered)) >= threshold), None)
-            if score is not None and (best[1] is None or score > best[1]):
-                best = (i, score)
-        return best
+    longest = max((len(p) for g in listed for p in g), default=0)
+
+    def scores(texts: list[str]) -> list[tuple]:
+        idx, score = np.full(len(texts), -1), np.zeros(len(texts))
+        long = [i for i, t in enumerate(texts) if len(t) >= longest]
+        short = [i for i, t in enumerate(texts) if len(t) < longest]
+        batch = TextBatch([texts[i] for i in long], longest) if long and longest <= 64 else None
+        if batch is None:
+            short = list(range(len(texts)))
+        for g, patterns in enumerate(listed):
+            first = np.full(len(texts), -1.0)
+            for p in patterns:
+                found = np.zeros(len(texts))
+                if batch is not None:
+                    found[long] = batch.partial_ratios(p)
+                for i in short:
+                    found[i] = partial_ratio(p, texts[i])
+                first = np.where((first < 0) & (found >= threshold), found, first)
+            better = first > score
+            idx[better], score[better] = g, first[better]
+        return [(int(i), float(s)) if i >= 0 else (None, None) for i, s in zip(idx, score)]
 
     @F.pandas_udf("idx int, score double")
     def best_group(texts: pd.Series) -> pd.DataFrame:
-        return _memo(texts, choose)
+        distinct = list(texts.dropna().unique())
+        found = dict(zip(distinct, scores([t.lower() for t in distinct])))
+        return _memo(texts, lambda t: found[t])
 
     return best_group
 

@@ -1,6 +1,6 @@
 """Message templates: one regular expression per field, built from short word lists.
 
-A template is ``{"bank", "name", "fields": {field: (pattern, group_number)}, "required"}``.
+A template is ``{"bank", "name", "fields": {field: (pattern, group_number)}, "required", "needs"}``.
 Templates written elsewhere with named groups come in through ``from_named_patterns``.
 """
 
@@ -12,19 +12,22 @@ AMOUNT = r"\d+(?:[,.]\d{2})?"
 SLASH_DATE = r"\d{2}[/-]\d{2}[/-]\d{2,4}"
 LONG_YEAR_DATE = r"\d{2}[/-]\d{2}[/-]\d{4}"
 ISO_DATE = r"\d{4}[/-]\d{2}[/-]\d{2}"
+ARABIC = r"[\u0600-\u06FF]"
 LATIN_NAME = r"[A-Za-z0-9\s]+?"
 ARABIC_NAME = r"[\u0600-\u06FFA-Za-z0-9\s]+?"
 
 
 def build(bank, name, required, amount, currency, date, payee, kinds, card, date_shape=SLASH_DATE,
-          payee_shape=LATIN_NAME, payee_end=r"\s+on|\.|$", card_gap=r"\s+"):
-    """A template from its word lists; each list is a ``|``-separated alternative."""
-    if payee_end == r"\s":
-        payee_end = r"\s|$"
+          payee_shape=LATIN_NAME, payee_end=r"\s+on|\.|$", card_gap=r"\s+", needs=None):
+    """A template from its word lists; each list is a ``|``-separated alternative.
+
+    ``needs`` is a pattern every matching message must contain, a cheap test before the fields.
+    """
     return {
         "bank": bank,
         "name": name,
         "required": required,
+        "needs": needs,
         "fields": {
             "amount": (rf"(?:{amount})\s+({AMOUNT})", 1),
             "currency": (rf"(?:{AMOUNT})\s+({currency})", 1),
@@ -65,25 +68,25 @@ STOCK_TEMPLATES = [
           date_shape=f"{SLASH_DATE}|{ISO_DATE}"),
     build("HSBC", "HSBC Arabic Transaction", ["amount"],
           "خصم|دفع|مبلغ", "جنيه|دولار|يورو|ريال", "في|بتاريخ", "في|من|الى",
-          "صراف|شراء|سحب|تحويل|دفع", "رقم|بطاقة", payee_shape=ARABIC_NAME, payee_end=r"\s"),
+          "صراف|شراء|سحب|تحويل|دفع", "رقم|بطاقة", payee_shape=ARABIC_NAME, payee_end=r"\s|$", needs=ARABIC),
     build("CIB", "CIB Standard Transaction", ["amount", "currency"],
           "charged|debited|of|amount", "EGP|USD|EUR", "on|date", "at|from",
           "POS|ATM|Online|Purchase", "card ending|ending", payee_end=r"\s+on|\.|,"),
     build("CIB", "CIB Arabic Transaction", ["amount"],
           "خصم|دفع|مبلغ", "جنيه|دولار", "في|بتاريخ", "في|من",
-          "شراء|سحب|نقطة بيع", "بطاقة رقم|رقم", payee_shape=ARABIC_NAME, payee_end=r"\s"),
+          "شراء|سحب|نقطة بيع", "بطاقة رقم|رقم", payee_shape=ARABIC_NAME, payee_end=r"\s|$", needs=ARABIC),
     build("NBE", "NBE Standard Transaction", ["amount", "currency"],
           "charged|debited|withdrawal|of", "EGP|USD", "on|date", "at|merchant",
           "POS|ATM|Purchase|Withdrawal", "card", date_shape=LONG_YEAR_DATE, payee_end=r"\s|\.|,|$"),
     build("NBE", "NBE Arabic Transaction", ["amount"],
           "خصم|سحب|مبلغ", "جنيه|دولار", "في|بتاريخ", "من|في",
-          "صراف آلي|نقطة بيع|سحب", "بطاقة", date_shape=LONG_YEAR_DATE, payee_shape=ARABIC_NAME, payee_end=r"\s"),
+          "صراف آلي|نقطة بيع|سحب", "بطاقة", date_shape=LONG_YEAR_DATE, payee_shape=ARABIC_NAME, payee_end=r"\s|$", needs=ARABIC),
     build("QNB", "QNB Standard Transaction", ["amount", "currency"],
           "charged|debited|amount|of", "EGP|USD|SAR", "on|date", "at|from",
           "POS|ATM|Online", "ending"),
     build("QNB", "QNB Arabic Transaction", ["amount"],
           "خصم|دفع|مبلغ", "جنيه|ريال", "في|بتاريخ", "في|من",
-          "نقطة بيع|صراف|إلكتروني", "رقم", date_shape=LONG_YEAR_DATE, payee_shape=ARABIC_NAME, payee_end=r"\s"),
+          "نقطة بيع|صراف|إلكتروني", "رقم", date_shape=LONG_YEAR_DATE, payee_shape=ARABIC_NAME, payee_end=r"\s|$", needs=ARABIC),
     build("Generic_Bank", "Generic Transaction", ["amount"],
           "charged|debited|amount|transaction|of|paid", "EGP|USD|EUR|SAR|AED|GBP", "on|date", "at|from|to|merchant",
           "POS|ATM|Online|Purchase|Withdrawal|Transfer|Payment", r"ending|card|card ending|\*\*",
@@ -92,5 +95,5 @@ STOCK_TEMPLATES = [
     build("Generic_Bank", "Generic Arabic Transaction", ["amount"],
           "خصم|دفع|مبلغ|تحويل", "جنيه|دولار|يورو|ريال", "في|بتاريخ", "في|من|الى|التاجر",
           "صراف|شراء|سحب|تحويل|دفع|نقطة بيع", "رقم|بطاقة|ينتهي",
-          payee_shape=r"[\u0600-\u06FFA-Za-z0-9\s]{3,30}?", payee_end=r"\s"),
+          payee_shape=r"[\u0600-\u06FFA-Za-z0-9\s]{3,30}?", payee_end=r"\s|$", needs=ARABIC),
 ]

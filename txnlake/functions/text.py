@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Sequence
 
@@ -37,9 +38,24 @@ def merchant_key(col: Column) -> Column:
     return blank_to_null(F.lower(col))
 
 
+FORMAT_SHAPES = {
+    "yyyy": r"\d{4}", "MMMM": r"\p{L}+", "MMM": r"\p{L}{3}", "SSSSSS": r"\d{6}",
+    "M": r"\d{1,2}", "d": r"\d{1,2}", "H": r"\d{1,2}", "m": r"\d{1,2}", "s": r"\d{1,2}",
+}
+
+
+def date_shape(fmt: str) -> str:
+    """A pattern for the text a date format can read."""
+    tokens = re.findall(r"y+|M+|d+|H+|m+|s+|S+|'[^']*'|.", fmt)
+    return "^" + "".join(FORMAT_SHAPES.get(t) or re.escape(t.strip("'") if len(t) > 1 else t) for t in tokens) + "$"
+
+
 def parse_timestamp(col: Column, formats: Sequence[str] = TABLE_DATE_FORMATS) -> Column:
-    """The first format that parses wins; NULL when none does."""
-    return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in formats])
+    """The first format that parses wins; NULL when none does.
+
+    A failed parse costs an exception in the JVM, so a format is tried only on text of its shape.
+    """
+    return F.coalesce(*[F.when(col.rlike(date_shape(f)), F.try_to_timestamp(col, F.lit(f))) for f in formats])
 
 
 def reformat_date(col: Column, formats: Sequence[str] = TABLE_DATE_FORMATS, out: str = "yyyy-MM-dd") -> Column:

@@ -115,17 +115,34 @@ def bank_statistics(df: DataFrame) -> DataFrame:
     return df.groupBy("bank_id").agg(F.count("*").alias("count"))
 
 
-def matched_keywords(message: Column, latin: Sequence[str] = PROMO_LATIN, arabic: Sequence[str] = PROMO_ARABIC) -> Column:
-    """Sorted keywords in the text: Latin ones as whole words without regard to case, Arabic ones anywhere."""
-    lowered = F.lower(message)
+def _whole_word(keyword: str) -> str:
+    return rf"\b{re.escape(keyword.lower())}\b"
+
+
+def is_promotional(message: Column, latin: Sequence[str] = PROMO_LATIN, arabic: Sequence[str] = PROMO_ARABIC) -> Column:
+    """Whether any keyword is in the text, as one pattern per script."""
+    found = F.lit(False)
+    if latin:
+        found = found | F.lower(message).rlike("(?U)(?:" + "|".join(_whole_word(k) for k in latin) + ")")
+    if arabic:
+        found = found | message.rlike("|".join(re.escape(k) for k in arabic))
+    return found
+
+
+def with_keywords(
+    df: DataFrame, column: str, latin: Sequence[str] = PROMO_LATIN, arabic: Sequence[str] = PROMO_ARABIC,
+    out: str = "matched_keywords",
+) -> DataFrame:
+    """Adds the sorted keywords in the text: Latin ones as whole words in any case, Arabic ones anywhere.
+
+    The lower-case text is a column first, so that it is made once, not once per keyword.
+    """
+    staged = df.withColumn("_lower", F.lower(F.col(column)))
     hits = [
-        F.when(
-            F.contains(lowered, F.lit(k.lower())) & lowered.rlike(rf"(?U)\b{re.escape(k.lower())}\b"), F.lit(k)
-        )
-        for k in latin
+        F.when(F.contains("_lower", F.lit(k.lower())) & F.col("_lower").rlike(f"(?U){_whole_word(k)}"), F.lit(k)) for k in latin
     ]
-    hits += [F.when(F.contains(message, F.lit(k)), F.lit(k)) for k in arabic]
-    return F.array_sort(F.array_compact(F.array(*hits)))
+    hits += [F.when(F.contains(F.col(column), F.lit(k)), F.lit(k)) for k in arabic]
+    return staged.withColumn(out, F.array_sort(F.array_compact(F.array(*hits)))).drop("_lower")
 
 
 def classify_promo(
@@ -133,7 +150,7 @@ def classify_promo(
 ) -> DataFrame:
     """Adds ``skip``, ``matched_keywords``, ``promo_confidence`` and ``reason``."""
     message = F.coalesce(text.stripped(F.col(column)), F.lit(""))
-    staged = df.withColumn("_message", message).withColumn("matched_keywords", matched_keywords(F.col("_message"), latin, arabic))
+    staged = with_keywords(df.withColumn("_message", message), "_message", latin, arabic)
     n = F.size("matched_keywords")
     shown = F.concat_ws(", ", F.slice("matched_keywords", 1, 3))
     more = F.when(n > 3, F.concat(F.lit(" (and "), (n - 3).cast("string"), F.lit(" more)"))).otherwise("")
@@ -163,7 +180,7 @@ def classify_state(
 ) -> DataFrame:
     """OTP, DECLINED, PROMO, UNKNOWN (no amount) or MONETARY: the first that holds."""
     message = F.coalesce(F.col(column), F.lit(""))
-    promo = F.size(matched_keywords(text.stripped(message), latin, arabic)) > 0
+    promo = is_promotional(message, latin, arabic)
     return df.withColumn(
         out,
         F.when(message.rlike(java_pattern(OTP_PATTERN)), "OTP")

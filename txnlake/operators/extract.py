@@ -43,21 +43,29 @@ def repair_text(df: DataFrame, column: str = "text") -> DataFrame:
     return df.withColumns({column: fixed, "text_repaired": F.coalesce(fixed != F.col(column), F.lit(False))})
 
 
-def _value(message: Column, pattern: str, groups: int | Sequence[int]) -> Column:
-    numbers = [groups] if isinstance(groups, int) else list(groups)
-    found = [F.nullif(F.regexp_extract(message, java_pattern(pattern), n), F.lit("")) for n in numbers]
-    return text.western_digits(text.stripped(found[0] if len(found) == 1 else F.coalesce(*found)))
+def _found(message: Column, pattern: str, group: int) -> Column:
+    """The group's text; empty where the pattern does not match."""
+    return F.regexp_extract(message, java_pattern(pattern), group)
+
+
+def _groups(spec: tuple) -> list[int]:
+    return [spec[1]] if isinstance(spec[1], int) else list(spec[1])
+
+
+def _cleaned(found: Sequence[Column]) -> Column:
+    value = F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
+    return text.western_digits(text.stripped(value))
 
 
 def extract_fields(message: Column, template: dict) -> dict[str, Column]:
     """One column per field of the template; NULL where its pattern does not match."""
-    return {field: _value(message, *spec) for field, spec in template["fields"].items()}
+    return {f: _cleaned([_found(message, spec[0], g) for g in _groups(spec)]) for f, spec in template["fields"].items()}
 
 
 def card_suffix(message: Column, patterns: Sequence[str] = CARD_SUFFIX_PATTERNS) -> Column:
     """The last four digits of the card, by the first pattern that matches."""
     digits = text.western_digits(message)
-    return F.coalesce(*[F.nullif(F.regexp_extract(digits, java_pattern(p), 1), F.lit("")) for p in patterns])
+    return F.coalesce(*[F.nullif(_found(digits, p, 1), F.lit("")) for p in patterns])
 
 
 def extract_card_suffix(df: DataFrame, column: str = "text", out: str = "card_suffix") -> DataFrame:
@@ -88,35 +96,63 @@ def parse_messages(
     """
     message = text.stripped(F.col(column))
     names = list(names or dict.fromkeys([*FIELDS, *[f for t in templates for f in t["fields"]]]))
-    prepared = df.withColumns({"_message": message, "_card": card_suffix(message) if find_card else F.lit(None).cast("string")})
     chosen = [t for t in templates if template_name is None or t["name"] == template_name]
+    prepared = df.withColumn("_message", message)
+    # Every distinct pattern runs once, into a column of its own, and only on messages that can
+    # match; cleaning the found text is a second step, so that nothing is looked for twice.
+    specs = [(t.get("needs"), *spec) for t in chosen for spec in t["fields"].values()]
+    slots = {str(s): (f"_f{i}", s) for i, s in enumerate({str(s): s for s in specs}.values())}
+    tests = {need: f"_n{i}" for i, need in enumerate(sorted({s[0] for s in specs if s[0]}))}
+    raw, clean = {}, {}
+    for name, (need, *spec) in slots.values():
+        numbers = _groups(spec)
+        for g in numbers:
+            found = _found(F.col("_message"), spec[0], g)
+            raw[f"{name}_{g}"] = F.when(F.col(tests[need]), found) if need else found
+        clean[name] = _cleaned([F.col(f"{name}_{g}") for g in numbers])
+    if find_card:
+        prepared = prepared.withColumn("_digits", text.western_digits(F.col("_message")))
+        raw.update({f"_c{i}": _found(F.col("_digits"), p, 1) for i, p in enumerate(CARD_SUFFIX_PATTERNS)})
+        clean["_card"] = F.coalesce(*[F.nullif(F.col(f"_c{i}"), F.lit("")) for i in range(len(CARD_SUFFIX_PATTERNS))])
+    else:
+        clean["_card"] = F.lit(None).cast("string")
+    tested = prepared.withColumns({c: F.col("_message").rlike(need) for need, c in tests.items()}) if tests else prepared
+    prepared = tested.withColumns(raw).withColumns(clean).drop(*raw, *tests.values(), "_digits")
     options = []
-    for i, template in enumerate(chosen):
-        found = extract_fields(F.col("_message"), template)
+    for template in chosen:
+        found = {f: F.col(slots[str((template.get("needs"), *spec))][0]) for f, spec in template["fields"].items()}
+        own_card = "card_suffix" in found
         if find_card:
-            found["card_suffix"] = F.coalesce(found.get("card_suffix", F.lit(None)), F.col("_card"))
+            found["card_suffix"] = F.coalesce(found["card_suffix"], F.col("_card")) if own_card else F.col("_card")
         confidence = template_confidence(found, template["required"])
-        if find_card and "card_suffix" not in template["fields"]:
+        if find_card and not own_card:
             # Without a pattern of its own the card counts as a field only when it was found.
             plain = template_confidence({k: v for k, v in found.items() if k != "card_suffix"}, template["required"])
             confidence = F.when(F.col("_card").isNull(), plain).otherwise(confidence)
-        high = confidence == "high"
         option = F.struct(
             _present(list(found.values())).alias("score"),
-            high.cast("int").alias("high"),
-            F.when(high, F.lit(i)).otherwise(F.lit(-i)).alias("place"),
-            *[found.get(n, F.lit(None).cast("string")).alias(n) for n in names],
             confidence.alias("confidence"),
+            *[found.get(n, F.lit(None).cast("string")).alias(n) for n in names],
             F.lit(template["bank"]).alias("matched_bank"),
             F.lit(template["name"]).alias("matched_template"),
         )
         wanted = F.lit(True) if bank is None else (F.col(bank).isNull() | (F.col(bank) == template["bank"]))
         options.append(F.when(wanted, option))
-    best = prepared.withColumn("_best", F.array_max(F.array_compact(F.array(*options))))
+
+    def rank(option: Column, place: Column) -> Column:
+        high = option["confidence"] == "high"
+        return F.struct(
+            option["score"].alias("score"), high.alias("high"), F.when(high, place).otherwise(-place).alias("place"),
+            option.alias("option"),
+        )
+
+    ranked = F.filter(F.transform(F.array(*options), rank), lambda r: r["score"].isNotNull())
+    best = prepared.withColumn("_best", F.array_max(ranked)["option"])
     good = F.coalesce(F.col("_best.score") > 0, F.lit(False)) & (F.col("_message") != "")
-    missed = F.lit("unknown") if bank is None else F.coalesce(F.col(bank), F.lit("unknown"))
+    missed = F.lit("unknown")
     if bank is not None:
-        missed = F.when(F.col("_best").isNotNull(), missed)
+        banks = sorted({t["bank"] for t in chosen})
+        missed = F.when(F.col(bank).isNull(), missed).when(F.col(bank).isin(banks), F.col(bank))
     return best.select(
         *df.columns,
         *[F.when(good, F.col(f"_best.{n}")).alias(n) for n in names],

@@ -92,7 +92,7 @@ def read_messages_txt(
     export is best split into files. ``read_message_lines`` splits UTF-8 files across tasks.
     """
     lines = _files(spark, path).select(
-        "file_path", "file_mtime", F.posexplode(F.split(F.decode("content", F.lit(encoding)), "\n")).alias("line", "text")
+        "file_path", "file_mtime", F.posexplode(F.split(F.decode("content", encoding), "\n")).alias("line", "text")
     )
     return _first(lines.withColumn("text", text.stripped(F.col("text"))).filter("text != ''"), max_messages)
 
@@ -113,7 +113,7 @@ def read_messages_json(
 ) -> DataFrame:
     """A JSON array of strings per file; empty elements are dropped, other documents give nothing."""
     listed = _files(spark, path).select(
-        "file_path", "file_mtime", F.posexplode(text.json_strings(F.decode("content", F.lit(encoding)))).alias("line", "text")
+        "file_path", "file_mtime", F.posexplode(text.json_strings(F.decode("content", encoding))).alias("line", "text")
     )
     return _first(listed.filter("text is not null and text != ''"), max_messages)
 

@@ -44,15 +44,20 @@ def stream_ingest(
     return (writer.queryName(name) if name else writer).start()
 
 
+def event_time(df: DataFrame, ts: str) -> DataFrame:
+    """Event time as a timestamp; watermarks take no zoneless one."""
+    return df.withColumn(ts, F.col(ts).cast("timestamp"))
+
+
 def stream_dedup(df: DataFrame, ts: str, key: str = "message_hash", delay: str = "1 day") -> DataFrame:
     """Each message once; repeats that arrive within the delay are dropped and state stays bounded."""
-    return df.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    return event_time(df, ts).withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
 def daily_totals(df: DataFrame, ts: str, value: str, delay: str = "2 days") -> DataFrame:
     """Running totals per calendar day; late rows count while the delay lasts."""
     return (
-        df.withWatermark(ts, delay)
+        event_time(df, ts).withWatermark(ts, delay)
         .groupBy(F.window(ts, "1 day").alias("w"))
         .agg(F.sum(value).alias(f"{value}_sum"), F.count("*").alias("transaction_count"))
         .select(F.to_date("w.start").alias("date"), f"{value}_sum", "transaction_count")
