@@ -23,6 +23,11 @@ def _rows(wide: DataFrame, structs: list[Column]) -> DataFrame:
     return wide.select(F.inline(F.array(*structs)))
 
 
+def _nothing(df: DataFrame, schema: str) -> DataFrame:
+    """The report of a table without columns of the kind asked for."""
+    return df.sparkSession.createDataFrame([], schema)
+
+
 def _distinct(column: str, exact: bool) -> Column:
     return F.count_distinct(column) if exact else F.approx_count_distinct(column)
 
@@ -34,6 +39,9 @@ def summary_numeric(df: DataFrame, columns: Sequence[str] | None = None, exact:
     ``exact=False`` uses ``percentile_approx`` instead.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
+    if not cols:
+        stats = ", ".join(f"{c} double" for c in ("mean", "std", "min", "p25", "p50", "p75", "max"))
+        return _nothing(df, f"column string, count long, {stats}, null_count long")
     probs = [0.25, 0.5, 0.75]
     one_pass = not exact or fits(df, [])
     if not exact:
@@ -76,6 +84,8 @@ def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def summary_categorical(df: DataFrame, columns: Sequence[str] | None = None, k: int = 5) -> DataFrame:
     """Distinct values, NULLs and the ``k`` most frequent values per string column."""
     cols = list(columns) if columns is not None else string_columns(df)
+    if not cols:
+        return _nothing(df, "column string, unique_count long, null_count long, rank int, value string, count long")
     counts = _value_counts(df, cols)
     totals = counts.groupBy("column").agg(
         F.count("value").alias("unique_count"),
@@ -97,6 +107,8 @@ def top_values(df: DataFrame, column: str, k: int = 5) -> DataFrame:
 def summary_dates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """First and last date, whole days between them, and NULLs per date column."""
     cols = list(columns) if columns is not None else columns_of(df, *DATES)
+    if not cols:
+        return _nothing(df, "column string, min_date timestamp, max_date timestamp, date_range_days long, null_count long")
     wide = df.agg(
         *[a for c in cols for a in (
             F.min(c).cast("timestamp").alias(f"{c}|lo"), F.max(c).cast("timestamp").alias(f"{c}|hi"),
@@ -295,7 +307,11 @@ def outlier_report(
 ) -> DataFrame:
     """Columns with values outside the IQR bounds: count, share, bounds and the first values."""
     cols = list(columns) if columns is not None else numeric_columns(df)
-    bounds = {c: b for c, b in iqr_bounds(df, cols, k).items() if b}
+    bounds = {c: b for c, b in iqr_bounds(df, cols, k).items() if b} if cols else {}
+    if not bounds:
+        return _nothing(
+            df, "column string, count long, percentage double, lower_bound double, upper_bound double, outlier_values array<double>"
+        )
     parts = []
     rows = df.count()
     for c, (low, high) in bounds.items():

@@ -97,8 +97,10 @@ def full_report(df: DataFrame, order: Sequence[str] = ()) -> dict[str, DataFrame
         "summary_categorical": profile.summary_categorical(df),
         "summary_dates": profile.summary_dates(df),
         "outliers": profile.outlier_report(df, numeric, order=order),
-        "anomalies": anomalies.zscore_anomalies(df, numeric).groupBy("anomaly_column").agg(F.count("*").alias("count")),
     }
+    if numeric:
+        flagged = anomalies.zscore_anomalies(df, numeric)
+        sections["anomalies"] = flagged.groupBy("anomaly_column").agg(F.count("*").alias("count"))
     if len(numeric) > 1:
         sections["correlations"] = profile.correlation_matrix(df, numeric)
     return sections
