@@ -345,6 +345,23 @@ def _(spark, sf):
     )
 
 
+@query("f7_row_id", """SELECT event_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) AS id
+ FROM (SELECT event_id, sha256(event_id || '|' || user_id) AS h FROM events)""")
+def _(spark, sf):
+    return read(spark, sf, "events").select("event_id", text.row_id(F.col("event_id"), F.col("user_id")).alias("id"))
+
+
+@query("f8_numeric_functions", """SELECT event_type, round(max(abs(value - 100)), 4) AS reach, round(quantile_cont(value, 0.9), 4) AS p90,
+ round(stddev_samp(value), 6) AS std_sample, round(stddev_pop(value), 6) AS std_population, round((max(value) - avg(value)) / stddev_samp(value), 6) AS top_z FROM events GROUP BY 1""")
+def _(spark, sf):
+    out = read(spark, sf, "events").groupBy("event_type").agg(
+        F.round(F.max(F.abs(F.col("value") - 100)), 4).alias("reach"), F.round(F.percentile("value", 0.9), 4).alias("p90"),
+        F.stddev_samp("value").alias("std_sample"), F.stddev_pop("value").alias("std_population"),
+        ((F.max("value") - F.avg("value")) / F.stddev_samp("value")).alias("top_z"),
+    )
+    return rounded(out, 6)
+
+
 @query("f9_combined_text", """SELECT o_orderkey, trim(concat_ws(' ', CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END,
  CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderstatus END)) AS t FROM orders""")
 def _(spark, sf):

@@ -94,10 +94,19 @@ def test_percentiles(crowded, keys):
             assert np.allclose([r[f"{col}_p{i}"] for i in range(len(probs))], np.percentile(values, [100 * p for p in probs]))
 
 
-@pytest.mark.parametrize("keys", [[], ["k"]])
-@pytest.mark.parametrize("p", [0.0, 0.5, 0.9, 1.0])
-def test_running_percentile(crowded, keys, p):
-    rows, df = table(crowded, 220)
+def test_running_percentile_of_middling_groups(spark, monkeypatch):
+    monkeypatch.setattr("txnlake.plans.running_percentile.SMALL_GROUP", 10)
+    check_running_percentile(spark, ["k"], 0.9)
+    check_running_percentile(spark, [], 0.25)
+
+
+@pytest.mark.parametrize("keys, p", [([], 0.0), ([], 0.9), (["k"], 0.9), (["k"], 1.0)])
+def test_running_percentile_in_blocks(crowded, keys, p):
+    check_running_percentile(crowded, keys, p)
+
+
+def check_running_percentile(session, keys, p):
+    rows, df = table(session, 220)
     got = collected(running_percentile(df, "v", p, keys, order(), "q", "n"), "q", "n")
     assert len(got) == len(rows)
     members_of = by_key(rows).values() if keys else [sorted(rows, key=lambda r: (r[2], r[0]))]

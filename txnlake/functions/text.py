@@ -115,6 +115,15 @@ def sha256(*cols: Column) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in cols]), 256)
 
 
+def row_id(*cols: Column) -> Column:
+    """A row id: from columns that name the row, the same on every run; random without any."""
+    if not cols:
+        return F.uuid()
+    digest = sha256(*cols)
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    return F.concat_ws("-", *[F.substring(digest, start, length) for start, length in cuts])
+
+
 @F.pandas_udf(T.StringType())
 def _nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))

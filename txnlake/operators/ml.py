@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from txnlake.functions import text
 from txnlake.plans.groups import attach
 
+MAX_BROADCAST_LABELS = 100_000
 INNER = [
     "_text", "_one", "_two", "_terms", "_counts", "_weighted", "_features", "_label", "_weight",
     "_raw", "_probability", "_prediction",
@@ -64,7 +65,9 @@ def train_classifier(
         if not totals["n"]:
             raise ValueError("no labelled rows with text")
         weights = sizes.select(target, (F.lit(float(totals["n"])) / (totals["k"] * F.col("_n"))).alias("_weight"))
-        weighted = attach(rows, weights, [target]).withColumn(target, F.col(target).cast("string"))
+        # Category lists are short; a hint keeps a frequent label from becoming one large partition.
+        side = F.broadcast(weights) if totals["k"] <= MAX_BROADCAST_LABELS else weights
+        weighted = attach(rows, side, [target]).withColumn(target, F.col(target).cast("string"))
         labels = StringIndexer(inputCol=target, outputCol="_label", stringOrderType="alphabetAsc").fit(weighted)
         stages = [
             RegexTokenizer(inputCol="_text", outputCol="_one", pattern=r"(?U)\b\w\w+\b", gaps=False),

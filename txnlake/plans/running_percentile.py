@@ -1,11 +1,15 @@
 """Percentile of all earlier values, for groups of any size.
 
-A group of up to ``SMALL_GROUP`` rows uses the built-in ``percentile`` over a growing frame,
-whose cost is quadratic. Larger groups are cut twice: by time into blocks of consecutive rows
-and by value into bins, both of equal size by exact row number. For a block, the wanted
-percentile of "everything earlier" can only fall among few values: those within a block's
-length of the wanted rank. Only those values travel to the block's task, so the total work
-stays linear in the number of rows and no task sees more than a few blocks' worth of them.
+Three ways, by the size of the group:
+
+* up to ``SMALL_GROUP`` rows: the built-in ``percentile`` over a growing frame, which sorts the
+  frame anew for every row;
+* up to ``BLOCK_ROWS`` rows: one task keeps the values of the group in order and adds row by row;
+* beyond: the group is cut twice, by time into blocks of consecutive rows and by value into bins,
+  both of equal size by exact row number. For a block, the wanted percentile of "everything
+  earlier" can only fall among few values: those within a block's length of the wanted rank.
+  Only those values travel to the block's task, so the total work stays linear in the number of
+  rows and no task sees more than a few blocks' worth of them.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import types as T
 
 from txnlake.plans.groups import attach, durable, null_safe, row_position, rows_per_task
 
-SMALL_GROUP = 2_000
+SMALL_GROUP = 500
 BLOCK_ROWS = 20_000
 
 
@@ -34,23 +38,34 @@ def running_percentile(
     ``order`` must be unique within a group. NULL values count as rows but not as values.
     ``exact=False`` takes Spark's approximate percentile over the same frame.
     """
-    limit = min(SMALL_GROUP, rows_per_task(df.sparkSession))
-    if not keys:
-        sizes = df.agg(F.count("*").alias("_n"))
-        largest = sizes.first()["_n"]
-        if largest <= limit:
-            return _by_window(df, value, p, keys, order, out, seen, exact)
-        return _by_blocks(df, value, p, keys, order, out, seen, largest)
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-    largest = hot.agg(F.max("_n")).first()[0]
-    if largest is None:
+    limit = rows_per_task(df.sparkSession)
+    small, block = min(SMALL_GROUP, limit), min(BLOCK_ROWS, limit)
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    if not exact:
         return _by_window(df, value, p, keys, order, out, seen, exact)
-    marked = hot.select(*keys)
-    cool = df.join(marked, null_safe(df, marked, keys), "left_anti")
-    warm = df.join(marked, null_safe(df, marked, keys), "left_semi")
-    return _by_window(cool, value, p, keys, order, out, seen, exact).unionByName(
-        _by_blocks(warm, value, p, keys, order, out, seen, largest)
-    )
+    found = sizes.agg(
+        F.max("_n").alias("largest"), F.count_if((F.col("_n") > small) & (F.col("_n") <= block)).alias("warm")
+    ).first()
+    largest = found["largest"] or 0
+    if largest <= small:
+        return _by_window(df, value, p, keys, order, out, seen, exact)
+    if not keys:
+        way = _by_group if largest <= block else _by_blocks
+        return way(df, value, p, keys, order, out, seen, largest)
+    over_small, over_block = sizes.filter(F.col("_n") > small), sizes.filter(F.col("_n") > block)
+    warm = over_small.filter(F.col("_n") <= block)
+    result = _by_window(_only(df, over_small, keys, "left_anti"), value, p, keys, order, out, seen, exact)
+    if found["warm"]:
+        result = result.unionByName(_by_group(_only(df, warm, keys, "left_semi"), value, p, keys, order, out, seen, block))
+    if largest > block:
+        result = result.unionByName(_by_blocks(_only(df, over_block, keys, "left_semi"), value, p, keys, order, out, seen, largest))
+    return result
+
+
+def _only(df: DataFrame, sizes: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Rows whose key is (left_semi) or is not (left_anti) listed."""
+    listed = sizes.select(*keys)
+    return df.join(listed, null_safe(df, listed, keys), how)
 
 
 def _by_window(df, value, p, keys, order, out, seen, exact) -> DataFrame:
@@ -60,30 +75,15 @@ def _by_window(df, value, p, keys, order, out, seen, exact) -> DataFrame:
     return df.withColumns({out: at.over(frame), seen: F.count(F.lit(1)).over(frame)})
 
 
-def _by_blocks(df, value, p, keys, order, out, seen, largest) -> DataFrame:
-    size = max(min(BLOCK_ROWS, rows_per_task(df.sparkSession)), math.isqrt(largest) + 1)
-    # One constant key stands in for "the whole table".
-    keyed, group = (df, list(keys)) if keys else (df.withColumn("_all", F.lit(1)), ["_all"])
-    placed = durable(
-        row_position(keyed, group, order, "_pos").withColumn("_block", F.floor((F.col("_pos") - 1) / size))
-    )
-    values = placed.filter(F.col(value).isNotNull()).select(*group, "_pos", "_block", F.col(value).cast("double").alias("_v"))
-    binned = durable(
-        row_position(values, group, [F.col("_v"), F.col("_pos")], "_rank").withColumn(
-            "_bin", F.floor((F.col("_rank") - 1) / size)
-        )
-    )
-    wanted = _candidate_bins(placed, binned, group, value, p)
-    candidates = _candidates(wanted, binned, group, size, largest)
-    facts = wanted.groupBy(*group, "_block").agg(F.min("_below").alias("_base"))
-    earlier = _block_counts(placed, group, value).select(*group, "_block", "_before")
-    own = placed.select(*group, "_block", "_pos", F.col(value).cast("double").alias("_v"), F.lit(True).alias("_own"))
-    fed = own.unionByName(candidates.withColumns({"_pos": F.lit(0).cast("long"), "_own": F.lit(False)}))
-    fed = attach(attach(fed, facts, [*group, "_block"]), earlier, [*group, "_block"])
+def _answers(fed: DataFrame, group: Sequence[str], p: float, out: str) -> DataFrame:
+    """The percentile before each own row of a block, next to the block's candidate values.
 
+    ``_base`` earlier values lie below the candidates, ``_before`` is the number of all earlier ones.
+    """
     kinds = {f.name: f.dataType for f in fed.schema.fields}
     schema = T.StructType([T.StructField(k, kinds[k]) for k in group])
     schema = schema.add("_pos", T.LongType()).add(out, T.DoubleType())
+    listed = list(group)
 
     def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
         mine = pdf[pdf["_own"]].sort_values("_pos")
@@ -102,10 +102,47 @@ def _by_blocks(df, value, p, keys, order, out, seen, largest) -> DataFrame:
             if not pd.isna(v):
                 insort(ranked, v)
                 count += 1
-        return mine[[*group, "_pos"]].assign(**{out: pd.Series(found, index=mine.index, dtype="float64")})
+        return mine[[*listed, "_pos"]].assign(**{out: pd.Series(found, index=mine.index, dtype="float64")})
 
-    answers = fed.groupBy(*group, "_block").applyInPandas(one_block, schema)
-    joined = attach(placed, answers, [*group, "_pos"]).withColumn(seen, F.col("_pos") - 1)
+    return fed.groupBy(*group, "_block").applyInPandas(one_block, schema)
+
+
+def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """One constant key stands in for "the whole table"."""
+    return (df, list(keys)) if keys else (df.withColumn("_all", F.lit(1)), ["_all"])
+
+
+def _by_group(df, value, p, keys, order, out, seen, largest) -> DataFrame:
+    keyed, group = _keyed(df, keys)
+    placed = row_position(keyed, group, order, "_pos", small=True)
+    fed = placed.select(
+        *group, "_pos", F.lit(0).alias("_block"), F.col(value).cast("double").alias("_v"), F.lit(True).alias("_own"),
+        F.lit(None).cast("long").alias("_base"), F.lit(0).cast("long").alias("_before"),
+    )
+    joined = attach(placed, _answers(fed, group, p, out), [*group, "_pos"])
+    return joined.withColumn(seen, F.col("_pos") - 1).drop("_pos", "_all")
+
+
+def _by_blocks(df, value, p, keys, order, out, seen, largest) -> DataFrame:
+    size = max(min(BLOCK_ROWS, rows_per_task(df.sparkSession)), math.isqrt(largest) + 1)
+    keyed, group = _keyed(df, keys)
+    placed = durable(
+        row_position(keyed, group, order, "_pos").withColumn("_block", F.floor((F.col("_pos") - 1) / size))
+    )
+    values = placed.filter(F.col(value).isNotNull()).select(*group, "_pos", "_block", F.col(value).cast("double").alias("_v"))
+    binned = durable(
+        row_position(values, group, [F.col("_v"), F.col("_pos")], "_rank").withColumn(
+            "_bin", F.floor((F.col("_rank") - 1) / size)
+        )
+    )
+    wanted = durable(_candidate_bins(placed, binned, group, value, p))
+    candidates = _candidates(wanted, binned, group, size, largest)
+    facts = wanted.groupBy(*group, "_block").agg(F.min("_below").alias("_base"))
+    earlier = _block_counts(placed, group, value).select(*group, "_block", "_before")
+    own = placed.select(*group, "_block", "_pos", F.col(value).cast("double").alias("_v"), F.lit(True).alias("_own"))
+    fed = own.unionByName(candidates.withColumns({"_pos": F.lit(0).cast("long"), "_own": F.lit(False)}))
+    fed = attach(attach(fed, facts, [*group, "_block"]), earlier, [*group, "_block"])
+    joined = attach(placed, _answers(fed, group, p, out), [*group, "_pos"]).withColumn(seen, F.col("_pos") - 1)
     return joined.drop("_pos", "_block", "_all")
 
 
