@@ -94,6 +94,17 @@ def test_percentiles(crowded, keys):
             assert np.allclose([r[f"{col}_p{i}"] for i in range(len(probs))], np.percentile(values, [100 * p for p in probs]))
 
 
+@pytest.mark.parametrize("accuracy", [1_000, 3])
+def test_column_percentiles_between_approximate_neighbours(crowded, monkeypatch, accuracy):
+    monkeypatch.setattr(groups, "SKETCH_ACCURACY", accuracy)
+    rows, df = table(crowded, 400)
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = groups.column_percentiles(df.withColumn("none", F.lit(None).cast("double")), ["v", "t", "none"], probs)
+    for col, at in (("v", 3), ("t", 2)):
+        assert np.allclose(got[col], np.percentile([r[at] for r in rows if r[at] is not None], [100 * p for p in probs]))
+    assert got["none"] == [None] * len(probs)
+
+
 def test_running_percentile_of_middling_groups(spark, monkeypatch):
     monkeypatch.setattr("txnlake.plans.running_percentile.SMALL_GROUP", 10)
     check_running_percentile(spark, ["k"], 0.9)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from txnlake.functions import text
 from txnlake.functions.fixed_values import TABLE_DATE_FORMATS
 from txnlake.operators.clean import columns_of, iqr_bounds, numeric_columns, string_columns
-from txnlake.plans.groups import column_percentiles, fits
+from txnlake.plans.groups import column_percentiles, plain_percentiles
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 DATES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -43,7 +43,7 @@ def summary_numeric(df: DataFrame, columns: Sequence[str] | None = None, exact:
         stats = ", ".join(f"{c} double" for c in ("mean", "std", "min", "p25", "p50", "p75", "max"))
         return _nothing(df, f"column string, count long, {stats}, null_count long")
     probs = [0.25, 0.5, 0.75]
-    one_pass = not exact or fits(df, [])
+    one_pass = not exact or plain_percentiles(df)
     if not exact:
         quart = {c: F.percentile_approx(c, probs) for c in cols}
     elif one_pass:
@@ -197,7 +197,7 @@ def infer_schema(df: DataFrame, order: Sequence[str] = (), exact: bool = True, s
     fields = df.schema.fields
     rows = df.count()
     numeric = set(numeric_columns(df))
-    if numeric and not (exact and fits(df, [])):
+    if numeric and not (exact and plain_percentiles(df)):
         medians = (
             {c: v[0] for c, v in column_percentiles(df, sorted(numeric), [0.5]).items()}
             if exact else {c: None for c in numeric}

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 ROWS_PER_TASK_CONF = "spark.txnlake.rowsPerTask"
 DEFAULT_ROWS_PER_TASK = 1_000_000
 MAX_SLICES = 10_000
+PLAIN_PERCENTILE_ROWS = 100_000
+SKETCH_ACCURACY = 1_000
 
 
 def rows_per_task(spark: SparkSession) -> int:
@@ -220,7 +222,61 @@ def _ranked_percentiles(df: DataFrame, keys: Sequence[str], column: str, probs:
     return ranked.groupBy(*keys).agg(*aggs).select(*keys, *outs)
 
 
+def plain_percentiles(df: DataFrame) -> bool:
+    """True for a table small enough to bring all its distinct values to one task."""
+    return fits(df, [], min(PLAIN_PERCENTILE_ROWS, rows_per_task(df.sparkSession)))
+
+
 def column_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list]:
-    """Percentiles of whole columns as driver scalars, for use as literal bounds in filters."""
-    row = percentiles(df, [], columns, probs).first()
+    """Exact percentiles of whole columns as driver scalars, for use as literal bounds in filters.
+
+    A larger table is scanned for approximate percentiles first. They bracket each wanted rank so
+    closely that only a sliver of the values needs ranking; everything below is just counted.
+    """
+    if plain_percentiles(df):
+        row = percentiles(df, [], columns, probs, small=True).first()
+    else:
+        row = _bracketed_percentiles(df, columns, probs) or percentiles(df, [], columns, probs, small=False).first()
     return {c: [row[f"{c}_p{i}"] for i in range(len(probs))] for c in columns}
+
+
+def _bracketed_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, float | None] | None:
+    """Percentiles from values between approximate neighbours; None should a rank fall outside."""
+    value = {c: F.col(c).cast("double") for c in columns}
+    asked = [min(max(p + side, 0.0), 1.0) for p in probs for side in (-2 / SKETCH_ACCURACY, 2 / SKETCH_ACCURACY)]
+    near = df.agg(
+        *[F.count(v).alias(f"{c}|n") for c, v in value.items()],
+        *[F.percentile_approx(v, asked, SKETCH_ACCURACY).alias(f"{c}|q") for c, v in value.items()],
+    ).first()
+    spots, result = [], {}
+    for c in columns:
+        for i, p in enumerate(probs):
+            result[f"{c}_p{i}"] = None
+            if near[f"{c}|n"]:
+                spots.append((c, i, (near[f"{c}|n"] - 1) * p, near[f"{c}|q"][2 * i], near[f"{c}|q"][2 * i + 1]))
+    if not spots:
+        return result
+    below = df.agg(*[F.count_if(value[c] < low).alias(f"b{s}") for s, (c, _, _, low, _) in enumerate(spots)]).first()
+    held = [
+        F.when(value[c].between(low, high), F.struct(F.lit(s).alias("_spot"), value[c].alias("_v")))
+        for s, (c, _, _, low, high) in enumerate(spots)
+    ]
+    near_any = reduce(lambda a, b: a | b, [value[c].between(low, high) for c, _, _, low, high in spots])
+    inside = df.filter(near_any).select(F.explode(F.array_compact(F.array(*held))).alias("x"))
+    counted = durable(inside.groupBy("x._spot", "x._v").agg(F.count("*").alias("_n")))
+    ranked = running_total(counted, ["_spot"], [F.col("_v")], F.col("_n"), "_upto")
+    wanted = F.lit(False)
+    for s, (_, _, spot, _, _) in enumerate(spots):
+        for rank in {math.floor(spot) - below[f"b{s}"], math.ceil(spot) - below[f"b{s}"]}:
+            wanted = wanted | ((F.col("_spot") == s) & (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto")))
+    found = ranked.filter(wanted).collect()
+    for s, (c, i, spot, _, _) in enumerate(spots):
+        ends = []
+        for rank in (math.floor(spot), math.ceil(spot)):
+            at = rank - below[f"b{s}"]
+            ends += [r["_v"] for r in found if r["_spot"] == s and r["_upto"] - r["_n"] <= at < r["_upto"]]
+        if len(ends) != 2:
+            return None
+        share = spot - math.floor(spot)
+        result[f"{c}_p{i}"] = (1 - share) * ends[0] + share * ends[1]
+    return result
