@@ -302,10 +302,10 @@ def _(spark, sf):
 
 @query("g34_recommend_allocations", f"""WITH {_cash_sql('grp')},
  p AS (SELECT * FROM (VALUES ('conservative', 6, 0.45::DOUBLE), ('balanced', 4, 0.6::DOUBLE), ('aggressive', 3, 0.75::DOUBLE)) t(risk_level, reserve_months, equity))
-SELECT grp, risk_level, round(greatest(expense_mean * reserve_months, 0.0), 2) AS emergency_fund,
- round(greatest(net_mean, 0.0) * equity * 12, 2) AS growth_allocation,
- round((greatest(net_mean, 0.0) - greatest(net_mean, 0.0) * equity) * 12, 2) AS cash_buffer,
- round(greatest(net_mean, 0.0), 2) AS monthly_savings_capacity FROM st, p""")
+SELECT grp, risk_level, round(cast(greatest(expense_mean * reserve_months, 0.0) AS decimal(38,6)), 2)::DOUBLE AS emergency_fund,
+ round(cast(greatest(net_mean, 0.0) * equity * 12 AS decimal(38,6)), 2)::DOUBLE AS growth_allocation,
+ round(cast((greatest(net_mean, 0.0) - greatest(net_mean, 0.0) * equity) * 12 AS decimal(38,6)), 2)::DOUBLE AS cash_buffer,
+ round(cast(greatest(net_mean, 0.0) AS decimal(38,6)), 2)::DOUBLE AS monthly_savings_capacity FROM st, p""")
 def _(spark, sf):
     stats = cashflow.cashflow_stats(_flows(spark, sf), "amt", "o_orderdate", ["grp"])
     return cashflow.recommend_allocations(stats).select(

@@ -266,10 +266,10 @@ def _(spark, sf):
     )
 
 
-@query("g12_suggest_types", """WITH r AS (SELECT max(p_partkey) AS k, max(p_size) AS z FROM part)
- SELECT * FROM (SELECT unnest(['p_partkey', 'p_size', 'balance', 'p_brand', 'p_retailprice']) AS "column", unnest([
-  CASE WHEN k < 256 THEN 'uint8' WHEN k < 65536 THEN 'uint16' ELSE 'uint32' END, CASE WHEN z < 256 THEN 'uint8' ELSE 'uint16' END,
-  'int', 'category', 'double']) AS suggested FROM r)""")
+@query("g12_suggest_types", """WITH r AS (SELECT max(p_partkey) AS k, max(p_size) AS z, count(DISTINCT p_brand) AS u, count(*) AS n FROM part)
+ SELECT unnest(['p_partkey', 'p_size', 'balance', 'p_brand', 'p_retailprice']) AS "column", unnest([
+  CASE WHEN k < 256 THEN 'uint8' WHEN k < 65536 THEN 'uint16' ELSE 'uint32' END, CASE WHEN z < 256 THEN 'uint8' WHEN z < 65536 THEN 'uint16' ELSE 'uint32' END,
+  'int', CASE WHEN u < 50 AND u / n < 0.05 THEN 'category' ELSE 'string' END, 'double']) AS suggested FROM r""")
 def _(spark, sf):
     part = read(spark, sf, "part").select("p_partkey", "p_size", (-F.col("p_size")).alias("balance"), "p_brand", "p_retailprice")
     return profile.suggest_types(part, ["p_partkey"])

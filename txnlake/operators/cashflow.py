@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txnlake.functions.fixed_values import RISK_PROFILES
@@ -36,6 +36,11 @@ def cashflow_stats(df: DataFrame, amount: str, ts: str, by: Sequence[str] = ())
     )
 
 
+def _money(value: Column) -> Column:
+    """Two places, half up."""
+    return F.round(value.cast("decimal(38,6)"), 2).cast("double")
+
+
 def recommend_allocations(
     stats: DataFrame, risk_level: str | None = None, profiles: Mapping[str, Mapping[str, float]] = RISK_PROFILES
 ) -> DataFrame:
@@ -59,10 +64,10 @@ def recommend_allocations(
     invested = saving * F.col("equity_allocation")
     return widened.withColumns(
         {
-            "emergency_fund": F.round(F.greatest(F.col("expense_mean") * F.col("reserve_months"), F.lit(0.0)), 2),
-            "growth_allocation": F.round(invested * 12, 2),
-            "cash_buffer": F.round((saving - invested) * 12, 2),
-            "monthly_savings_capacity": F.round(saving, 2),
+            "emergency_fund": _money(F.greatest(F.col("expense_mean") * F.col("reserve_months"), F.lit(0.0))),
+            "growth_allocation": _money(invested * 12),
+            "cash_buffer": _money((saving - invested) * 12),
+            "monthly_savings_capacity": _money(saving),
         }
     )
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 ROWS_PER_TASK_CONF = "spark.txnlake.rowsPerTask"
 DEFAULT_ROWS_PER_TASK = 1_000_000
 MAX_SLICES = 10_000
-PLAIN_PERCENTILE_ROWS = 100_000
+PLAIN_PERCENTILE_ROWS = 1_000_000
 SKETCH_ACCURACY = 1_000
 
 
