@@ -134,5 +134,21 @@ def check_running_percentile(session, keys, p):
                 seen.append(r[3])
 
 
-def test_work_dir_is_the_one_the_session_names(spark):
-    assert groups.work_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+class Session:
+    """A stand-in with only what the choice of folder looks at."""
+
+    def __init__(self, master, folder=None):
+        self.sparkContext = self
+        self.master, self.applicationId, self.folder = master, f"app-{master}", folder
+        self.conf = self
+
+    def get(self, _name, default=None):
+        return self.folder or default
+
+
+def test_work_dir_comes_from_the_session(tmp_path):
+    assert groups.work_dir(Session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    local = groups.work_dir(Session("local[2]"))
+    assert local == groups.work_dir(Session("local[2]"))
+    with pytest.raises(RuntimeError):
+        groups.work_dir(Session("yarn"))
