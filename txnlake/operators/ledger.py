@@ -215,17 +215,28 @@ def _mark_existing(batch: DataFrame, ledger: DataFrame, keys: Sequence[str]) ->
     return marked.withColumn("_known", F.coalesce("_by_hash", "_by_key")).select(*batch.columns, "_known")
 
 
+def _clashes(pairs: DataFrame) -> bool:
+    """Whether any hash or any key stands in more than one pair."""
+    shared = [
+        pairs.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")).filter("_n > 1").select("_n")
+        for c in ("_h", "_c")
+    ]
+    return not shared[0].unionByName(shared[1]).isEmpty()
+
+
 def _first_occurrences(rows: DataFrame, order: str, keys: Sequence[str]) -> DataFrame:
     """Rows a one-by-one load would insert: those no earlier inserted row equals.
 
     Equal (hash, key) pairs collapse to their first row, map-side. Then, round by round, a row
     that comes first under both its hash and its key is inserted and rules out the rows that
-    share either. Ordinary data settles in one round.
+    share either. Where no two pairs share anything, as in ordinary data, all are inserted at once.
     """
     pairs = rows.select(F.col(order).alias("_at"), F.col("message_hash").alias("_h"), _composite(keys).alias("_c"))
     pending = durable(pairs.groupBy("_h", "_c").agg(F.min("_at").alias("_at")))
     inserted = None
     while True:
+        if not _clashes(pending):
+            return pending if inserted is None else inserted.unionByName(pending.select("_at", "_h", "_c"))
         by_hash = pending.groupBy("_h").agg(F.min("_at").alias("_first_h"))
         by_key = pending.filter("_c is not null").groupBy("_c").agg(F.min("_at").alias("_first_c"))
         ranked = attach(pending, by_hash, ["_h"]).join(by_key, "_c", "left")
@@ -234,8 +245,6 @@ def _first_occurrences(rows: DataFrame, order: str, keys: Sequence[str]) -> Data
         inserted = leaders if inserted is None else inserted.unionByName(leaders)
         rest = pending.join(leaders.select("_h"), "_h", "left_anti").join(leaders.select("_c"), "_c", "left_anti")
         pending = durable(rest)
-        if pending.isEmpty():
-            return inserted
 
 
 def insert_skip(
