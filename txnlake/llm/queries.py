@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txnlake.llm import mixing, sharding
+from txnlake.llm import mixing, secrets, sharding
 from txnlake.llm.common import read
+from txnlake.llm.sql_secrets import SECRET_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,6 +69,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(read(spark, sf_dir, "documents"))
 
 
+@query("op5_secret_scan", SECRET_SQL)
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_table(read(spark, sf_dir, "documents"))
+
+
 @query("op8_shard_ring")
 def op8_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
