@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txnlake.llm import mixing, secrets, sharding
+from txnlake.llm import mixing, packing, planes, secrets, sharding
 from txnlake.llm.common import read
 from txnlake.llm.sql_secrets import SECRET_SQL
 
@@ -74,6 +74,16 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_table(read(spark, sf_dir, "documents"))
 
 
+@query("op6_pack_best_fit")
+def op6_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_table(read(spark, sf_dir, "documents"))
+
+
 @query("op8_shard_ring")
 def op8_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
+
+
+@query("op9_id_planes")
+def op9_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planes.id_table(read(spark, sf_dir, "documents"))
