@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txnlake.llm import mixing, packing, planes, secrets, sharding
+from txnlake.llm import dedup, mixing, packing, planes, quality, secrets, sharding
 from txnlake.llm.common import read
 from txnlake.llm.sql_secrets import SECRET_SQL
 
@@ -64,6 +64,16 @@ SELECT doc_id, size::BIGINT AS size, s AS source_size, target,
 FROM ranked"""
 
 
+@query("op1_near_dedup")
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op2_quality_mcd")
+def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_table(read(spark, sf_dir, "documents"))
+
+
 @query("op4_mix_sources", MIX_SQL)
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(read(spark, sf_dir, "documents"))
