@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from txnlake.llm import dedup, mixing, packing, planes, quality, secrets, sharding
+from txnlake.llm import dedup, mixing, packing, planes, quality, secrets, sharding, topk
 from txnlake.llm.common import read
 from txnlake.llm.sql_secrets import SECRET_SQL
 
@@ -74,6 +75,23 @@ def op2_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_table(read(spark, sf_dir, "documents"))
 
 
+TOPK_SQL = """
+WITH whole AS (
+  SELECT vec_id, [floor(256 * x) FOR x IN embedding::DOUBLE[]] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding::DOUBLE[] IF x IS NULL OR NOT isfinite(x)]) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+@query("op3_top_inner_products", TOPK_SQL)
+def op3_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op4_mix_sources", MIX_SQL)
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(read(spark, sf_dir, "documents"))
