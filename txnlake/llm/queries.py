@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlake.llm import dedup, mixing, packing, planes, quality, secrets, sharding, topk
+from txnlake.llm import dedup, html_text, mixing, packing, planes, quality, quotes, secrets, sharding, topk
 from txnlake.llm.common import read
 from txnlake.llm.sql_secrets import SECRET_SQL
 
@@ -107,6 +107,11 @@ def op6_pack_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_table(read(spark, sf_dir, "documents"))
 
 
+@query("op7_main_text")
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_table(read(spark, sf_dir, "pages"))
+
+
 @query("op8_shard_ring")
 def op8_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
@@ -115,3 +120,8 @@ def op8_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_id_planes")
 def op9_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.id_table(read(spark, sf_dir, "documents"))
+
+
+@query("op10_quotation_links")
+def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotations(read(spark, sf_dir, "conversations"))
