@@ -130,7 +130,7 @@ def _packer(path: str, window: int, end_id: int, buffer_ids: int):
         limit = buffer_ids
         for part in batches:
             ids_of, texts = part.column("doc_id").to_pylist(), part.column("text")
-            for doc_id, ids in zip(ids_of, encoder.encode(t.as_py() or "" for t in texts), strict=True):
+            for doc_id, ids in zip(ids_of, encoder.encode(texts), strict=True):
                 ids += tail
                 total = len(ids) // 4
                 full = total // window * window

@@ -116,7 +116,7 @@ def _writer(path: str, end_id: int, unit: int, segment_ids: int):
 
         for batch in batches:
             texts = batch.column("text")
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(t.as_py() or "" for t in texts), strict=True):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts), strict=True):
                 ids += tail
                 docs.append(doc_id)
                 lengths.append(len(ids) // 4)
