@@ -138,3 +138,10 @@ def test_zscore_and_iqr_rows(spark):
 def test_pick_columns(spark):
     df = spark.createDataFrame([(1, 2, 3)], "Amount int, Merchant int, other int")
     assert anomalies.pick_columns(df) == {"amount": "Amount", "merchant": "Merchant", "ts": None}
+
+
+def test_burst_counts_with_ids_that_repeat_across_groups(spark):
+    rows = [("u1", 1, "2024-01-01 00:00:00", "M"), ("u1", 2, "2024-01-01 01:00:00", "M"), ("u2", 1, "2024-01-01 00:30:00", "M"), ("u2", 2, "2024-03-01 00:00:00", "M"), (None, 1, "2024-01-01 00:00:00", None)]
+    df = spark.createDataFrame(rows, "u string, id int, ts string, m string").withColumn("ts", F.to_timestamp("ts"))
+    got = {(r["u"], r["id"]): r["in_window"] for r in anomalies.burst_counts(df, "m", "ts", "id", ["u"]).collect()}
+    assert got == {("u1", 1): 0, ("u1", 2): 1, ("u2", 1): 0, ("u2", 2): 0, (None, 1): 0}

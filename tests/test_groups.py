@@ -152,3 +152,17 @@ def test_work_dir_comes_from_the_session(tmp_path):
     assert local == groups.work_dir(Session("local[2]"))
     with pytest.raises(RuntimeError):
         groups.work_dir(Session("yarn"))
+
+
+def test_running_percentile_ways_agree_on_odd_values(spark, monkeypatch):
+    from txnlake.plans import running_percentile as rp
+
+    odd = [1.0, float("nan"), 3.0, None, float("inf"), 2.0, float("nan"), float("-inf"), 5.0, 4.0, None, 7.0] * 3
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "i int, v double")
+    found = []
+    for small, block in ((500, 20_000), (2, 20_000), (2, 5)):
+        monkeypatch.setattr(rp, "SMALL_GROUP", small)
+        monkeypatch.setattr(rp, "BLOCK_ROWS", block)
+        rows = rp.running_percentile(df, "v", 0.9, [], [F.col("i")]).orderBy("i").collect()
+        found.append([(repr(r["running_pct"]), r["earlier_rows"]) for r in rows])
+    assert found[0] == found[1] == found[2] and "nan" not in str(found[0][:4])

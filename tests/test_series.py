@@ -147,3 +147,31 @@ def test_credit_debit_without_debit(spark):
     df = spark.createDataFrame([("CREDIT", 5.0), ("prepaid", 1.0)], "k string, v double")
     r = reports.credit_debit_split(df, "v", "k").first()
     assert (r["credit_count"], r["credit_total"], r["debit_total"], r["credit_debit_ratio"]) == (1, 5.0, 0.0, 0.0)
+
+
+def test_pivots_lose_nothing(spark):
+    rows = [("2024-01-02", "A", 10.0), ("2024-02-03", "", 5.0), ("2024-02-04", None, 1.0), ("2024-03-01", "C", 2.0)]
+    df = spark.createDataFrame(rows, "d string, c string, v double").withColumn("d", F.to_date("d"))
+    assert reports.pivot_month_category(df, "v", "d", "c").columns == ["month", "A", "C", "Uncategorized"]
+    listed = reports.pivot_month_category(df, "v", "d", "c", ["A"]).collect()
+    assert [(r["A"], r["Other"]) for r in listed] == [(10.0, 0.0), (0.0, 6.0), (0.0, 2.0)]
+    total = reports.pivot_category_month_totals(df, "v", "d", "c", ["2024-01"]).collect()
+    assert tuple(total[-1]) == ("Total", 10.0, 8.0, 18.0)
+    assert reports.pivot_category_month_totals(df, "v", "d", "c").columns == ["category", "2024-01", "2024-02", "2024-03", "Total"]
+
+
+def test_decompose_in_blocks_equals_plain(spark):
+    rows = [(g, i, float((i * 7) % 5 + i / 10)) for g in ("a", None) for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, t int, v double")
+    want = {(r["g"], r["t"]): r for r in series.decompose(df, "v", ["t"], 7, ["g"]).collect()}
+    spark.conf.set("spark.txnlake.rowsPerTask", "5")
+    try:
+        for period in (7,):
+            got = series.decompose(df, "v", ["t"], period, ["g"]).collect()
+    finally:
+        spark.conf.unset("spark.txnlake.rowsPerTask")
+    assert len(got) == 80
+    for r in got:
+        for c in ("trend", "seasonal", "residual"):
+            a, b = r[c], want[(r["g"], r["t"])][c]
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9)

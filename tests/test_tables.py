@@ -226,3 +226,11 @@ def test_streams(spark, tmp_path):
                                 on_flags=lambda flags, batch: seen.append(flags.count())).awaitTermination()
     totals = {str(r["date"]): r["transaction_count"] for r in streams.current_totals(spark, str(tmp_path / "days"), "amount").collect()}
     assert totals == {"2024-01-01": 8, "2024-01-02": 8, "2024-01-03": 8} and seen
+
+
+def test_dates_are_told_from_all_rows(spark):
+    rows = [("n/a",)] * 12 + [("2024-01-02",)] * 88
+    df = spark.createDataFrame(rows, "order_date string").coalesce(1)
+    assert clean.detect_date_columns(df) == ["order_date"]
+    later = spark.createDataFrame([("2024-01-02",)] * 20 + [("soon",)], "d string").coalesce(1)
+    assert profile.infer_semantic_type(later).first()["semantic_type"] != "date_string"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from txnlake.functions import text
 from txnlake.functions.fixed_values import AMOUNT_NAMES, MERCHANT_NAMES, WHEN_NAMES
 from txnlake.operators.clean import iqr_bounds, numeric_columns
-from txnlake.plans.groups import fits, over_history, row_position, running_total
+from txnlake.plans.groups import attach, fits, over_history, row_position, running_total
 from txnlake.plans.running_percentile import running_percentile
 
 RULES = ("high_value", "burst_frequency", "unknown_merchant")
@@ -95,10 +95,12 @@ def burst_counts(
     counted = running_total(
         points, keys, [F.col("_at"), F.col("_row"), F.col("_tie")], F.col("_row").cast("long"), "_rows", small
     )
-    spans = counted.groupBy("_tie").agg(
+    spans = counted.groupBy(*keys, "_tie").agg(
         (F.max(F.when(F.col("_row") == 1, F.col("_rows"))) - 1 - F.max(F.when(F.col("_row") == 0, F.col("_rows")))).alias(out)
     )
-    return df.join(spans, df[tie] == spans["_tie"], "left").drop("_tie").withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))
+    # ``tie`` tells rows apart within a group only.
+    joined = attach(keyed.withColumn("_tie", F.col(tie)), spans, [*keys, "_tie"])
+    return joined.drop("_tie", "_merchant").withColumn(out, F.coalesce(out, F.lit(0)).cast("long"))
 
 
 def detect_anomalies(

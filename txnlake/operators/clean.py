@@ -69,33 +69,28 @@ def standardize_dates(
 
 
 def date_column_profile(df: DataFrame, formats: Sequence[str] = TABLE_DATE_FORMATS) -> DataFrame:
-    """Columns that may hold dates: (column, sampled, parsed, is_date).
+    """Columns that may hold dates: (column, present, parsed, is_date).
 
-    Date-typed columns count as they are; string columns with a date-like name count when more
-    than half of up to ten non-NULL values parse.
+    Date-typed columns count as they are; columns with a date-like name count when more than half of
+    all their non-NULL values parse. One aggregate over all rows, whatever the number of columns.
     """
-    rows = []
-    for field in df.schema.fields:
+    aggs, kinds = [], {}
+    for i, field in enumerate(df.schema.fields):
         if isinstance(field.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            sample = df.limit(1).agg(F.lit(0).cast("long").alias("sampled"), F.lit(0).cast("long").alias("parsed"))
-            rows.append(sample.select(F.lit(field.name).alias("column"), "sampled", "parsed", F.lit(True).alias("is_date")))
+            kinds[i] = (field.name, True)
         elif any(part in field.name.lower() for part in DATE_NAME_PARTS):
             value = F.col(field.name).cast("string")
             parsed = F.coalesce(text.parse_timestamp(value, formats), value.try_cast("timestamp"))
-            sample = df.select(field.name).filter(value.isNotNull()).limit(10)
-            counted = sample.agg(F.count("*").alias("sampled"), F.count(parsed).alias("parsed"))
-            rows.append(
-                counted.select(
-                    F.lit(field.name).alias("column"), "sampled", "parsed",
-                    ((F.col("sampled") > 0) & (F.col("parsed") > 0.5 * F.col("sampled"))).alias("is_date"),
-                )
-            )
-    if not rows:
-        return df.sparkSession.createDataFrame([], "column string, sampled long, parsed long, is_date boolean")
-    result = rows[0]
-    for row in rows[1:]:
-        result = result.unionByName(row)
-    return result
+            aggs += [F.count(value).alias(f"n{i}"), F.count(parsed).alias(f"ok{i}")]
+            kinds[i] = (field.name, False)
+    if not kinds:
+        return df.sparkSession.createDataFrame([], "column string, present long, parsed long, is_date boolean")
+    found = df.agg(*aggs).first() if aggs else {}
+    rows = []
+    for i, (name, typed) in kinds.items():
+        present, parsed = (0, 0) if typed else (found[f"n{i}"], found[f"ok{i}"])
+        rows.append((name, present, parsed, typed or (present > 0 and 2 * parsed > present)))
+    return df.sparkSession.createDataFrame(rows, "column string, present long, parsed long, is_date boolean")
 
 
 def detect_date_columns(df: DataFrame, formats: Sequence[str] = TABLE_DATE_FORMATS) -> list[str]:

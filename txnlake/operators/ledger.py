@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from txnlake.functions import text
 from txnlake.functions.fixed_values import LEDGER_COLUMNS, REPORT_COLUMNS
@@ -30,40 +31,55 @@ def _condition(key: str, value) -> Column:
     return F.col(key) == value
 
 
-def filter_ledger(df: DataFrame, filters: Mapping | None = None, search_columns: Sequence[str] = SEARCHED) -> DataFrame:
+def _limited(df: DataFrame, limit: int | None, order: Sequence[str]) -> DataFrame:
+    """The first ``limit`` rows by ``order``, then by all columns, so that reruns agree; all rows without a limit."""
+    by = list(dict.fromkeys([*order, *(f.name for f in df.schema.fields if not isinstance(f.dataType, T.MapType))]))
+    if limit:
+        return df.orderBy(*by).limit(limit)
+    return df.orderBy(*order) if order else df
+
+
+def filter_ledger(
+    df: DataFrame, filters: Mapping | None = None, search_columns: Sequence[str] = SEARCHED, order: Sequence[str] = ()
+) -> DataFrame:
     """Rows meeting all filters.
 
     ``x_min``, ``x_max``, ``x_from``, ``x_to`` are inclusive bounds, ``x_in`` a list, any other
-    key an equality; ``search`` is a word search, ``limit`` a row limit. The conditions are plain
-    comparisons, so they reach the scan and prune partitions.
+    key an equality; ``search`` is a word search, ``limit`` a row limit by ``order``. The conditions are
+    plain comparisons, so they reach the scan and prune partitions.
     """
     filters = dict(filters or {})
     limit, query = filters.pop("limit", None), filters.pop("search", None)
     for key, value in filters.items():
         df = df.filter(_condition(key, value))
     if query is not None:
-        return search_ledger(df, query, search_columns, 5000 if limit is None else limit)
-    return df.limit(limit) if limit else df
+        df = search_ledger(df, query, search_columns)
+    return _limited(df, limit, order)
 
 
 def count_ledger(df: DataFrame, filters: Mapping | None = None) -> DataFrame:
     """Number of rows meeting the filters."""
     chosen = {k: v for k, v in (filters or {}).items() if k != "limit"}
-    if "search" in chosen:
-        chosen["limit"] = 0
     return filter_ledger(df, chosen).agg(F.count("*").alias("count"))
 
 
 def search_ledger(
-    df: DataFrame, query: str, columns: Sequence[str] = SEARCHED, limit: int | None = 5000, order: Sequence[str] = ()
+    df: DataFrame, query: str, columns: Sequence[str] = SEARCHED, limit: int | None = None, order: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows whose words contain every word of the query, without regard to case."""
+    """Rows whose words contain every word of the query, without regard to case.
+
+    All matches, or the first ``limit`` by ``order``. Rows are split into words only if each wanted word is a
+    part of the text at all.
+    """
     wanted = sorted({w for w in "".join(ch if ch.isalnum() or ch == "_" else " " for ch in query.lower()).split()})
-    present = text.words(*[F.col(c).cast("string") for c in columns if c in df.columns])
-    found = df.filter(F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), present)) == 0) if wanted else df.limit(0)
-    if order:
-        found = found.orderBy(*order)
-    return found.limit(limit) if limit else found
+    if not wanted:
+        return df.limit(0)
+    searched = [F.col(c).cast("string") for c in columns if c in df.columns]
+    whole = F.lower(F.concat_ws(" ", *searched))
+    for w in wanted:
+        df = df.filter(F.contains(whole, F.lit(w)))
+    found = df.filter(F.size(F.array_except(F.array(*[F.lit(w) for w in wanted]), text.words(*searched))) == 0)
+    return _limited(found, limit, order)
 
 
 def interactive_filter(
@@ -247,26 +263,6 @@ def _first_occurrences(rows: DataFrame, order: str, keys: Sequence[str]) -> Data
         pending = durable(rest)
 
 
-def insert_skip(
-    ledger: DataFrame, batch: DataFrame, order: str, keys: Sequence[str] = COMPOSITE
-) -> tuple[DataFrame, DataFrame]:
-    """(new ledger, batch with ``status``): unseen rows are appended, repeated ones skipped.
-
-    ``order`` is a unique column that gives the order of the batch; of equal rows the first is
-    inserted. Loading a batch twice changes nothing.
-    """
-    hashed = with_message_hash(batch)
-    marked = _mark_existing(hashed, ledger, keys)
-    first = _first_occurrences(marked.filter("_known is null"), order, keys).select(F.col("_at").alias("_ins"))
-    status = (
-        marked.join(first, marked[order] == first["_ins"], "left")
-        .withColumn("status", F.when(F.col("_ins").isNotNull(), "inserted").otherwise("skipped"))
-        .drop("_ins", "_known")
-    )
-    added = status.filter("status = 'inserted'")
-    return ledger.unionByName(_as_ledger(added, ledger)), status
-
-
 def _as_ledger(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     """Rows in the ledger's columns and types; absent columns are NULL."""
     kinds = {f.name: f.dataType for f in ledger.schema.fields}
@@ -275,50 +271,99 @@ def _as_ledger(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def upsert(
-    ledger: DataFrame, batch: DataFrame, order: str, keys: Sequence[str] = COMPOSITE
-) -> tuple[DataFrame, DataFrame]:
-    """(new ledger, batch with ``status``): known rows take the batch's fields, others are added.
+def _settled(ledger: DataFrame, batch: DataFrame, order: str, keys: Sequence[str], required: Sequence[str]) -> DataFrame:
+    """Batch rows with ``_target``, the id of the ledger row each ends up in, and ``_state``: known, new, same or failed.
 
-    The id stays; of several batch rows for one ledger row the last wins, and its NULLs count.
-    Batch columns the ledger lacks are left out.
+    A row is 'new' if no ledger row and no earlier new row equals it, and 'same' if an earlier new row does. A new
+    row keeps its own id if no ledger row and no earlier new row has it; otherwise it gets one made from its hash
+    and its place in the batch. A row without a required field is 'failed' and has no target.
     """
     hashed = with_message_hash(batch)
-    marked = durable(_mark_existing(hashed, ledger, keys))
-    fresh = marked.filter("_known is null").withColumn("_c", _composite(keys))
-    leaders = _first_occurrences(fresh, order, keys)
-    named = leaders.join(marked.select(F.col(order).alias("_at"), F.col("id").alias("_new_id")), "_at")
-    by_hash = named.groupBy("_h").agg(F.min("_new_id").alias("_id_h")).withColumnRenamed("_h", "message_hash")
-    by_key = named.filter("_c is not null").groupBy("_c").agg(F.min("_new_id").alias("_id_c"))
+    needed = [F.col(c).isNotNull() for c in required if c in hashed.columns]
+    usable = F.lit(True)
+    for n in needed:
+        usable = usable & n
+    marked = durable(_mark_existing(hashed.filter(usable), ledger, keys))
+    fresh = marked.filter("_known is null")
+    leaders = _first_occurrences(fresh, order, keys).select("_at", "_h", "_c")
+    made = F.substring(F.sha2(F.concat_ws("|", F.lit("row"), "_h", F.col("_at").cast("string")), 256), 1, 32)
+    own = F.col("id").cast("string") if "id" in fresh.columns else F.lit(None).cast("string")
+    named = leaders.join(fresh.select(F.col(order).alias("_of"), own.alias("_own")), F.col("_at") == F.col("_of")).drop("_of")
+    if "id" in ledger.columns:
+        taken = ledger.select(F.col("id").cast("string").alias("_own")).distinct().withColumn("_taken", F.lit(True))
+        named = named.join(taken, "_own", "left")
+    else:
+        named = named.withColumn("_taken", F.lit(None).cast("boolean"))
+    claims = named.filter("_own is not null").groupBy("_own").agg(F.min("_at").alias("_claim"))
+    named = named.join(claims, "_own", "left")
+    free = F.col("_own").isNotNull() & F.col("_taken").isNull() & (F.col("_at") == F.col("_claim"))
+    named = durable(named.select("_at", "_h", "_c", F.when(free, F.col("_own")).otherwise(made).alias("_new")))
+    by_hash = named.groupBy(F.col("_h").alias("message_hash")).agg(F.min("_new").alias("_by_h"))
+    by_key = named.filter("_c is not null").groupBy("_c").agg(F.min("_new").alias("_by_c"))
+    firsts = named.select(F.col("_at").alias("_first"), F.col("_new"))
     placed = (
-        marked.withColumn("_c", _composite(keys))
-        .join(by_hash, "message_hash", "left")
-        .join(by_key, "_c", "left")
-        .withColumn("_target", F.coalesce("_known", "_id_h", "_id_c"))
-        .drop("_c", "_id_h", "_id_c")
-    )
-    starters = named.select(F.col("_at").alias("_ins"))
-    status = placed.join(starters, placed[order] == starters["_ins"], "left").withColumn(
-        "status", F.when(F.col("_ins").isNotNull(), "inserted").otherwise("updated")
+        marked.withColumn("_c", _composite(keys)).join(by_hash, "message_hash", "left").join(by_key, "_c", "left")
+        .join(firsts, marked[order] == firsts["_first"], "left")
+        .withColumn("_target", F.coalesce(F.col("_known").cast("string"), "_new", "_by_h", "_by_c"))
+        .withColumn("_state", F.when(F.col("_known").isNotNull(), "known").when(F.col("_first").isNotNull(), "new").otherwise("same"))
+        .select(*hashed.columns, "_target", "_state")
     )
-    last = F.row_number().over(Window.partitionBy("_target").orderBy(F.desc(order)))
-    final = status.withColumn("_rn", last).filter("_rn = 1").select(
-        "_target", F.col("_known").isNull().alias("_is_new"), *[c for c in hashed.columns if c != "id"]
-    )
-    fields = [c for c in hashed.columns if c in ledger.columns and c != "id"]
-    fresh_side = final.select("_target", "_is_new", *[F.col(c).alias(f"_b_{c}") for c in fields])
-    joined = ledger.join(fresh_side, ledger["id"] == fresh_side["_target"], "full_outer")
-    hit = F.col("_target").isNotNull()
+    failed = hashed.filter(~usable).withColumns({"_target": F.lit(None).cast("string"), "_state": F.lit("failed")})
+    return durable(placed.unionByName(failed))
+
+
+def _status(settled: DataFrame, words: Mapping[str, str], required: Sequence[str]) -> DataFrame:
+    """The batch with status, stored_id (the ledger row it is in) and reason (of a failure)."""
+    status = F.lit(None).cast("string")
+    for state, word in words.items():
+        status = F.when(F.col("_state") == state, word).otherwise(status)
+    missing = [F.when(F.col(c).isNull(), F.lit(c)) for c in required if c in settled.columns]
+    reason = F.when(F.col("_state") == "failed", F.concat(F.lit("missing "), F.concat_ws(", ", *missing))) if missing else F.lit(None).cast("string")
+    return settled.withColumns({"status": status, "stored_id": F.col("_target"), "reason": reason}).drop("_target", "_state")
+
+
+#: Fields without which a row can't be stored.
+REQUIRED = ("date",)
+
+
+def insert_skip(
+    ledger: DataFrame, batch: DataFrame, order: str, keys: Sequence[str] = COMPOSITE, required: Sequence[str] = REQUIRED
+) -> tuple[DataFrame, DataFrame]:
+    """(new ledger, batch with ``status``): unseen rows are appended, repeated ones skipped, unusable ones fail.
+
+    ``order`` is a unique column that gives the order of the batch; of equal rows the first is
+    inserted. Loading a batch twice changes nothing. New rows without an id of their own that is free get one;
+    ``stored_id`` is the id of the ledger row that a batch row is in, ``reason`` says why a row failed.
+    """
+    settled = _settled(ledger, batch, order, keys, required)
+    added = settled.filter("_state = 'new'").withColumn("id", F.col("_target"))
+    status = _status(settled, {"new": "inserted", "known": "skipped", "same": "skipped", "failed": "failed"}, required)
+    return ledger.unionByName(_as_ledger(added, ledger)), status
+
+
+def upsert(
+    ledger: DataFrame, batch: DataFrame, order: str, keys: Sequence[str] = COMPOSITE, required: Sequence[str] = REQUIRED
+) -> tuple[DataFrame, DataFrame]:
+    """(new ledger, batch with ``status``): known rows take the batch's fields, others are added, unusable ones fail.
+
+    A stored id stays; of several batch rows for one ledger row the last wins, and its NULLs count.
+    Batch columns the ledger lacks are left out. Ids of new rows, ``stored_id`` and ``reason`` as in `insert_skip`.
+    """
+    settled = _settled(ledger, batch, order, keys, required)
+    status = _status(settled, {"new": "inserted", "known": "updated", "same": "updated", "failed": "failed"}, required)
+    fields = [c for c in settled.columns if c in ledger.columns and c != "id"]
+    last = settled.filter("_state <> 'failed'").groupBy("_target").agg(
+        F.max_by(F.struct(*fields), F.col(order)).alias("_b"), F.max((F.col("_state") == "new").cast("int")).alias("_is_new"))
+    changes = durable(last)
+    known = changes.filter("_is_new = 0")
     kinds = {f.name: f.dataType for f in ledger.schema.fields}
-    merged = joined.select(
-        *[
-            F.coalesce("id", "_target").cast(kinds[c]).alias(c) if c == "id"
-            else F.when(hit, F.col(f"_b_{c}").cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in fields
-            else F.col(c)
-            for c in ledger.columns
-        ]
-    )
-    return merged, status.drop("_ins", "_known", "_target")
+    joined = ledger.join(known, ledger["id"].cast("string") == known["_target"], "left")
+    hit = F.col("_target").isNotNull()
+    kept = joined.select(*[
+        F.when(hit, F.col("_b")[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in fields else ledger[c] for c in ledger.columns
+    ])
+    added = changes.filter("_is_new = 1").select(F.col("_target").alias("id"), "_b.*")
+    return kept.unionByName(_as_ledger(added, ledger)), status
 
 
 def load_stats(status: DataFrame) -> DataFrame:

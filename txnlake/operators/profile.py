@@ -172,24 +172,33 @@ def first_values(df: DataFrame, column: str, k: int, order: Sequence[str] = ())
     return chosen.select(F.col(column).cast("string").alias("value"))
 
 
-def _type_label(df: DataFrame, field: T.StructField, order: Sequence[str]) -> str:
-    """Semantic label as far as the Spark type and, for strings, ten values tell."""
-    kind = field.dataType
-    if isinstance(kind, T.BooleanType):
-        return "boolean"
-    if isinstance(kind, INTEGERS):
-        return "integer"
-    if isinstance(kind, T.NumericType):
-        return "numeric"
-    if isinstance(kind, DATES):
-        return "datetime"
-    if isinstance(kind, T.StringType):
-        sample = first_values(df, field.name, 10, order)
-        value = F.col("value")
+def _type_labels(df: DataFrame) -> dict[str, str]:
+    """Semantic label of every column as far as the Spark type and, for strings, all values tell; one aggregate."""
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    aggs = []
+    for i, c in enumerate(texts):
+        value = F.col(f"`{c}`")
         parsed = F.coalesce(text.parse_timestamp(value, TABLE_DATE_FORMATS), value.try_cast("timestamp"))
-        seen = sample.agg(F.count("*").alias("n"), F.count(parsed).alias("ok")).first()
-        return "date_string" if seen["n"] and seen["n"] == seen["ok"] else "text"
-    return "unknown"
+        aggs += [F.count(value).alias(f"n{i}"), F.count(parsed).alias(f"ok{i}")]
+    seen = df.agg(*aggs).first() if aggs else {}
+    labels = {}
+    for field in df.schema.fields:
+        kind = field.dataType
+        if isinstance(kind, T.BooleanType):
+            label = "boolean"
+        elif isinstance(kind, INTEGERS):
+            label = "integer"
+        elif isinstance(kind, T.NumericType):
+            label = "numeric"
+        elif isinstance(kind, DATES):
+            label = "datetime"
+        elif isinstance(kind, T.StringType):
+            i = texts.index(field.name)
+            label = "date_string" if seen[f"n{i}"] and seen[f"n{i}"] == seen[f"ok{i}"] else "text"
+        else:
+            label = "unknown"
+        labels[field.name] = label
+    return labels
 
 
 def infer_schema(df: DataFrame, order: Sequence[str] = (), exact: bool = True, samples: int = 3) -> DataFrame:
@@ -219,9 +228,9 @@ def infer_schema(df: DataFrame, order: Sequence[str] = (), exact: bool = True, s
             ]
     wide = df.agg(*aggs)
     nothing = F.lit(None).cast("double")
-    structs = []
+    structs, labels = [], _type_labels(df)
     for f in fields:
-        c, label = f.name, _type_label(df, f, order)
+        c, label = f.name, labels[f.name]
         unique = F.col(f"`{c}|u`")
         semantic = F.lit(label)
         if label == "text":
@@ -245,7 +254,7 @@ def infer_schema(df: DataFrame, order: Sequence[str] = (), exact: bool = True, s
 
 def infer_semantic_type(df: DataFrame, order: Sequence[str] = (), exact: bool = True) -> DataFrame:
     """(column, semantic_type): integer, numeric, datetime, boolean, date_string, categorical, text, unknown."""
-    labels = {f.name: _type_label(df, f, order) for f in df.schema.fields}
+    labels = _type_labels(df)
     texts = [c for c, label in labels.items() if label == "text"]
     wide = df.agg(F.count("*").alias("_rows"), *[_distinct(c, exact).alias(f"{c}|u") for c in texts])
     structs = []

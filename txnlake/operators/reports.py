@@ -17,25 +17,52 @@ def total(value: str) -> Column:
     return F.coalesce(F.sum(value), F.lit(0.0))
 
 
-def pivot_month_category(df: DataFrame, value: str, ts: str, category: str, categories: Sequence[str]) -> DataFrame:
-    """Months down, the named categories across, gaps 0."""
-    wide = df.groupBy(month_of(ts).alias("month")).pivot(category, list(categories)).agg(F.sum(value))
+UNNAMED, OTHER = "Uncategorized", "Other"
+
+
+def _named(column: Column) -> Column:
+    """Blank and missing names are one group."""
+    return F.coalesce(F.nullif(column, F.lit("")), F.lit(UNNAMED))
+
+
+def _values(df: DataFrame, name: str) -> list[str]:
+    """Distinct values of a column that becomes columns of the result: one aggregate, as many rows as there are columns."""
+    return [r[0] for r in df.select(name).filter(F.col(name).isNotNull()).distinct().orderBy(name).collect()]
+
+
+def _listed(df: DataFrame, name: str, wanted: Sequence[str] | None) -> tuple[DataFrame, list[str]]:
+    """``df`` with ``name`` reduced to ``wanted`` and 'Other', and the names of the columns to come."""
+    if wanted is None:
+        return df, _values(df, name)
+    other = df.filter(~F.col(name).isin(list(wanted))).limit(1).count() > 0
+    kept = F.when(F.col(name).isin(list(wanted)), F.col(name)).when(F.col(name).isNotNull(), F.lit(OTHER))
+    return df.withColumn(name, kept), [*wanted, *([OTHER] if other else [])]
+
+
+def pivot_month_category(df: DataFrame, value: str, ts: str, category: str, categories: Sequence[str] | None = None) -> DataFrame:
+    """Months down, categories across, gaps 0.
+
+    Without ``categories`` all that occur; with them, the others' amounts stand under 'Other', so nothing is lost.
+    """
+    rows = df.select(month_of(ts).alias("month"), _named(F.col(category)).alias("category"), F.col(value).alias("v"))
+    rows, names = _listed(rows, "category", categories)
+    wide = rows.groupBy("month").pivot("category", names).agg(F.sum("v"))
     return wide.na.fill(0.0).orderBy("month")
 
 
-def pivot_category_month_totals(df: DataFrame, value: str, ts: str, category: str, months: Sequence[str]) -> DataFrame:
-    """Categories down, the named months across, with a Total row and a Total column over those months."""
-    chosen = df.select(F.col(category).alias("category"), month_of(ts).alias("month"), F.col(value).alias("v"))
-    cubed = (
-        chosen.filter(F.col("month").isin(list(months)) & F.col("category").isNotNull())
-        .cube("category", "month")
-        .agg(F.sum("v").alias("v"), F.grouping("category").alias("gc"), F.grouping("month").alias("gm"))
-    )
+def pivot_category_month_totals(df: DataFrame, value: str, ts: str, category: str, months: Sequence[str] | None = None) -> DataFrame:
+    """Categories down, months across, with a Total row and a Total column.
+
+    Without ``months`` all that occur; with them, the others' amounts stand under 'Other', so totals are complete.
+    """
+    rows = df.select(_named(F.col(category)).alias("category"), month_of(ts).alias("month"), F.col(value).alias("v")).filter("month is not null")
+    chosen, names = _listed(rows, "month", months)
+    cubed = chosen.cube("category", "month").agg(F.sum("v").alias("v"), F.grouping("category").alias("gc"), F.grouping("month").alias("gm"))
     named = cubed.select(
         F.when(F.col("gc") == 1, "Total").otherwise(F.col("category")).alias("category"),
         F.when(F.col("gm") == 1, "Total").otherwise(F.col("month")).alias("month"), "gc", "v",
     )
-    wide = named.groupBy("category", "gc").pivot("month", [*months, "Total"]).agg(F.sum("v")).na.fill(0.0)
+    wide = named.groupBy("category", "gc").pivot("month", [*names, "Total"]).agg(F.sum("v")).na.fill(0.0)
     return wide.orderBy("gc", "category").drop("gc")
 
 

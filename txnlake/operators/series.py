@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from txnlake.functions import text
 from txnlake.functions.fixed_values import DATE_NAME_PARTS, TABLE_DATE_FORMATS
 from txnlake.operators.clean import columns_of
-from txnlake.plans.groups import column_percentiles, fits, over_history, row_position, running_total
+from txnlake.plans.groups import attach, column_percentiles, durable, fits, over_history, row_position, running_total
 
 KINDS: dict[str, Callable[[Column], Column]] = {
     "sum": lambda v: F.coalesce(F.sum(v), F.lit(0)),
@@ -261,28 +261,29 @@ def decompose(
 ) -> DataFrame:
     """Additive trend, seasonal and residual parts of a daily series (one row per day).
 
-    The trend is a centred mean over one period, NULL where the period is incomplete. Run it on
-    an aggregated series; a series beyond one task is refused.
+    The trend is a centred mean over one period, NULL where the period is incomplete. A centred window is a
+    trailing one some rows later, so series of any length are worked on in blocks of consecutive rows.
     """
-    if not fits(df, partition):
-        raise ValueError("decompose takes an aggregated series")
-    w = Window.partitionBy(*partition).orderBy(*order)
+    keys = list(partition)
+    placed = row_position(df, keys, [F.col(c) for c in order], "_at")
     half = period // 2
-    spans = [(-half, half)] if period % 2 else [(-half, half - 1), (-half + 1, half)]
-    complete = F.lit(True)
-    for a, b in spans:
-        complete = complete & (F.count(F.lit(1)).over(w.rowsBetween(a, b)) == period)
-    mean = sum((F.avg(value).over(w.rowsBetween(a, b)) for a, b in spans[1:]), F.avg(value).over(w.rowsBetween(*spans[0])))
-    trend = F.when(complete, mean / len(spans))
-    staged = df.withColumns({"trend": trend, "_phase": (F.row_number().over(w) - 1) % period})
-    phase = F.avg(F.col(value) - F.col("trend")).over(Window.partitionBy(*partition, "_phase"))
-    seasonal = staged.withColumn("_raw", phase)
-    by_phase = seasonal.groupBy(*partition, "_phase").agg(F.first("_raw").alias("_raw"))
-    centre = by_phase.groupBy(*partition).agg(F.avg("_raw").alias("_centre"))
-    if partition:
-        seasonal = seasonal.join(centre, list(partition))
-    else:
-        seasonal = seasonal.withColumn("_centre", centre.scalar())
-    return seasonal.withColumn("seasonal", F.col("_raw") - F.col("_centre")).withColumn(
-        "residual", F.col(value) - F.col("trend") - F.col("seasonal")
-    ).drop("_phase", "_raw", "_centre")
+    lags = [half] if period % 2 else [half - 1, half]
+
+    def build(d: DataFrame, w) -> DataFrame:
+        whole = F.count(F.lit(1)).over(w.rowsBetween(-(period - 1), 0)) == period
+        return d.withColumn("_mean", F.avg(value).over(w.rowsBetween(-(period - 1), 0))).withColumn("_whole", whole)
+
+    trailing = durable(over_history(placed.select(*keys, "_at", value), keys, [F.col("_at")], period, build))
+    staged = placed
+    for i, lag in enumerate(lags):
+        moved = trailing.filter("_whole").select(*keys, (F.col("_at") - lag).alias("_at"), F.col("_mean").alias(f"_m{i}"))
+        staged = attach(staged, moved, [*keys, "_at"])
+    trend = sum((F.col(f"_m{i}") for i in range(1, len(lags))), F.col("_m0")) / len(lags)
+    staged = durable(staged.withColumns({"trend": trend, "_phase": (F.col("_at") - 1) % period}))
+    by_phase = staged.groupBy(*keys, "_phase").agg(F.avg(F.col(value) - F.col("trend")).alias("_raw"))
+    centre = by_phase.groupBy(*keys).agg(F.avg("_raw").alias("_centre"))
+    seasonal = attach(staged, by_phase, [*keys, "_phase"])
+    seasonal = attach(seasonal, centre, keys) if keys else seasonal.withColumn("_centre", centre.scalar())
+    seasonal = seasonal.withColumn("seasonal", F.col("_raw") - F.col("_centre"))
+    return seasonal.withColumn("residual", F.col(value) - F.col("trend") - F.col("seasonal")).drop(
+        "_phase", "_raw", "_centre", "_at", *[f"_m{i}" for i in range(len(lags))])

@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 ROWS_PER_TASK_CONF = "spark.txnlake.rowsPerTask"
 DEFAULT_ROWS_PER_TASK = 1_000_000
-MAX_SLICES = 10_000
 PLAIN_PERCENTILE_ROWS = 1_000_000
 SKETCH_ACCURACY = 1_000
 
@@ -96,7 +95,7 @@ def running_total(
         return df.withColumn(out, F.sum(amount).over(frame))
 
     limit = rows_per_task(df.sparkSession)
-    slices = min(MAX_SLICES, max(2, math.ceil(2 * df.count() / limit)))
+    slices = max(2, math.ceil(2 * df.count() / limit))
     ranged = df.withColumn("_amount", amount).repartitionByRange(slices, *[F.col(k) for k in keys], *order)
     tagged = durable(ranged.withColumn("_slice", F.spark_partition_id()))
     group = ["_slice", *keys]

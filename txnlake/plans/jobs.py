@@ -115,7 +115,7 @@ def comprehensive_report(df: DataFrame, value: str, ts: str, tie: str) -> dict[s
         "overview": series.performance_indicators(df, value, ts, tie),
         "hourly": series.summarize_by_hour(df, value, ts),
         "peak_hours": series.peak_hours(df, value, ts, 1),
-        "daily": series.moving_averages(days, total, ["date"], small=True).orderBy("date").limit(30),
+        "daily": series.moving_averages(days, total, ["date"], small=True).orderBy("date"),
         "daily_anomalies": series.spikes_and_drops(days, total, ["date"], small=True),
         "top_days": series.top_periods(days, total, 5, tie="date"),
         "monthly": series.moving_averages(months, total, ["year_month"], (3, 6), small=True),

@@ -35,9 +35,16 @@ def running_percentile(
 ) -> DataFrame:
     """Adds the ``p`` percentile of ``value`` over earlier rows of the group, and their number.
 
-    ``order`` must be unique within a group. NULL values count as rows but not as values.
-    ``exact=False`` takes Spark's approximate percentile over the same frame.
+    ``order`` must be unique within a group. NULL and NaN count as rows but not as values, whichever
+    way a group takes; infinities are values. ``exact=False`` takes Spark's approximate percentile over the same frame.
     """
+    if isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType)):
+        plain = df.withColumn("_plain", F.when(~F.isnan(value), F.col(value)))
+        return _running_percentile(plain, "_plain", p, keys, order, out, seen, exact).drop("_plain")
+    return _running_percentile(df, value, p, keys, order, out, seen, exact)
+
+
+def _running_percentile(df, value, p, keys, order, out, seen, exact) -> DataFrame:
     limit = rows_per_task(df.sparkSession)
     small, block = min(SMALL_GROUP, limit), min(BLOCK_ROWS, limit)
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"))

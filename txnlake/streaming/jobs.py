@@ -37,7 +37,10 @@ def stream_ingest(
                 raise
             stored = rows.limit(0)
         _, status = ledgers.insert_skip(stored, rows, order, keys)
-        added = status.filter("status = 'inserted'").select(*stored.columns)
+        added = status.filter("status = 'inserted'")
+        if "id" in stored.columns:
+            added = added.withColumn("id", F.col("stored_id").cast(stored.schema["id"].dataType))
+        added = added.select(*stored.columns)
         added.write.mode("append").parquet(target)
 
     writer = source.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True)
