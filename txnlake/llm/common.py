@@ -15,19 +15,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def free_name(df: DataFrame, wish: str) -> str:
-    """``wish``, lengthened until no column of ``df`` has that name (Spark compares without case)."""
-    taken = {c.lower() for c in df.columns}
-    while wish.lower() in taken:
-        wish += "_"
-    return wish
-
-
 def q(name: str) -> str:
     """A column name quoted for ``F.col``."""
     return "`" + name.replace("`", "``") + "`"
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of ``df`` as one struct ``_row``, so that no helper column can clash with them."""
+    return F.struct(*[F.col(q(c)) for c in df.columns]).alias("_row")
+
+
 def word_count(text: Column) -> Column:
     """Number of words as long; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

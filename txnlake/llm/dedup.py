@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import q
+from txnlake.llm.common import whole_row
 from txnlake.llm.graph import components
 from txnlake.plans.groups import durable
 
@@ -110,16 +110,19 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
 
 
 def _sketcher(k: int, with_sketch: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("sketch" if with_sketch else "members", pa.binary())])
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()),
+        ("sketch" if with_sketch else "members", pa.binary()),
+    ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for doc_id, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text"), strict=True):
                 found = shingles(text.as_py(), k)
                 data = found.astype("<u8").tobytes()
                 extra = (registers(found).tobytes() if with_sketch else data) if len(found) else None
-                rows.append((doc_id, len(found), xxhash.xxh3_128_digest(data), extra))
+                rows.append((doc_id, mark, len(found), xxhash.xxh3_128_digest(data), extra))
                 if len(rows) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows = []
@@ -174,7 +177,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
     wanted = near.select(F.col("rep_a").alias("doc_id")).union(near.select("rep_b")).distinct()
     ends = near.select(F.col("sig_a").alias("sig")).union(near.select("sig_b")).distinct()
     members = docs.join(wanted, "doc_id", "left_semi").mapInArrow(
-        _sketcher(k, False), "doc_id long, n_shingles long, sig binary, members binary").filter("members is not null")
+        _sketcher(k, False), "doc_id long, mark long, n_shingles long, sig binary, members binary").filter("members is not null")
     # Repeated rows of an id may hold other sets; one row of each wanted set is enough.
     sets = durable(members.join(ends, "sig", "left_semi").dropDuplicates(["sig"]).select("sig", "members"))
     return durable(_both(near, sets, "members").select("rep_a", "rep_b", "members_a", "members_b").mapInArrow(
@@ -182,15 +185,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, per
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row of ``docs`` (doc_id, text; other columns are left out).
+    """doc_id, mark (a hash of the text), n_shingles, component_id and kept of every row of ``docs`` (doc_id, text; other columns are left out).
 
     Words are runs without ASCII white space, with A-Z in lower case; a set holds the distinct shingles of ``k``
     words. Documents are linked if 100 * common >= percent * union; a text without words is linked with nothing.
     ``component_id`` is the smallest doc_id that links reach. Rows of an equal id are documents of their own that
     share their id. A row with a null id takes no part: its component is null, and it is kept.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = durable(docs.mapInArrow(_sketcher(k, True), "doc_id long, n_shingles long, sig binary, sketch binary"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
+    rows = durable(docs.mapInArrow(_sketcher(k, True), "doc_id long, mark long, n_shingles long, sig binary, sketch binary"))
     filled = rows.filter("doc_id is not null and n_shingles > 0")
     classes = durable(filled.groupBy("sig").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
@@ -222,22 +225,23 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
             labels = components(links.union(fresh))
 
     found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("label"))
-    out = rows.select("doc_id", "n_shingles", "sig").join(found, "sig", "left")
+    out = rows.select("doc_id", "mark", "n_shingles", "sig").join(found, "sig", "left")
     part = F.col("doc_id").isNotNull()
     component = F.when(part, F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def one_of_each(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
     """``docs`` with its columns, one document of each group of near-duplicates; one row where an id is repeated.
 
-    Rows with a null id stay. Of rows with an equal id, the one with the smallest hash of its whole row stays.
+    Rows with a null id stay. Of kept rows with an equal id, the one with the smallest hash of its text stays.
     """
-    kept = durable(near_duplicates(docs, k, percent).filter("kept and doc_id is not null").groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count(F.lit(1)).alias("_kept_n")))
-    rows = docs.join(kept, F.col("doc_id") == F.col("_kept_id"))
-    once = rows.filter("_kept_n = 1").select(*[F.col(q(c)) for c in docs.columns])
-    many = rows.filter("_kept_n > 1")
-    whole = F.struct(*[F.col(q(c)) for c in docs.columns])
-    one = many.groupBy("_kept_id").agg(F.min_by(whole.alias("row"), F.xxhash64(*[F.col(q(c)) for c in docs.columns])).alias("row"))
-    return once.unionByName(one.select("row.*")).unionByName(docs.filter("doc_id is null"))
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("mark"))
+    kept = near_duplicates(docs, k, percent).filter("kept and doc_id is not null")
+    kept = kept.groupBy("doc_id").agg(F.min(F.struct("mark")).alias("first"), F.count(F.lit(1)).alias("n"))
+    kept = durable(kept.select(F.col("doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark"), "n"))
+    found = rows.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")))
+    once = found.filter("n = 1").select("_row.*")
+    one = found.filter("n > 1").groupBy("id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return once.unionByName(one.select("_row.*")).unionByName(rows.filter("id is null").select("_row.*"))

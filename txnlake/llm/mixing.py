@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from txnlake.llm.common import q, unit_hash, word_count
+from txnlake.llm.common import unit_hash, whole_row, word_count
 from txnlake.plans.groups import durable
 
 #: Weights of the sources in code-point order, repeated for as many sources as there are.
@@ -127,6 +127,5 @@ def mix_table(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: the rows of ``docs`` with its columns, each as often as the mix takes it."""
     slim = durable(keyed(docs.select("doc_id", "source", "text")).select("doc_id", "source", "_size", "_key", "_bucket"))
-    whole = F.struct(*[F.col(q(c)) for c in docs.columns]).alias("_row")
-    rows = copies(keyed(docs.select(whole, "doc_id", "source", "text")), cuts(slim)).filter(F.col("_copies") > 0)
+    rows = copies(keyed(docs.select(whole_row(docs), "doc_id", "source", "text")), cuts(slim)).filter(F.col("_copies") > 0)
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")

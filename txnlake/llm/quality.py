@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import q
+from txnlake.llm.common import whole_row
 from txnlake.plans.groups import durable
 
 MIN_WORDS = 10
@@ -235,7 +235,7 @@ def quality_table(docs: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that `judge` keeps, with their columns."""
-    bad = judge(docs).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
+    bad = judge(docs).filter("not kept").select(F.col("doc_id").alias("bad_id"), F.col("mark").alias("bad_mark")).distinct()
     mark = F.xxhash64("text", F.col("lang").cast("string"), F.col("source").cast("string"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (mark == F.col("_mark"))
-    return docs.join(bad, same, "left_anti").select(*[F.col(q(c)) for c in docs.columns])
+    rows = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), mark.alias("mark"))
+    return rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("mark") == F.col("bad_mark")), "left_anti").select("_row.*")

@@ -67,7 +67,7 @@ FROM ranked"""
 
 @query("op1_near_dedup")
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicates(read(spark, sf_dir, "documents"))
+    return dedup.near_duplicates(read(spark, sf_dir, "documents")).drop("mark")
 
 
 @query("op2_quality_mcd")

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import q
+from txnlake.llm.common import whole_row
 
 # The kinds of the contract, in its order: pattern, group whose length counts, least length.
 KINDS = {
@@ -132,9 +132,8 @@ def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
     enough entropy of a candidate to the last; it is left out if it lies within a span of a fixed kind. Null and
     empty texts have no spans. Rows, their order of columns and repeated rows stay. A column _spans is replaced.
     """
-    whole = F.struct(*[F.col(q(c)) for c in df.columns]).alias("_row")
     body = F.coalesce(F.col("_row")[text], F.lit(""))
-    found = df.select(whole).withColumns({
+    found = df.select(whole_row(df)).withColumns({
         **{f"_{k}": F.regexp_extract_all(body, F.lit(p), F.lit(0)) for k, (p, _, _) in KINDS.items()},
         "_candidate": F.regexp_extract_all(body, F.lit(CANDIDATE), F.lit(0)),
     })
@@ -172,8 +171,7 @@ def secret_table(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every stretch of secrets in text replaced by ``MASK``; overlapping spans are one stretch."""
-    names = [c for c in docs.columns if c.lower() != "_spans"]
-    found = find_secrets(docs)
+    found = find_secrets(docs.select(whole_row(docs), "text"))
 
     def join(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -193,4 +191,5 @@ def redact(docs: DataFrame) -> DataFrame:
         F.lit(MASK)))
     tail = text.substr((F.element_at("_merged", -1)["stop"] + 1).cast("int"), F.char_length(text))
     clean = F.when(F.size("_spans") > 0, F.concat(F.array_join(cut, ""), tail)).otherwise(text)
-    return found.withColumn("text", clean).select(*[q(c) for c in names])
+    found = found.withColumn("_clean", clean)
+    return found.select(*[F.col("_clean").alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from txnlake.llm.common import q
+from txnlake.llm.common import q, whole_row
 
 #: Virtual nodes of a shard. More points make the shards' arcs more alike, so fewer rows overflow.
 VNODES = 128
@@ -91,12 +91,12 @@ def assign_shards(
     pieces = spark.createDataFrame(
         settle(counts, ring_points(shards, vnodes), bounds, more), "piece_arc long, lo long, hi long, shard int, base long")
 
-    rows = df.select(F.struct(*[F.col(q(c)) for c in df.columns]).alias("row"), hashed.alias("pos")).withColumn("arc", arc_of(F.col("pos")))
-    order = Window.partitionBy("arc").orderBy("pos", *[F.col("row")[c] for c in (key, *ties)])
+    rows = df.select(whole_row(df), hashed.alias("pos")).withColumn("arc", arc_of(F.col("pos")))
+    order = Window.partitionBy("arc").orderBy("pos", *[F.col("_row")[c] for c in (key, *ties)])
     ranked = rows.withColumn("rank", F.row_number().over(order).cast("long") - 1)
     # The pieces are bounded by the arcs, not by the rows.
     on = (F.col("arc") == F.col("piece_arc")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    return ranked.join(F.broadcast(pieces), on).select("row.*", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))
+    return ranked.join(F.broadcast(pieces), on).select("_row.*", "shard", (F.col("base") + F.col("rank") - F.col("lo")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:

@@ -79,8 +79,11 @@ class Encoder:
 
     def part(self, body: str) -> bytes:
         """Ids of a blank and ``body``. A blank and Latin letters are one pre-token, which goes to the merges at once."""
-        if body.isalpha() and max(body) < "\u0250":
-            letters = (" " + body).encode().decode("latin-1").translate(self.letters)
+        if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
+            if body.isascii():
+                letters = self.letters[32] + body
+            else:
+                letters = (" " + body).encode().decode("latin-1").translate(self.letters)
             return _bytes([t.id for t in self.model.tokenize(letters)])
         return self.whole(" " + body)
 
