@@ -118,3 +118,9 @@ def test_first_pattern_wins(spark):
     df = spark.createDataFrame([("b a",), ("c",)], "t string")
     got = [r["rule"] for r in classify.match_any_pattern(df, "t", [("one", "A"), ("broken", "(["), ("two", "b")]).collect()]
     assert got == ["one", None]
+
+
+def test_patterns_are_tried_where_they_run(spark):
+    rules = [{"match_regex": "(?P<x>a)"}, {"match_regex": "(["}, {"match_regex": "a+"}]
+    df = spark.createDataFrame([("caab",), (None,)], "m string")
+    assert {r["m"]: r["rule_idx"] for r in classify.match_regex(df, "m", rules).collect()} == {"caab": 2, None: None}

@@ -168,3 +168,24 @@ def test_messages_to_ledger(spark):
 def test_urgency(spark):
     df = spark.createDataFrame([(10000.0, "Debit"), (5000.0, "Credit"), (5000.0, "Debit"), (None, "Credit")], "a double, k string")
     assert [r["u"] for r in df.select(extract.urgency(F.col("a"), F.col("k")).alias("u")).collect()] == ["high", "medium", "normal", "normal"]
+
+
+def test_dates_without_a_file_time_take_the_year_of_the_run(spark):
+    df = spark.createDataFrame([("21/07", None), ("21/07", "2022-07-21")], "date string, file_mtime string").withColumn("file_mtime", F.to_timestamp("file_mtime"))
+    at = F.lit("2019-03-01").cast("timestamp")
+    assert [r["resolved_date"] for r in extract.resolve_dates(df, ingested_at=at).collect()] == ["2019-07-21", "2022-07-21"]
+
+
+def test_stock_templates_on_literal_messages(spark):
+    rows = [
+        ("HSBC", "Your HSBC card ending 1234 was charged 250.50 EGP at Carrefour City on 15/11/2024", ("250.50", "EGP", "15/11/2024", "Carrefour City", "1234")),
+        ("CIB", "CIB: debited 99,95 USD at Store 7, on 01-02-24 card ending 4321 POS", ("99,95", "USD", "01-02-24", "Store 7", "4321")),
+        ("QNB", "QNB amount 10 SAR from Shop on 03/04/2024 ending 5555 Online", ("10", "SAR", "03/04/2024", "Shop", "5555")),
+        ("Generic_Bank", "transaction 75.00 GBP at Corner Cafe on 2024-05-06 ending 9876", ("75.00", "GBP", "2024-05-06", "Corner Cafe", "9876")),
+    ]
+    df = spark.createDataFrame([(b, m) for b, m, _ in rows], "bank string, text string")
+    got = {r["bank"]: r for r in extract.parse_messages(df, "text", bank="bank").collect()}
+    for bank, _, want in rows:
+        r = got[bank]
+        assert r["matched_bank"] == bank
+        assert (r["amount"], r["currency"], r["date"], r["payee"], r["card_suffix"]) == want

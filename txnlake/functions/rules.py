@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import json
 import logging
-import re
 from collections.abc import Sequence
 from pathlib import Path
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -72,10 +73,12 @@ def java_pattern(pattern: str) -> str:
 
 
 def valid_pattern(pattern: str) -> bool:
+    """Whether the expression compiles where it will run: in the JVM."""
+    compiler = SparkSession.active()._jvm.java.util.regex.Pattern
     try:
-        re.compile(pattern)
+        compiler.compile(java_pattern(pattern))
         return True
-    except re.error:
+    except (IllegalArgumentException, Py4JJavaError):
         log.warning("pattern skipped: %s", pattern)
         return False
 

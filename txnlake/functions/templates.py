@@ -1,42 +1,15 @@
-"""Message templates: one regular expression per field, built from short word lists.
+"""Message templates: one regular expression per field.
 
-A template is ``{"bank", "name", "fields": {field: (pattern, group_number)}, "required", "needs"}``.
-Templates written elsewhere with named groups come in through ``from_named_patterns``.
+A template is ``{"bank", "name", "fields": {field: (pattern, group_number)}, "required", "needs"}``; ``needs`` is a
+pattern that every matching message must contain, a cheap test before the fields. Templates written elsewhere with
+named groups come in through ``from_named_patterns``.
 """
 
 from __future__ import annotations
 
 import re
 
-AMOUNT = r"\d+(?:[,.]\d{2})?"
-SLASH_DATE = r"\d{2}[/-]\d{2}[/-]\d{2,4}"
-LONG_YEAR_DATE = r"\d{2}[/-]\d{2}[/-]\d{4}"
-ISO_DATE = r"\d{4}[/-]\d{2}[/-]\d{2}"
 ARABIC = r"[\u0600-\u06FF]"
-LATIN_NAME = r"[A-Za-z0-9\s]+?"
-ARABIC_NAME = r"[\u0600-\u06FFA-Za-z0-9\s]+?"
-
-
-def build(bank, name, required, amount, currency, date, payee, kinds, card, date_shape=SLASH_DATE,
-          payee_shape=LATIN_NAME, payee_end=r"\s+on|\.|$", card_gap=r"\s+", needs=None):
-    """A template from its word lists; each list is a ``|``-separated alternative.
-
-    ``needs`` is a pattern every matching message must contain, a cheap test before the fields.
-    """
-    return {
-        "bank": bank,
-        "name": name,
-        "required": required,
-        "needs": needs,
-        "fields": {
-            "amount": (rf"(?:{amount})\s+({AMOUNT})", 1),
-            "currency": (rf"(?:{AMOUNT})\s+({currency})", 1),
-            "date": (rf"(?:{date})\s+({date_shape})", 1),
-            "payee": (rf"(?:{payee})\s+({payee_shape})(?:{payee_end})", 1),
-            "transaction_type": (rf"({kinds})", 1),
-            "card_suffix": (rf"(?:{card}){card_gap}(\d{{4}})", 1),
-        },
-    }
 
 
 def from_named_patterns(bank: str, name: str, patterns: dict[str, str], required: list[str] | None = None) -> dict:
@@ -59,41 +32,117 @@ def from_named_patterns(bank: str, name: str, patterns: dict[str, str], required
     return {"bank": bank, "name": name, "required": required or ["amount"], "fields": fields}
 
 
-# --- fixed values: word lists of the stock templates ---------------------------------------
+# --- fixed values: the stock templates, whole patterns in their order ----------------------
 
 STOCK_TEMPLATES = [
-    build("HSBC", "HSBC Standard Transaction", ["amount", "currency"],
-          "charged|debited|paid|amount|of", "EGP|USD|EUR|SAR|AED", "on|date", "at|from|to",
-          "POS|ATM|Online|Purchase|Withdrawal|Transfer|Payment", "ending|card",
-          date_shape=f"{SLASH_DATE}|{ISO_DATE}"),
-    build("HSBC", "HSBC Arabic Transaction", ["amount"],
-          "خصم|دفع|مبلغ", "جنيه|دولار|يورو|ريال", "في|بتاريخ", "في|من|الى",
-          "صراف|شراء|سحب|تحويل|دفع", "رقم|بطاقة", payee_shape=ARABIC_NAME, payee_end=r"\s|$", needs=ARABIC),
-    build("CIB", "CIB Standard Transaction", ["amount", "currency"],
-          "charged|debited|of|amount", "EGP|USD|EUR", "on|date", "at|from",
-          "POS|ATM|Online|Purchase", "card ending|ending", payee_end=r"\s+on|\.|,"),
-    build("CIB", "CIB Arabic Transaction", ["amount"],
-          "خصم|دفع|مبلغ", "جنيه|دولار", "في|بتاريخ", "في|من",
-          "شراء|سحب|نقطة بيع", "بطاقة رقم|رقم", payee_shape=ARABIC_NAME, payee_end=r"\s|$", needs=ARABIC),
-    build("NBE", "NBE Standard Transaction", ["amount", "currency"],
-          "charged|debited|withdrawal|of", "EGP|USD", "on|date", "at|merchant",
-          "POS|ATM|Purchase|Withdrawal", "card", date_shape=LONG_YEAR_DATE, payee_end=r"\s|\.|,|$"),
-    build("NBE", "NBE Arabic Transaction", ["amount"],
-          "خصم|سحب|مبلغ", "جنيه|دولار", "في|بتاريخ", "من|في",
-          "صراف آلي|نقطة بيع|سحب", "بطاقة", date_shape=LONG_YEAR_DATE, payee_shape=ARABIC_NAME, payee_end=r"\s|$", needs=ARABIC),
-    build("QNB", "QNB Standard Transaction", ["amount", "currency"],
-          "charged|debited|amount|of", "EGP|USD|SAR", "on|date", "at|from",
-          "POS|ATM|Online", "ending"),
-    build("QNB", "QNB Arabic Transaction", ["amount"],
-          "خصم|دفع|مبلغ", "جنيه|ريال", "في|بتاريخ", "في|من",
-          "نقطة بيع|صراف|إلكتروني", "رقم", date_shape=LONG_YEAR_DATE, payee_shape=ARABIC_NAME, payee_end=r"\s|$", needs=ARABIC),
-    build("Generic_Bank", "Generic Transaction", ["amount"],
-          "charged|debited|amount|transaction|of|paid", "EGP|USD|EUR|SAR|AED|GBP", "on|date", "at|from|to|merchant",
-          "POS|ATM|Online|Purchase|Withdrawal|Transfer|Payment", r"ending|card|card ending|\*\*",
-          date_shape=f"{SLASH_DATE}|{ISO_DATE}", payee_shape=r"[A-Za-z0-9\s]{3,30}?",
-          payee_end=r"\s+on|for|\.|,|$", card_gap=r"\s*"),
-    build("Generic_Bank", "Generic Arabic Transaction", ["amount"],
-          "خصم|دفع|مبلغ|تحويل", "جنيه|دولار|يورو|ريال", "في|بتاريخ", "في|من|الى|التاجر",
-          "صراف|شراء|سحب|تحويل|دفع|نقطة بيع", "رقم|بطاقة|ينتهي",
-          payee_shape=r"[\u0600-\u06FFA-Za-z0-9\s]{3,30}?", payee_end=r"\s|$", needs=ARABIC),
+    {
+        "bank": "HSBC", "name": "HSBC Standard Transaction", "required": ["amount", "currency"], "needs": None,
+        "fields": {
+            "amount": (r"(?:charged|debited|paid|amount|of)\s+(\d+(?:[,.]\d{2})?)", 1),
+            "currency": (r"(?:\d+(?:[,.]\d{2})?)\s+(EGP|USD|EUR|SAR|AED)", 1),
+            "date": (r"(?:on|date)\s+(\d{2}[/-]\d{2}[/-]\d{2,4}|\d{4}[/-]\d{2}[/-]\d{2})", 1),
+            "payee": (r"(?:at|from|to)\s+([A-Za-z0-9\s]+?)(?:\s+on|\.|$)", 1),
+            "transaction_type": (r"(POS|ATM|Online|Purchase|Withdrawal|Transfer|Payment)", 1),
+            "card_suffix": (r"(?:ending|card)\s+(\d{4})", 1),
+        },
+    },
+    {
+        "bank": "HSBC", "name": "HSBC Arabic Transaction", "required": ["amount"], "needs": ARABIC,
+        "fields": {
+            "amount": (r"(?:خصم|دفع|مبلغ)\s+(\d+(?:[,.]\d{2})?)", 1),
+            "currency": (r"(?:\d+(?:[,.]\d{2})?)\s+(جنيه|دولار|يورو|ريال)", 1),
+            "date": (r"(?:في|بتاريخ)\s+(\d{2}[/-]\d{2}[/-]\d{2,4})", 1),
+            "payee": (r"(?:في|من|الى)\s+([\u0600-\u06FFA-Za-z0-9\s]+?)(?:\s|$)", 1),
+            "transaction_type": (r"(صراف|شراء|سحب|تحويل|دفع)", 1),
+            "card_suffix": (r"(?:رقم|بطاقة)\s+(\d{4})", 1),
+        },
+    },
+    {
+        "bank": "CIB", "name": "CIB Standard Transaction", "required": ["amount", "currency"], "needs": None,
+        "fields": {
+            "amount": (r"(?:charged|debited|of|amount)\s+(\d+(?:[,.]\d{2})?)", 1),
+            "currency": (r"(?:\d+(?:[,.]\d{2})?)\s+(EGP|USD|EUR)", 1),
+            "date": (r"(?:on|date)\s+(\d{2}[/-]\d{2}[/-]\d{2,4})", 1),
+            "payee": (r"(?:at|from)\s+([A-Za-z0-9\s]+?)(?:\s+on|\.|,)", 1),
+            "transaction_type": (r"(POS|ATM|Online|Purchase)", 1),
+            "card_suffix": (r"(?:card ending|ending)\s+(\d{4})", 1),
+        },
+    },
+    {
+        "bank": "CIB", "name": "CIB Arabic Transaction", "required": ["amount"], "needs": ARABIC,
+        "fields": {
+            "amount": (r"(?:خصم|دفع|مبلغ)\s+(\d+(?:[,.]\d{2})?)", 1),
+            "currency": (r"(?:\d+(?:[,.]\d{2})?)\s+(جنيه|دولار)", 1),
+            "date": (r"(?:في|بتاريخ)\s+(\d{2}[/-]\d{2}[/-]\d{2,4})", 1),
+            "payee": (r"(?:في|من)\s+([\u0600-\u06FFA-Za-z0-9\s]+?)(?:\s|$)", 1),
+            "transaction_type": (r"(شراء|سحب|نقطة بيع)", 1),
+            "card_suffix": (r"(?:بطاقة رقم|رقم)\s+(\d{4})", 1),
+        },
+    },
+    {
+        "bank": "NBE", "name": "NBE Standard Transaction", "required": ["amount", "currency"], "needs": None,
+        "fields": {
+            "amount": (r"(?:charged|debited|withdrawal|of)\s+(\d+(?:[,.]\d{2})?)", 1),
+            "currency": (r"(?:\d+(?:[,.]\d{2})?)\s+(EGP|USD)", 1),
+            "date": (r"(?:on|date)\s+(\d{2}[/-]\d{2}[/-]\d{4})", 1),
+            "payee": (r"(?:at|merchant)\s+([A-Za-z0-9\s]+?)(?:\s|\.|,|$)", 1),
+            "transaction_type": (r"(POS|ATM|Purchase|Withdrawal)", 1),
+            "card_suffix": (r"(?:card)\s+(\d{4})", 1),
+        },
+    },
+    {
+        "bank": "NBE", "name": "NBE Arabic Transaction", "required": ["amount"], "needs": ARABIC,
+        "fields": {
+            "amount": (r"(?:خصم|سحب|مبلغ)\s+(\d+(?:[,.]\d{2})?)", 1),
+            "currency": (r"(?:\d+(?:[,.]\d{2})?)\s+(جنيه|دولار)", 1),
+            "date": (r"(?:في|بتاريخ)\s+(\d{2}[/-]\d{2}[/-]\d{4})", 1),
+            "payee": (r"(?:من|في)\s+([\u0600-\u06FFA-Za-z0-9\s]+?)(?:\s|$)", 1),
+            "transaction_type": (r"(صراف آلي|نقطة بيع|سحب)", 1),
+            "card_suffix": (r"(?:بطاقة)\s+(\d{4})", 1),
+        },
+    },
+    {
+        "bank": "QNB", "name": "QNB Standard Transaction", "required": ["amount", "currency"], "needs": None,
+        "fields": {
+            "amount": (r"(?:charged|debited|amount|of)\s+(\d+(?:[,.]\d{2})?)", 1),
+            "currency": (r"(?:\d+(?:[,.]\d{2})?)\s+(EGP|USD|SAR)", 1),
+            "date": (r"(?:on|date)\s+(\d{2}[/-]\d{2}[/-]\d{2,4})", 1),
+            "payee": (r"(?:at|from)\s+([A-Za-z0-9\s]+?)(?:\s+on|\.|$)", 1),
+            "transaction_type": (r"(POS|ATM|Online)", 1),
+            "card_suffix": (r"(?:ending)\s+(\d{4})", 1),
+        },
+    },
+    {
+        "bank": "QNB", "name": "QNB Arabic Transaction", "required": ["amount"], "needs": ARABIC,
+        "fields": {
+            "amount": (r"(?:خصم|دفع|مبلغ)\s+(\d+(?:[,.]\d{2})?)", 1),
+            "currency": (r"(?:\d+(?:[,.]\d{2})?)\s+(جنيه|ريال)", 1),
+            "date": (r"(?:في|بتاريخ)\s+(\d{2}[/-]\d{2}[/-]\d{4})", 1),
+            "payee": (r"(?:في|من)\s+([\u0600-\u06FFA-Za-z0-9\s]+?)(?:\s|$)", 1),
+            "transaction_type": (r"(نقطة بيع|صراف|إلكتروني)", 1),
+            "card_suffix": (r"(?:رقم)\s+(\d{4})", 1),
+        },
+    },
+    {
+        "bank": "Generic_Bank", "name": "Generic Transaction", "required": ["amount"], "needs": None,
+        "fields": {
+            "amount": (r"(?:charged|debited|amount|transaction|of|paid)\s+(\d+(?:[,.]\d{2})?)", 1),
+            "currency": (r"(?:\d+(?:[,.]\d{2})?)\s+(EGP|USD|EUR|SAR|AED|GBP)", 1),
+            "date": (r"(?:on|date)\s+(\d{2}[/-]\d{2}[/-]\d{2,4}|\d{4}[/-]\d{2}[/-]\d{2})", 1),
+            "payee": (r"(?:at|from|to|merchant)\s+([A-Za-z0-9\s]{3,30}?)(?:\s+on|for|\.|,|$)", 1),
+            "transaction_type": (r"(POS|ATM|Online|Purchase|Withdrawal|Transfer|Payment)", 1),
+            "card_suffix": (r"(?:ending|card|card ending|\*\*)\s*(\d{4})", 1),
+        },
+    },
+    {
+        "bank": "Generic_Bank", "name": "Generic Arabic Transaction", "required": ["amount"], "needs": ARABIC,
+        "fields": {
+            "amount": (r"(?:خصم|دفع|مبلغ|تحويل)\s+(\d+(?:[,.]\d{2})?)", 1),
+            "currency": (r"(?:\d+(?:[,.]\d{2})?)\s+(جنيه|دولار|يورو|ريال)", 1),
+            "date": (r"(?:في|بتاريخ)\s+(\d{2}[/-]\d{2}[/-]\d{2,4})", 1),
+            "payee": (r"(?:في|من|الى|التاجر)\s+([\u0600-\u06FFA-Za-z0-9\s]{3,30}?)(?:\s|$)", 1),
+            "transaction_type": (r"(صراف|شراء|سحب|تحويل|دفع|نقطة بيع)", 1),
+            "card_suffix": (r"(?:رقم|بطاقة|ينتهي)\s+(\d{4})", 1),
+        },
+    },
 ]

@@ -163,13 +163,16 @@ def parse_messages(
     )
 
 
-def resolve_dates(df: DataFrame, raw: str = "date", seen_at: str = "file_mtime", out: str = "resolved_date") -> DataFrame:
-    """ISO date of the message; day and month alone take the year of the file."""
+def resolve_dates(
+    df: DataFrame, raw: str = "date", seen_at: str = "file_mtime", out: str = "resolved_date", ingested_at: Column | None = None
+) -> DataFrame:
+    """ISO date of the message; day and month alone take the year of the file, else of the ingestion (default: now)."""
+    year = F.coalesce(F.year(F.col(seen_at)), F.year(F.current_timestamp() if ingested_at is None else ingested_at))
     value = F.col(raw)
     full = text.parse_timestamp(value, MESSAGE_DATE_FORMATS)
     short = F.when(
         value.rlike(r"^\d{1,2}[/-]\d{1,2}$"),
-        F.concat(F.replace(value, F.lit("-"), F.lit("/")), F.lit("/"), F.year(F.col(seen_at)).cast("string")),
+        F.concat(F.replace(value, F.lit("-"), F.lit("/")), F.lit("/"), year.cast("string")),
     )
     resolved = F.coalesce(full, F.try_to_timestamp(short, F.lit("d/M/yyyy")))
     return df.withColumns({out: F.date_format(resolved, "yyyy-MM-dd"), "extracted_date_raw": value})
@@ -230,14 +233,14 @@ def lookup_accounts(df: DataFrame, accounts: DataFrame, suffix: str = "card_suff
     """Left lookup of account data by card suffix; an unknown card gets a stand-in account.
 
     The account list is reduced to the four-digit suffixes, which bounds it at 10,000 rows, and
-    is then broadcast.
+    is then broadcast. Of several accounts with a suffix the one of the smallest row, by account_id first, counts.
     """
     wanted = ("account_id", "account_type", "interest_rate", "credit_limit", "billing_cycle", "label")
     side = (
         accounts.filter(F.col("card_suffix").rlike(r"^\d{4}$"))
-        .dropDuplicates(["card_suffix"])
-        .select(F.col("card_suffix").alias("_suffix"), F.lit(True).alias("is_known"),
-                *[c for c in wanted if c in accounts.columns])
+        .groupBy(F.col("card_suffix").alias("_suffix"))
+        .agg(F.min(F.struct(*[c for c in wanted if c in accounts.columns])).alias("_account"))
+        .select("_suffix", F.lit(True).alias("is_known"), "_account.*")
     )
     key = F.nullif(F.col(suffix), F.lit(""))
     joined = df.join(F.broadcast(side), key == F.col("_suffix"), "left")

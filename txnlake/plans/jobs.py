@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from txnlake.functions import text
 from txnlake.functions.templates import STOCK_TEMPLATES
 from txnlake.operators import anomalies, classify, clean, extract, profile, series
+from txnlake.plans.groups import durable
 from txnlake.sources import readers, writers
 
 
@@ -109,8 +110,8 @@ def full_report(df: DataFrame, order: Sequence[str] = ()) -> dict[str, DataFrame
 def comprehensive_report(df: DataFrame, value: str, ts: str, tie: str) -> dict[str, DataFrame]:
     """Overview, grains with moving averages, spikes and top periods of a series, by section name."""
     total = f"{value}_sum"
-    days = series.summarize_by_day(df, value, ts).persist()
-    months = series.summarize_by_month(df, value, ts).persist()
+    days = durable(series.summarize_by_day(df, value, ts))
+    months = durable(series.summarize_by_month(df, value, ts))
     return {
         "overview": series.performance_indicators(df, value, ts, tie),
         "hourly": series.summarize_by_hour(df, value, ts),

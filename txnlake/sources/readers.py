@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txnlake.functions import text
 
+log = logging.getLogger(__name__)
+
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str | None = None, **options) -> DataFrame:
     """CSV with a header row; types are inferred unless a schema is given."""
@@ -40,20 +44,26 @@ def list_files(spark: SparkSession, folder: str, pattern: str) -> list[str]:
     return sorted(str(s.getPath().toString()) for s in found or [])
 
 
-def read_dir(spark: SparkSession, folder: str, pattern: str = "*.csv", **options) -> DataFrame:
+def read_dir(
+    spark: SparkSession, folder: str, pattern: str = "*.csv", left_out: list[str] | None = None, **options
+) -> DataFrame:
     """All CSV files of a folder, columns united, with ``_source_file``.
 
     Files with the same header are read together in one scan, so a folder of many like files
-    makes a small plan. Files without a readable header are passed over.
+    makes a small plan. Files whose header Spark refuses, and empty ones, are logged and appended to ``left_out``;
+    any other failure is raised.
     """
     by_header: dict[tuple[str, ...], list[str]] = {}
     for path in list_files(spark, folder, pattern):
         try:
             header = spark.read.options(header=True, **options).csv(path).columns
-        except Exception:
-            continue
+        except AnalysisException as problem:
+            log.warning("left out %s: %s", path, problem)
+            header = []
         if header:
             by_header.setdefault(tuple(header), []).append(path)
+        elif left_out is not None:
+            left_out.append(path)
     if not by_header:
         raise ValueError(f"no data files in {folder}")
     parts = [_with_source(read_csv(spark, paths, **options)) for paths in by_header.values()]
