@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bindings.registry import query, read, rounded
@@ -97,6 +98,15 @@ def _(spark, sf):
     return out.select("event_id", "in_window")
 
 
+@query("j7_burst_counts_repeating_ids", WITH_HISTORY + """, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS nr FROM k)
+ SELECT user_id, nr, cast(CASE WHEN mk IS NULL THEN 0 ELSE (SELECT count(*) FROM r b
+ WHERE b.user_id = r.user_id AND b.mk = r.mk AND b.ts >= r.ts - INTERVAL 24 HOUR AND (b.ts < r.ts OR (b.ts = r.ts AND b.nr < r.nr))) END AS BIGINT) AS in_window FROM r""")
+def _(spark, sf):
+    """Rows are told apart by a number that starts anew with every user."""
+    numbered = _history(spark, sf).withColumn("nr", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("long"))
+    return anomalies.burst_counts(numbered, "merchant", "ts", "nr", ["user_id"]).select("user_id", "nr", "in_window")
+
+
 @query("g30_anomaly_report", WITH_HISTORY + """SELECT count(*) AS total_transactions, count(anomalies) AS total_anomalies,
  count(*) FILTER (high_value) AS high_value_count, count(*) FILTER (burst_frequency) AS burst_frequency_count,
  count(*) FILTER (unknown_merchant) AS unknown_merchant_count, round(count(anomalies) / count(*), 6) AS anomaly_rate FROM a""")

@@ -41,6 +41,13 @@ def _(spark, sf):
     return ledger.search_ledger(docs, "The AND", ["text"], limit=None).select("doc_id")
 
 
+@query("p10_search_ledger_many_hits", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'O'")
+def _(spark, sf):
+    """More hits than any page of results: all of them come back."""
+    lines = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    return ledger.search_ledger(lines, "n O", ["l_returnflag", "l_linestatus"]).select("l_orderkey", "l_linenumber")
+
+
 @query("p11_interactive_filter", WITH_LEDGER + """SELECT id FROM ledger WHERE date BETWEEN '1996-01-01' AND '1997-12-31'
  AND category IN ('2-HIGH', '3-MEDIUM') AND urgency IN ('high')""")
 def _(spark, sf):
@@ -190,6 +197,41 @@ def _(spark, sf):
     return ledger.load_stats(status)
 
 
+# Rows of the batch lose their ids, share one, take a stored one, or lack a date.
+ODD_IDS = """ odd AS (SELECT * REPLACE (CASE WHEN cast(id AS BIGINT) % 3 = 0 THEN NULL WHEN cast(id AS BIGINT) % 5 = 0 THEN '1'
+  WHEN cast(id AS BIGINT) % 7 = 0 THEN 'shared' ELSE id END AS id, CASE WHEN cast(id AS BIGINT) % 11 = 0 THEN NULL ELSE date END AS date),
+  sha256(id) AS message_hash, cast(id AS BIGINT) AS ord FROM ledger WHERE cast(id AS BIGINT) % 2 = 0) """
+STORED = BATCH_SQL.split("batch AS")[0].rstrip(" ,\n")
+
+
+def _odd_batch(spark, sf):
+    key = F.col("id").cast("long")
+    table = ledger_table(spark, sf).filter(key % 2 == 0).withColumns({"message_hash": F.sha2("id", 256), "ord": key})
+    odd_id = F.when(key % 3 == 0, None).when(key % 5 == 0, "1").when(key % 7 == 0, "shared").otherwise(F.col("id"))
+    return table.withColumns({"date": F.when(key % 11 != 0, F.col("date")), "id": odd_id})
+
+
+@query("l4_upsert_odd_ids", f"""{WITH_LEDGER},{STORED},{ODD_IDS},
+ s AS (SELECT *, CASE WHEN date IS NULL THEN 'failed' WHEN ord % 4 <> 0 THEN 'updated' ELSE 'inserted' END AS status FROM odd)
+ SELECT ord, status, CASE WHEN status = 'failed' THEN 'missing date' END AS reason,
+  CASE WHEN status = 'updated' THEN true WHEN status = 'inserted' THEN id IS NOT NULL AND id <> '1' AND (id <> 'shared'
+   OR ord = min(ord) FILTER (status = 'inserted' AND id = 'shared') OVER ()) END AS expected_id FROM s""")
+def _(spark, sf):
+    """Whether a stored id is the row's own (new rows) or that of the row it equals (known rows)."""
+    _, status = ledger.upsert(_stored(spark, sf), _odd_batch(spark, sf), "ord")
+    expected = F.when(F.col("status") == "updated", F.col("stored_id") == F.col("ord").cast("string")).when(
+        F.col("status") == "inserted", F.coalesce(F.col("stored_id") == F.col("id"), F.lit(False)))
+    return status.select("ord", "status", "reason", expected.alias("expected_id"))
+
+
+@query("l4_upsert_odd_ids_ledger", f"""{WITH_LEDGER},{STORED},{ODD_IDS}, n AS (SELECT * FROM odd WHERE date IS NOT NULL AND ord % 4 = 0)
+ SELECT (SELECT count(*) FROM stored) + (SELECT count(*) FROM n) AS rows, (SELECT count(*) FROM stored) + (SELECT count(*) FROM n) AS ids,
+  (SELECT count(DISTINCT message_hash) FROM stored) + (SELECT count(*) FROM n) AS hashes""")
+def _(spark, sf):
+    table, _ = ledger.upsert(_stored(spark, sf), _odd_batch(spark, sf), "ord")
+    return table.agg(F.count("*").alias("rows"), F.countDistinct("id").alias("ids"), F.countDistinct("message_hash").alias("hashes"))
+
+
 @query("l6_update_where", WITH_LEDGER + "SELECT id, CASE WHEN id IN ('1', '2', '3') THEN 'Food' ELSE category END AS category, CASE WHEN id IN ('1', '2', '3') THEN 9.5 ELSE amount END AS amount FROM ledger")
 def _(spark, sf):
     return ledger.update_where(ledger_table(spark, sf), ["1", "2", "3"], {"category": "Food", "amount": 9.5}).select("id", "category", "amount")

@@ -166,38 +166,56 @@ def _(spark, sf):
     return jobs.run_incremental(spark, raw.filter("`Order Key` % 2 = 0 OR `Order Key` % 3 = 0"), name)
 
 
-@query("l10_full_report", """SELECT 'outliers' AS section, count(*) FILTER (value < lo OR value > hi) AS n FROM events, (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
- (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events)) UNION ALL
- SELECT 'anomalies', count(*) FILTER (abs(value - m) / s > 3.0) FROM events, (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events) UNION ALL
- SELECT 'summary_numeric', count(value) FROM events UNION ALL SELECT 'summary_categorical', max(n) FROM (SELECT count(*) AS n FROM events GROUP BY event_type)""")
+@query("l10_full_report", """WITH v AS (SELECT 'value' AS c, value AS x FROM events UNION ALL SELECT 'event_id', event_id::DOUBLE FROM events),
+ b AS (SELECT c, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3, avg(x) AS m, stddev_samp(x) AS s FROM v GROUP BY c)
+ SELECT 'outliers' AS section, count(*) FILTER (x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS n FROM v JOIN b USING (c) UNION ALL
+ SELECT 'anomalies', count(*) FILTER (abs(x - m) / s > 3.0) FROM v JOIN b USING (c) UNION ALL
+ SELECT 'summary_numeric', count(x) FROM v UNION ALL SELECT 'summary_categorical', max(n) FROM (SELECT count(*) AS n FROM events GROUP BY event_type) UNION ALL
+ SELECT 'summary_dates', datediff('second', min(ts), max(ts)) // 86400 FROM events UNION ALL SELECT 'correlations', 4""")
 def _(spark, sf):
-    sections = jobs.full_report(read(spark, sf, "events").select("value", "event_type", "ts"))
-    parts = [
-        sections["outliers"].select(F.lit("outliers").alias("section"), F.col("count").alias("n")),
-        sections["anomalies"].select(F.lit("anomalies").alias("section"), F.col("count").alias("n")),
-        sections["summary_numeric"].select(F.lit("summary_numeric").alias("section"), F.col("count").alias("n")),
-        sections["summary_categorical"].agg(F.max("count").alias("n")).select(F.lit("summary_categorical").alias("section"), "n"),
-    ]
-    return readers.union_all(parts)
-
-
-@query("l10_comprehensive_report", """WITH d AS (SELECT cast(ts AS date) AS d, sum(value) AS s FROM events GROUP BY 1)
- SELECT 'overview' AS section, count(*) AS n, round(sum(value), 2) AS v FROM events UNION ALL SELECT 'daily', count(*), round(sum(s), 2) FROM (SELECT * FROM d ORDER BY d LIMIT 30)
- UNION ALL SELECT 'top_days', 10, round((SELECT sum(s) FROM (SELECT s FROM d ORDER BY s DESC, d LIMIT 5)) + (SELECT sum(s) FROM (SELECT s FROM d ORDER BY s, d LIMIT 5)), 2)""")
+    sections = jobs.full_report(read(spark, sf, "events").select("event_id", "value", "event_type", "ts"))
+    of = lambda name, n: sections[name].agg(n.cast("long").alias("n")).select(F.lit(name).alias("section"), "n")
+    return readers.union_all([
+        of("outliers", F.sum("count")), of("anomalies", F.sum("count")), of("summary_numeric", F.sum("count")),
+        of("summary_categorical", F.max("count")), of("summary_dates", F.max("date_range_days")), of("correlations", F.count("*")),
+    ])
+
+
+@query("l10_comprehensive_report", """WITH d AS (SELECT cast(ts AS date) AS k, sum(value) AS s FROM events GROUP BY 1),
+ h AS (SELECT hour(ts) AS k, sum(value) AS s FROM events GROUP BY 1), m AS (SELECT date_trunc('month', ts) AS k, sum(value) AS s FROM events GROUP BY 1),
+ spread AS (SELECT (SELECT avg(s) FROM d) AS dm, (SELECT stddev_pop(s) FROM d) AS ds, (SELECT avg(s) FROM m) AS mm, (SELECT stddev_pop(s) FROM m) AS ms),
+ odd_d AS (SELECT s FROM d, spread WHERE ds > 0 AND abs(s - dm) > 3 * ds), odd_m AS (SELECT s FROM m, spread WHERE ms > 0 AND abs(s - mm) > 3 * ms),
+ top_d AS ((SELECT s FROM d ORDER BY s DESC, k LIMIT 5) UNION ALL (SELECT s FROM d ORDER BY s, k LIMIT 5)),
+ top_m AS ((SELECT s FROM m ORDER BY s DESC, k LIMIT 5) UNION ALL (SELECT s FROM m ORDER BY s, k LIMIT 5)),
+ top_h AS ((SELECT s FROM h ORDER BY s DESC, k LIMIT 1) UNION ALL (SELECT s FROM h ORDER BY s, k LIMIT 1))
+ SELECT 'overview' AS section, count(*) AS n, round(sum(value), 2) AS v FROM events
+ UNION ALL SELECT 'hourly', count(*), round(sum(s), 2) FROM h UNION ALL SELECT 'peak_hours', count(*), round(sum(s), 2) FROM top_h
+ UNION ALL SELECT 'daily', count(*), round(sum(s), 2) FROM d UNION ALL SELECT 'daily_anomalies', count(*), round(coalesce(sum(s), 0.0), 2) FROM odd_d
+ UNION ALL SELECT 'top_days', count(*), round(sum(s), 2) FROM top_d UNION ALL SELECT 'monthly', count(*), round(sum(s), 2) FROM m
+ UNION ALL SELECT 'monthly_anomalies', count(*), round(coalesce(sum(s), 0.0), 2) FROM odd_m UNION ALL SELECT 'top_months', count(*), round(sum(s), 2) FROM top_m""")
 def _(spark, sf):
     sections = jobs.comprehensive_report(read(spark, sf, "events"), "value", "ts", "event_id")
-    of = lambda name, n, v: sections[name].agg(n.alias("n"), v.alias("v")).select(F.lit(name).alias("section"), "n", "v")
-    parts = [
-        of("overview", F.max("total_transactions"), F.max("total_value")),
-        of("daily", F.count("*"), F.sum("value_sum")), of("top_days", F.count("*"), F.sum("value_sum")),
-    ]
+    parts = [sections["overview"].select(F.lit("overview").alias("section"), F.col("total_transactions").alias("n"), F.col("total_value").alias("v"))]
+    for name, part in sections.items():
+        if name != "overview":
+            found = part.agg(F.count("*").alias("n"), F.coalesce(F.sum("value_sum"), F.lit(0.0)).alias("v"))
+            parts.append(found.select(F.lit(name).alias("section"), "n", "v"))
     return rounded(longs(readers.union_all(parts)), 2)
 
 
 @query("l10_visualization_data", """WITH d AS (SELECT cast(ts AS date) AS d, sum(value) AS s FROM events GROUP BY 1)
- SELECT d::VARCHAR AS date, round(s, 4) AS value, round(avg(s) OVER (ORDER BY d ROWS 6 PRECEDING), 4) AS moving_average_7 FROM d""")
+ SELECT 'time_series' AS section, d::VARCHAR AS key, round(s, 4) AS value, round(avg(s) OVER (ORDER BY d ROWS 6 PRECEDING), 4) AS moving_average_7 FROM d
+ UNION ALL SELECT 'hourly_distribution', hour(ts)::VARCHAR, round(sum(value), 4), NULL FROM events GROUP BY 2
+ UNION ALL SELECT 'monthly_trends', strftime(ts, '%Y-%m'), round(sum(value), 4), NULL FROM events GROUP BY 2""")
 def _(spark, sf):
-    return texts(rounded(jobs.visualization_data(read(spark, sf, "events"), "value", "ts")["time_series"]), "date")
+    sections = jobs.visualization_data(read(spark, sf, "events"), "value", "ts")
+    keys = {"time_series": "date", "hourly_distribution": "hour", "monthly_trends": "year_month"}
+    none = F.lit(None).cast("double").alias("moving_average_7")
+    return rounded(readers.union_all([
+        sections[name].select(
+            F.lit(name).alias("section"), F.col(key).cast("string").alias("key"), "value", "moving_average_7" if key == "date" else none)
+        for name, key in keys.items()
+    ]))
 
 
 # --- streams ----------------------------------------------------------------------------------
@@ -230,11 +248,20 @@ def _(spark, sf):
     return spark.read.parquet(target).select("event_id", "message_hash")
 
 
-@query("r3_stream_daily_spikes", "SELECT cast(ts AS date)::VARCHAR AS date, round(sum(value), 4) AS value_sum, count(*) AS transaction_count FROM events GROUP BY 1")
+@query("r3_stream_daily_spikes", """WITH d AS (SELECT cast(ts AS date) AS d, sum(value) AS s, count(*) AS n FROM events GROUP BY 1),
+ z AS (SELECT *, (s - avg(s) OVER ()) / stddev_pop(s) OVER () AS z FROM d)
+ SELECT d::VARCHAR AS date, round(s, 4) AS value_sum, n AS transaction_count, CASE WHEN z > 1.0 THEN 'spike' WHEN z < -1.0 THEN 'drop' END AS kind FROM z""")
 def _(spark, sf):
-    """The stored totals after the last micro-batch equal a batch computation."""
-    source, target = scratch(spark), scratch(spark)
+    """After the last micro-batch the stored totals and the flags equal a batch computation."""
+    source, target, flagged = scratch(spark), scratch(spark), scratch(spark)
     events = read(spark, sf, "events").select("event_id", "ts", "value")
     events.repartition(4, "event_id").write.parquet(source)
-    streams.stream_daily_spikes(_stream(spark, source, events.schema), "ts", "value", target, scratch(spark), "60 days").awaitTermination()
-    return texts(rounded(streams.current_totals(spark, target, "value")), "date")
+
+    def keep(flags, batch_id):
+        flags.select("date", "kind", F.lit(batch_id).alias("batch")).write.mode("append").parquet(flagged)
+
+    streams.stream_daily_spikes(
+        _stream(spark, source, events.schema), "ts", "value", target, scratch(spark), "60 days", threshold=1.0, on_flags=keep).awaitTermination()
+    flags = spark.read.parquet(flagged)
+    last = flags.join(flags.agg(F.max("batch").alias("batch")), "batch").select("date", "kind")
+    return texts(rounded(streams.current_totals(spark, target, "value").join(last, "date", "left")), "date")
