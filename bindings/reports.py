@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.registry import WITH_LEDGER, ledger_table, longs, query, rounded
+from bindings.registry import WITH_LEDGER, ledger_table, query, rounded
 from txnlake.operators import reports
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from txnlake.functions import text
 from txnlake.functions.fixed_values import DATE_NAME_PARTS, TABLE_DATE_FORMATS
 from txnlake.operators.clean import columns_of
-from txnlake.plans.groups import attach, column_percentiles, durable, fits, over_history, row_position, running_total
+from txnlake.plans.groups import attach, column_percentiles, durable, over_history, row_position, running_total
 
 KINDS: dict[str, Callable[[Column], Column]] = {
     "sum": lambda v: F.coalesce(F.sum(v), F.lit(0)),
