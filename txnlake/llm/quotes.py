@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from txnlake.plans.groups import durable, row_position
+from txnlake.plans.groups import carry_forward, durable, row_position
 
 #: Up to three blanks may stand before each mark, as in mail and Markdown.
 MARKS = r"^((?:[ \t]{0,3}>)+)[ \t]?"
@@ -75,13 +75,26 @@ def links(rows: DataFrame) -> DataFrame:
 
 
 def _heads(steps: DataFrame) -> DataFrame:
-    """conv, pos, head: the position that ``steps`` (conv, pos, up) lead to; each round doubles the length of the ways."""
+    """conv, pos, head: the position that ``steps`` (conv, pos, up; up < pos, or pos itself at a head) lead to.
+
+    Stretches of messages that each go on with the one before are one step, found by carrying their starts
+    forward. Only starts that go on with a message elsewhere are followed; each round doubles the length of the ways.
+    """
+    starts = steps.withColumn("run", F.when(F.col("up") != F.col("pos") - 1, F.col("pos")))
+    runs = durable(carry_forward(starts, ["conv"], [F.col("pos")], ["run"]))
+    places = runs.select(F.col("conv").alias("c"), F.col("pos").alias("p"), F.col("run").alias("over"))
+    jumps = runs.filter((F.col("run") == F.col("pos")) & (F.col("up") < F.col("pos")))
+    jumps = jumps.join(places, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("p"))).select("conv", F.col("pos").alias("run"), "over")
     while True:
-        up = steps.select(F.col("conv").alias("c"), F.col("pos").alias("mid"), F.col("up").alias("over"))
-        stepped = durable(steps.join(up, (F.col("conv") == F.col("c")) & (F.col("up") == F.col("mid"))).select("conv", "pos", "up", "over"))
-        steps = stepped.select("conv", "pos", F.col("over").alias("up"))
-        if stepped.filter("over <> up").isEmpty():
-            return steps.withColumnRenamed("up", "head")
+        jumps = durable(jumps)
+        next_ = jumps.select(F.col("conv").alias("c"), F.col("run").alias("r"), F.col("over").alias("further"))
+        moved = jumps.join(next_, (F.col("conv") == F.col("c")) & (F.col("over") == F.col("r")), "left")
+        if moved.filter("further is not null").isEmpty():
+            break
+        jumps = moved.select("conv", "run", F.coalesce("further", "over").alias("over"))
+    ends = jumps.select(F.col("conv").alias("c"), F.col("run").alias("r"), "over")
+    whole = runs.join(ends, (F.col("conv") == F.col("c")) & (F.col("run") == F.col("r")), "left")
+    return whole.select("conv", "pos", F.coalesce("over", "run").alias("head"))
 
 
 def link_quotations(messages: DataFrame) -> DataFrame:
