@@ -27,6 +27,8 @@ BUCKETS = 16_384
 #: Characters of markup noise, which lower a document's quality weight.
 NOISE = "#*$%&|<>"
 LEAST_WEIGHT = 0.05
+#: Plans of up to this many sources, one small row each, are sent to all executors; longer ones are joined.
+BROADCAST_SOURCES = 50_000
 
 
 def quality_weight(text: Column, size: Column) -> Column:
@@ -67,8 +69,8 @@ def keyed(docs: DataFrame, seed: str = SEED) -> DataFrame:
     return out.withColumn("_bucket", F.least(((1 - F.exp(-F.col("_key"))) * BUCKETS).cast("int"), F.lit(BUCKETS - 1)))
 
 
-def cuts(slim: DataFrame) -> DataFrame:
-    """One row for each source of ``slim`` (source, doc_id, _size, _key, _bucket): source_size, target, epochs, cut.
+def cuts(slim: DataFrame) -> tuple[DataFrame, bool]:
+    """The plan and whether it is short: one row for each source of ``slim`` (source, doc_id, _size, _key, _bucket): source_size, target, epochs, cut.
 
     ``cut`` is the (key, doc_id) of the last document that the fraction of an epoch takes; null takes none. The
     document at the edge is taken if that brings the source nearer to its target. Documents with equal key and
@@ -79,33 +81,35 @@ def cuts(slim: DataFrame) -> DataFrame:
     sizes = [(r["source"], r["n"] or 0) for r in slim.groupBy("source").agg(F.sum("_size").alias("n")).collect()]
     plan = [(s, n, t, min(MAX_EPOCHS, math.floor(t / n)) if n else 0) for s, n, t in share_out(sizes)]
     plan = [(*p, p[2] - p[1] * p[3]) for p in plan]
+    few = len(plan) <= BROADCAST_SOURCES
     goal = spark.createDataFrame(plan, "source string, source_size long, target double, epochs int, budget double")
+    small = F.broadcast if few else (lambda df: df)
 
     sums = slim.groupBy("source", "_bucket").agg(F.sum("_size").alias("n"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))  # at most BUCKETS rows a source
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     edge = (
-        sums.join(goal, same(sums, goal))
+        sums.join(small(goal), same(sums, goal))
         .filter((F.col("before") <= F.col("budget")) & (F.col("before") + F.col("n") > F.col("budget")))
         .groupBy(sums["source"]).agg(F.min_by(F.struct("_bucket", "before"), "_bucket").alias("e"))
         .select(F.col("source").alias("edge_source"), F.col("e._bucket").alias("edge_bucket"), F.col("e.before").alias("edge_before"))
     )
-    at_edge = slim.join(edge, slim["source"].eqNullSafe(edge["edge_source"]) & (slim["_bucket"] == edge["edge_bucket"]))
+    at_edge = slim.join(small(edge), slim["source"].eqNullSafe(edge["edge_source"]) & (slim["_bucket"] == edge["edge_bucket"]))
     at_edge = at_edge.groupBy("source", "edge_before", "_key", "doc_id").agg(F.sum("_size").alias("n"))
     upto = Window.partitionBy("source").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     at_edge = at_edge.withColumn("sum", F.col("edge_before") + F.sum("n").over(upto))
-    taken = at_edge.join(goal.select(F.col("source").alias("s"), "budget"), at_edge["source"].eqNullSafe(F.col("s")))
+    taken = at_edge.join(small(goal.select(F.col("source").alias("s"), "budget")), at_edge["source"].eqNullSafe(F.col("s")))
     taken = taken.filter(F.col("sum") - F.col("n") / 2 <= F.col("budget")).groupBy("source").agg(F.max(F.struct("_key", "doc_id")).alias("last"))
     taken = taken.withColumnRenamed("source", "taken_source")
     out = goal.join(edge.drop("edge_before"), goal["source"].eqNullSafe(edge["edge_source"]), "left")
-    return out.join(taken, out["source"].eqNullSafe(taken["taken_source"]), "left").select(
-        F.col("source").alias("_source"), "source_size", "target", "epochs", "edge_bucket", "last")
+    whole = out.join(taken, out["source"].eqNullSafe(taken["taken_source"]), "left")
+    return whole.select(F.col("source").alias("_source"), "source_size", "target", "epochs", "edge_bucket", "last"), few
 
 
-def copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+def copies(rows: DataFrame, plan: DataFrame, few: bool) -> DataFrame:
     """``rows`` (with _key, _bucket) with source_size, target and _copies, how often the mix takes a row."""
-    joined = rows.join(plan, rows["source"].eqNullSafe(plan["_source"]))
+    joined = rows.join(F.broadcast(plan) if few else plan, rows["source"].eqNullSafe(plan["_source"]))
     own, last = F.struct(F.col("_key"), F.col("doc_id")), F.struct(F.col("last._key"), F.col("last.doc_id"))
     below = (F.col("_bucket") < F.col("edge_bucket")) | (
         (F.col("_bucket") == F.col("edge_bucket")) & F.col("last").isNotNull() & (own <= last))
@@ -120,12 +124,12 @@ def mix_table(docs: DataFrame) -> DataFrame:
     source is a source, the last one. An empty table gives an empty result; a source without words gets target 0.
     """
     slim = durable(keyed(docs.select("doc_id", "source", "text")).select("doc_id", "source", "_size", "_key", "_bucket"))
-    return copies(slim, cuts(slim)).select(
+    return copies(slim, *cuts(slim)).select(
         "doc_id", F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * F.col("_copies")).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: the rows of ``docs`` with its columns, each as often as the mix takes it."""
     slim = durable(keyed(docs.select("doc_id", "source", "text")).select("doc_id", "source", "_size", "_key", "_bucket"))
-    rows = copies(keyed(docs.select(whole_row(docs), "doc_id", "source", "text")), cuts(slim)).filter(F.col("_copies") > 0)
+    rows = copies(keyed(docs.select(whole_row(docs), "doc_id", "source", "text")), *cuts(slim)).filter(F.col("_copies") > 0)
     return rows.select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
