@@ -7,11 +7,15 @@ documents agree with a probability near their similarity.
 
 1. Equal sets are one class; all that follows works on classes.
 2. Classes that agree in all registers of a band share a bucket. A bucket of any size offers one pair for each
-   member: with its smallest member, the hub.
+   member: with one of its members, the hub.
 3. For each pair the similarity is estimated from all registers jointly, by maximum likelihood given the sizes;
    pairs far below the threshold go. The rest is verified on the full sets.
-4. Components of the verified links. Only buckets that still hold several components are looked at again, for
-   pairs between different components; pairs within a component can't change the result and are never made.
+4. Components of the verified links. Buckets that still hold several components offer pairs with another hub, and
+   so on for ``ROUNDS`` rounds; pairs within a component can't change the result and are never made.
+5. What is then still open is compared in blocks of bounded size, between different components only: members that
+   share a band are estimated from their registers, and those near the threshold are verified on the full sets in
+   the same task. Only links become rows. Blocks are made of classes that buckets connect, not of buckets, so
+   that a pair that shares several bands is compared once.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -34,12 +39,16 @@ BANDS, ROWS = 45, 6
 REGISTERS = BANDS * ROWS
 #: Parameters of the register scale.
 BASE, RATE, TOP = 1.001, 20.0, 65_535
-#: Estimates have a standard error of 0.024 at similarity 0.8; what is this far below the threshold goes unverified.
-MARGIN = 0.16
+#: Estimates have a standard error of 0.024 at similarity 0.8; what is this far below the threshold, more than four
+#: standard errors, goes unverified.
+MARGIN = 0.1
+#: Rounds of pairs with hubs, and classes in a block of what stays open.
+ROUNDS, BLOCK = 2, 256
+#: Pairs whose similarity is estimated at a time.
+ESTIMATED = 1_000
 #: Words whose hashes a worker remembers at most.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
-_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 _RNG = np.random.default_rng(20_240_101)
 _FACTORS = (_RNG.integers(1, 1 << 32, REGISTERS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _SHIFTS = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint64).astype(np.uint32)
@@ -112,7 +121,7 @@ def estimate(left: np.ndarray, right: np.ndarray, n_left: np.ndarray, n_right: n
 def _sketcher(k: int, with_sketch: bool):
     schema = pa.schema([
         ("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()),
-        ("sketch" if with_sketch else "members", pa.binary()),
+        ("sketch", pa.binary()) if with_sketch else ("members", pa.list_(pa.int64())),
     ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +130,7 @@ def _sketcher(k: int, with_sketch: bool):
             for doc_id, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text"), strict=True):
                 found = shingles(text.as_py(), k)
                 data = found.astype("<u8").tobytes()
-                extra = (registers(found).tobytes() if with_sketch else data) if len(found) else None
+                extra = (registers(found).tobytes() if with_sketch else found.view(np.int64)) if len(found) else None
                 rows.append((doc_id, mark, len(found), xxhash.xxh3_128_digest(data), extra))
                 if len(rows) >= 500:
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -134,54 +143,127 @@ def _sketcher(k: int, with_sketch: bool):
 
 def _near(floor: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sketch = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
-            size = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)
-            keep = pa.array(estimate(sketch("sketch_a"), sketch("sketch_b"), size("n_a"), size("n_b")) >= floor)
-            yield batch.select(["sig_a", "sig_b", "rep_a", "rep_b"]).filter(keep)
-
-    return work
-
-
-def _linked(percent: int):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for x, y, left, right in zip(*(batch.column(c) for c in ("rep_a", "rep_b", "members_a", "members_b")), strict=True):
-                one, two = (np.frombuffer(m.as_py(), dtype="<u8") for m in (left, right))
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                if 100 * common >= percent * (len(one) + len(two) - common):
-                    a.append(x.as_py()), b.append(y.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ESTIMATED):
+                batch = whole.slice(at, ESTIMATED)
+                sketch = lambda c: np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, REGISTERS)  # noqa: E731, B023
+                size = lambda c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64)  # noqa: E731, B023
+                keep = pa.array(estimate(sketch("sketch_a"), sketch("sketch_b"), size("n_a"), size("n_b")) >= floor)
+                yield batch.select(["a", "b"]).filter(keep)
 
     return work
 
 
 def _both(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
-    """``pairs`` (sig_a, sig_b) with ``columns`` of ``side`` for both, named with _a and _b."""
+    """``pairs`` (a, b) with ``columns`` of ``side`` (by cid) for both, named with _a and _b."""
     for end in ("a", "b"):
-        named = side.select(F.col("sig").alias(f"sig_{end}"), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-        pairs = pairs.join(named, f"sig_{end}")
+        named = side.select(F.col("cid").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+        pairs = pairs.join(named, end)
     return pairs
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (sig_a, sig_b) that are links, as (a, b) of their classes' smallest ids."""
-    sketched = _both(pairs, classes.select("sig", "rep", "n", "sketch"), "rep", "n", "sketch")
-    near = durable(sketched.select("sig_a", "sig_b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(
-        _near(percent / 100 - MARGIN), "sig_a binary, sig_b binary, rep_a long, rep_b long"))
-    wanted = near.select(F.col("rep_a").alias("doc_id")).union(near.select("rep_b")).distinct()
-    ends = near.select(F.col("sig_a").alias("sig")).union(near.select("sig_b")).distinct()
-    members = docs.join(wanted, "doc_id", "left_semi").mapInArrow(
-        _sketcher(k, False), "doc_id long, mark long, n_shingles long, sig binary, members binary").filter("members is not null")
+def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose estimate isn't far below the threshold."""
+    sketched = _both(pairs, classes.select("cid", "n", "sketch"), "n", "sketch").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b")
+    return durable(sketched.mapInArrow(_near(percent / 100 - MARGIN), "a long, b long"))
+
+
+def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """cid, rep and members (the full set) of the classes ``wanted`` (cid), made anew from their texts."""
+    ends = durable(classes.select("cid", "sig", "rep").join(wanted, "cid", "left_semi"))
+    members = docs.join(ends.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
+        _sketcher(k, False), "doc_id long, mark long, n_shingles long, sig binary, members array<long>").filter("members is not null")
     # Repeated rows of an id may hold other sets; one row of each wanted set is enough.
-    sets = durable(members.join(ends, "sig", "left_semi").dropDuplicates(["sig"]).select("sig", "members"))
-    return durable(_both(near, sets, "members").select("rep_a", "rep_b", "members_a", "members_b").mapInArrow(
-        _linked(percent), "a long, b long"))
+    return durable(members.select("sig", "members").join(ends, "sig").dropDuplicates(["cid"]).select("cid", "rep", "members"))
+
+
+def _verified(near: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that are links, as (a, b) of the classes' smallest ids."""
+    wanted = near.select(F.col("a").alias("cid")).union(near.select("b")).distinct()
+    full = _both(near, _sets(wanted, classes, docs, k), "rep", "members")
+    common = F.size(F.array_intersect("members_a", "members_b")).cast("long")
+    union = F.size("members_a") + F.size("members_b") - common
+    return durable(full.filter(100 * common >= percent * union).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")))
+
+
+def _ordered(one: str, two: str) -> list[Column]:
+    return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
+
+
+def _with_hubs(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of every member (key, cid, label) with the hub of its bucket, if their labels differ."""
+    hubs = members.groupBy(F.col("key").alias("of")).agg(
+        F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("draw"), "cid", "label")).alias("hub"))
+    hubs = hubs.select("of", F.col("hub.cid").alias("hub"), F.col("hub.label").alias("hub_label"))
+    paired = members.join(hubs, F.col("key") == F.col("of")).filter("label <> hub_label")
+    return paired.select(*_ordered("cid", "hub")).distinct()
+
+
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (key, cid, label) of ``shared`` (key, cid) in buckets with several labels; ``labels``: cid, label."""
+    placed = durable(shared.join(labels, "cid"))
+    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    return durable(placed.join(mixed, "key", "left_semi"))
+
+
+def _block_links(percent: int):
+    floor = percent / 100 - MARGIN
+
+    def work(rows: pd.DataFrame) -> pd.DataFrame:
+        sketch = np.frombuffer(b"".join(rows.sketch), dtype="<u2").reshape(-1, REGISTERS)
+        rep, label, n = rows.rep.to_numpy(), rows.label.to_numpy(), rows.members.map(len).to_numpy(np.float64)
+        block, crossing = rows.block.to_numpy(), rows.i.iloc[0] != rows.j.iloc[0]
+        # The sets as numbers of hashes, one after the other.
+        place = np.unique(np.concatenate(rows.members.to_numpy()), return_inverse=True)[1]
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+        values, counts = np.unique(label, return_counts=True)
+        main = values[np.argmax(counts)]
+        at, left, right = np.arange(len(rows)), [], []
+        # Every pair of different labels has a member outside the most frequent one.
+        for x in np.flatnonzero(label != main):
+            others = (label != label[x]) & ((label == main) | (at > x))
+            if crossing:
+                others &= block != block[x]
+            others = np.flatnonzero(others)
+            equal = sketch[others] == sketch[x]
+            # Registers agree about as often as the sets are similar; what is clearly below needs no estimate.
+            often = np.count_nonzero(equal, axis=1) >= (floor - 0.05) * REGISTERS
+            others, equal = others[often], equal[often]
+            if not len(others):
+                continue
+            others = others[equal.reshape(len(others), BANDS, ROWS).all(axis=2).any(axis=1)]
+            if not len(others):
+                continue
+            near = estimate(np.repeat(sketch[x][None], len(others), axis=0), sketch[others], np.full(len(others), n[x]), n[others])
+            others = others[near >= floor]
+            mine = np.zeros(place.max() + 1, dtype=bool)
+            mine[place[starts[x]:starts[x] + int(n[x])]] = True
+            for y in others:
+                common = int(mine[place[starts[y]:starts[y] + int(n[y])]].sum())
+                if 100 * common >= percent * (int(n[x]) + int(n[y]) - common):
+                    left.append(rep[x]), right.append(rep[y])
+        return pd.DataFrame({"a": np.array(left, dtype=np.int64), "b": np.array(right, dtype=np.int64)})
+
+    return work
+
+
+def _links_within(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """All links (a, b) between different labels in the buckets of ``members`` (key, cid, label), as ids of classes."""
+    firsts = members.groupBy(F.col("key").alias("of")).agg(F.min("cid").alias("a"))
+    ties = members.join(firsts, F.col("key") == F.col("of")).select("a", F.col("cid").alias("b"))
+    families = components(ties.filter("a <> b").distinct()).select(F.col("node").alias("cid"), F.col("label").alias("family"))
+    placed = durable(members.select("cid", "label").distinct().join(families, "cid"))
+    sizes = placed.groupBy(F.col("family").alias("of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # Small families share blocks: members of different ones have no band in common, so this adds no pair.
+    shared = max(1, math.ceil(placed.count() / BLOCK))
+    bin_ = F.when(F.col("blocks") > 1, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(shared)))
+    spread = placed.join(sizes, F.col("family") == F.col("of")).select(
+        "cid", "label", bin_.alias("bin"), F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    spread = spread.select("cid", "label", "bin", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
+    sets = _sets(placed.select("cid"), classes, docs, k)
+    fed = spread.join(classes.select("cid", "sketch"), "cid").join(sets, "cid")
+    return durable(fed.groupBy("bin", "i", "j").applyInPandas(_block_links(percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
@@ -195,36 +277,37 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     rows = durable(docs.mapInArrow(_sketcher(k, True), "doc_id long, mark long, n_shingles long, sig binary, sketch binary"))
     filled = rows.filter("doc_id is not null and n_shingles > 0")
+    # Numbers of classes are settled by writing them; which number a class gets doesn't matter.
     classes = durable(filled.groupBy("sig").agg(
-        F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+        F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("sketch").alias("sketch")
+    ).withColumn("cid", F.monotonically_increasing_id()))
 
     def key(band: int) -> Column:
         return F.xxhash64(F.lit(band), F.substring("sketch", 2 * ROWS * band + 1, 2 * ROWS))
 
-    banded = classes.select("sig", "rep", F.explode(F.array(*[key(b) for b in range(BANDS)])).alias("key"))
-    hubs = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rep", "sig")).alias("hub")).filter("n > 1")
-    shared = durable(banded.join(hubs.select("key", F.col("hub.sig").alias("hub")), "key"))
-    first = shared.filter("sig <> hub").select(F.col("hub").alias("sig_a"), F.col("sig").alias("sig_b")).distinct()
-    first = durable(first)
-    links = _verified(first, classes, docs, k, percent)
-    labels = components(links)
-
-    placed = shared.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "sig", F.coalesce("label", "rep").alias("label"))
-    placed = durable(placed)
-    open_keys = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    open_rows = durable(placed.join(open_keys, "key", "left_semi"))
-    other = open_rows.select("key", F.col("sig").alias("sig_b"), F.col("label").alias("label_b"))
-    across = open_rows.join(other, "key").filter("label < label_b").select(
-        F.least("sig", "sig_b").alias("sig_a"), F.greatest("sig", "sig_b").alias("sig_b")).distinct()
-    tried = first.select(F.least("sig_a", "sig_b").alias("sig_a"), F.greatest("sig_a", "sig_b").alias("sig_b"))
-    more = durable(across.join(tried, ["sig_a", "sig_b"], "left_anti"))
-    if not more.isEmpty():
-        fresh = _verified(more, classes, docs, k, percent)
-        if not fresh.isEmpty():
-            labels = components(links.union(fresh))
-
-    found = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("label"))
+    banded = classes.select("cid", F.explode(F.array(*[key(b) for b in range(BANDS)])).alias("key"))
+    several = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    shared = durable(banded.join(several, "key", "left_semi"))
+    open_rows = shared.join(classes.select("cid", F.col("rep").alias("label")), "cid")
+    tried = links = labels = None
+    for turn in range(ROUNDS + 1):
+        if turn < ROUNDS:
+            pairs = _with_hubs(open_rows, turn)
+            pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            tried = pairs if tried is None else tried.union(pairs)
+            fresh = _verified(_estimated(pairs, classes, percent), classes, docs, k, percent)
+        else:
+            fresh = _links_within(open_rows, classes, docs, k, percent)
+        links = fresh if links is None else links.union(fresh)
+        if labels is None or not fresh.isEmpty():
+            labels = components(links)
+            if turn < ROUNDS:
+                known = classes.select("cid", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+                open_rows = _open(shared, known.select("cid", F.coalesce("label", "rep").alias("label")))
+        if open_rows.isEmpty():
+            break
+
+    found = classes.select("sig", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("label"))
     out = rows.select("doc_id", "mark", "n_shingles", "sig").join(found, "sig", "left")
     part = F.col("doc_id").isNotNull()
     component = F.when(part, F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")))
