@@ -145,6 +145,7 @@ def _packer(path: str, window: int, end_id: int, buffer_ids: int):
                 if ready_ids >= BATCH_IDS:
                     yield batch()
         flush(True)
+        encoder.rest()
         if ready:
             yield batch()
 

@@ -124,6 +124,7 @@ def _writer(path: str, end_id: int, unit: int, segment_ids: int):
                 n += lengths[-1]
                 if n >= segment_ids:
                     yield close()
+        encoder.rest()
         if docs:
             yield close()
 

@@ -9,6 +9,7 @@ so their ids are remembered; only new ones go through the tokenizer.
 from __future__ import annotations
 
 import os
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -18,12 +19,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Parts that a worker remembers in each of two generations; those met again outlive their generation.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 _LOADED: dict[str, "Encoder"] = {}
 #: Closing characters, which are pre-tokens of their own after a letter.
 CLOSERS = (",", ".")
+#: Latin letters, and ASCII marks without the apostrophe (which begins contractions). In a body of these and single line
+#: ends before one of them, each run is a pre-token, the first with the blank before it.
+_LETTERS, _MARKS = r"A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"!-&(-/:-@\[-`{-~"
+SIMPLE = re.compile(f"(?!\n)(?:[{_LETTERS}{_MARKS}]|\n(?=[{_LETTERS}{_MARKS}]))+")
+RUNS = re.compile(f" ?[{_LETTERS}]+| ?[{_MARKS}]+|\n")
 #: Bytes of text that are worked on at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def default_path() -> str:
@@ -73,19 +79,37 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.closers = {c: self.whole(c) for c in CLOSERS}
         self.known = _Known(self, {})
+        #: Ids of runs that come without a blank, or are marks.
+        self.bare: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return _bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def run(self, run: str) -> bytes:
+        """Ids of one pre-token, which goes to the merges at once."""
+        letters = run.encode().decode("latin-1").translate(self.letters)
+        return _bytes([t.id for t in self.model.tokenize(letters)])
+
     def part(self, body: str) -> bytes:
-        """Ids of a blank and ``body``. A blank and Latin letters are one pre-token, which goes to the merges at once."""
-        if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
-            if body.isascii():
-                letters = self.letters[32] + body
+        """Ids of a blank and ``body``."""
+        if not SIMPLE.fullmatch(body):
+            return self.whole(" " + body)
+        runs = RUNS.findall(" " + body)
+        if len(runs) == 1:
+            return self.run(runs[0])
+        bare = self.bare
+        if len(bare) > REMEMBERED // 4:
+            bare.clear()
+        out = []
+        for r in runs:
+            if r[0] == " " and r[1:].isalpha():
+                out.append(self.known[r[1:]])
             else:
-                letters = (" " + body).encode().decode("latin-1").translate(self.letters)
-            return _bytes([t.id for t in self.model.tokenize(letters)])
-        return self.whole(" " + body)
+                ids = bare.get(r)
+                if ids is None:
+                    ids = bare[r] = self.run(r)
+                out.append(ids)
+        return b"".join(out)
 
     def cut(self, text: str) -> list[str]:
         """``text`` cut at the blanks that begin a run of white space; these blanks are left out."""
@@ -113,7 +137,7 @@ class Encoder:
         offsets = pieces.offsets.to_numpy()
         offsets = offsets - offsets[0]
         coded = pieces.flatten().dictionary_encode()
-        codes, values = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        codes, values = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
         # Texts in which a blank may not begin its run, and those with special strings, are encoded on their own.
         odd = np.fromiter((v == "" or v[-1].isspace() for v in values), bool, len(values))
         alone = np.searchsorted(offsets, np.flatnonzero(odd[codes]), side="right") - 1
@@ -126,12 +150,17 @@ class Encoder:
         heads, place = np.unique(codes[offsets[:-1]], return_inverse=True)
         codes[offsets[:-1]] = len(table) + place
         table += [self.whole(values[h]) if values[h] else b"" for h in heads.tolist()]
-        lengths = np.fromiter(map(len, table), np.int64, len(table)) // 4
+        lengths = np.fromiter(map(len, table), np.int32, len(table)) // 4
         stock = np.frombuffer(b"".join(table), dtype="<u4")
-        starts = np.cumsum(lengths) - lengths
+        del table
+        starts = np.cumsum(lengths, dtype=np.int32) - lengths
         n = lengths[codes]
         ends = np.cumsum(n)
-        out = stock[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1])].tobytes()
+        # Where each id of the texts lies in the stock; a slice has far fewer than 2 ** 31 ids.
+        at = np.repeat(starts[codes] - (ends - n).astype(np.int32), n)
+        at += np.arange(len(at), dtype=np.int32)
+        out = stock[at].tobytes()
+        del at
         bounds = (4 * np.concatenate([[0], ends])[offsets]).tolist()
         for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
             yield self.one(texts[i].as_py()) if i in alone else out[a:b]
@@ -150,6 +179,10 @@ class Encoder:
             yield from self._slice(texts.slice(at, end - at))
             at = end
 
+    def rest(self) -> None:
+        """Forget the older generation, so that a worker that waits or does other work holds less."""
+        self.known.old = {}
+
 
 def encoder(path: str) -> Encoder:
     """The encoder of a worker process, loaded once."""
