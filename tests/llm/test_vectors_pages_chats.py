@@ -120,6 +120,17 @@ def test_template_finds_the_slot_without_named_elements(spark):
     assert extract(spark, pages) == [f"Head {i} Body of page {i} with words enough to weigh." for i in range(6)]
 
 
+def test_template_decides_where_names_are(spark):
+    notice = "<div class='box'><p>Subscribers read more of this every day.</p></div>"
+    body = "<main><h1>Head {i}</h1><p>Body of page {i} with words enough to weigh.</p>" + notice + "<article class='teaser'>See {i}</article></main>"
+    pages = [(f"https://d.example.org/{i}", LAYOUT.format(body=body.format(i=i))) for i in range(6)]
+    assert extract(spark, pages) == [f"Head {i} Body of page {i} with words enough to weigh. See {i}" for i in range(6)]
+    # Pages whose text isn't in the named element.
+    body = "<div class='story'><p>Body of page {i} with words enough to weigh.</p></div><article>Top {i}</article>"
+    pages = [(f"https://e.example.org/{i}", LAYOUT.format(body=body.format(i=i))) for i in range(6)]
+    assert extract(spark, pages) == [f"Body of page {i} with words enough to weigh." for i in range(6)]
+
+
 def test_template_classes(spark):
     pages = [(str(i), "h", LAYOUT.format(body="<article>" + "<p>x</p>" * i + "</article>")) for i in range(1, 6)]
     found = html_text.templates(spark.createDataFrame(pages, "page string, host string, html string")).first()

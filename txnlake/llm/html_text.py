@@ -1,12 +1,12 @@
 """Main text of web pages by templates deduced from pages of the same host.
 
-Tokens are element starts and ends, told apart by their path. A token's occurrence vector says how often each page
+Tokens are element starts and ends, told apart by their path, and texts of blocks with their path. A token's occurrence vector says how often each page
 of the host has it; tokens with equal vectors are an equivalence class. Vectors are never written out: a class is
 told by the XOR of hashes of (page, count), which adds up before any shuffle. A class is valid if it is frequent
 enough and its tokens come in the same order on all of its pages. Paths of valid classes, nested by their
-prefixes, are the host's template; its slots hold what differs from page to page. The slot of the article
-(by its name, else by the mass of its unlinked text) is the page's main text, without what is nested in it
-under the names of menus, notices, comments and the like.
+prefixes, are the host's template, and so are frequent texts; its slots hold what differs from page to page. The
+slot with the mass of the unlinked text (names tell between nested ones) is the page's main text, without texts of
+the template and what is nested in it under the names of menus, notices, comments and the like.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,8 +49,10 @@ FIRM, FIRM_WORDS = {"html", "body", "main", "article"}, {"comment", "comments",
 
 #: A class belongs to the template if it is on this share of its host's pages, and on two at least.
 SUPPORT = 0.2
-#: Without a named element, the main slot is the deepest container with this share of the host's unlinked text.
+#: A slot is a container with this share of the unlinked text of the pages that have it.
 MASS = 0.7
+#: Texts belong to the template from this many pages on: two pages with a common text may be copies.
+TEXT_PAGES = 3
 CONTAINERS = set("body div section table tbody tr td center main article".split())
 #: Copies of a host's template, so that pages of one host are worked on by many tasks.
 SALT = 32
@@ -70,7 +72,7 @@ def _names(attributes: str) -> tuple[str, set[str], bool]:
             hidden = True
         if name in ("class", "id", "role"):
             for item in value.split():
-                label = label or item.lower()
+                label = label or re.sub(r"[/.#]", "_", item.lower())
                 if not item.lower().startswith(("has-", "no-", "with-")):
                     words.update(w.lower() for w in _WORD.findall(item))
     return label, words, hidden
@@ -82,6 +84,7 @@ class Page:
     def __init__(self, source: str):
         self.tokens: list[str] = []
         self.blocks: list[tuple[str, bool, bool, str, int]] = []
+        self.mains: set[str] = set()
         self._stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, other, main
         self._text: list[tuple[str, bool]] = []
         at = 0
@@ -127,7 +130,9 @@ class Page:
         named = words & (FIRM_WORDS if name in FIRM else OTHER_NAMES)
         path = f"{path}/{name}" + (f".{label}" if label else "")
         other = other or name in OTHER_ELEMENTS or bool(named) or hidden and name not in ("html", "body")
-        main = main or not other and (name in MAIN_NAMES or "main" in words and name not in ("html", "body"))
+        if not other and (name in MAIN_NAMES or "main" in words and name not in ("html", "body")):
+            main = True
+            self.mains.add(path)
         self._stack.append((name, path, other, main))
         self.tokens.append(path)
 
@@ -152,80 +157,98 @@ class Page:
         del self._stack[to:]
 
 
-def main_text(page: Page, root: str | None) -> str:
-    """Blocks of the page's main elements, else of the template's ``root``, else all; without those under other names."""
+def text_token(path: str, text: str) -> str:
+    """The token of a block: its path and a hash of its text."""
+    return f"{path}#{xxhash.xxh3_64_hexdigest(text)}"
+
+
+def main_text(page: Page, slots: list[str] | None, texts: list[str] | None) -> str:
+    """Blocks of the page's slot, else all that aren't mostly links; without ``texts`` of the template and what has other names.
+
+    Of nested slots the deepest with a main element's name counts, else the deepest. A page with more text of the
+    template than of its own (without links) is a copy of others, and keeps it.
+    """
     wanted = [b for b in page.blocks if not b[1]]
-    named = [b for b in wanted if b[2]]
-    if not named and root:
-        named = [b for b in wanted if b[0] == root or b[0].startswith(root + "/")]
-    if not named:
-        # Without a template what is mostly links is a menu.
-        named = [b for b in wanted if 2 * b[4] <= len(b[3])]
-    articles = [b for b in named if "/article" in b[0]]
-    return " ".join(b[3] for b in articles or named)
+    shared = set(texts or ())
+    own = [b for b in wanted if text_token(b[0], b[3]) not in shared] if shared else wanted
+    unlinked = lambda blocks: sum(len(b[3]) - b[4] for b in blocks)
+    if not own or 2 * unlinked(own) < unlinked(wanted):
+        own = wanted
+    held = {s: sum(len(b[3]) for b in own if b[0] == s or b[0].startswith(s + "/")) for s in slots or ()}
+    # What holds little of the page is a slot of other layouts.
+    fit = [s for s, n in held.items() if n and 2 * n >= max(held.values())]
+    if fit:
+        root = max(fit, key=lambda s: (s in page.mains, s.count("/"), held[s], s))
+        return " ".join(b[3] for b in own if b[0] == root or b[0].startswith(root + "/"))
+    # Without a template what is mostly links is a menu.
+    return " ".join(b[3] for b in own if 2 * b[4] <= len(b[3]))
 
 
-TOKENS = "page string, host string, token string, n long, first long, mass long"
+TOKENS = "page string, host string, token string, n long, first long, mass long, total long"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("page", pa.string()), ("host", pa.string()), ("token", pa.string()), ("n", pa.int64()), ("first", pa.int64()), ("mass", pa.int64())])
+    """Tokens of pages; ``mass`` is the unlinked text in the element and all that is nested in it, ``total`` that of the page."""
+    numbers = ("n", "first", "mass", "total")
+    schema = pa.schema([*((c, pa.string()) for c in ("page", "host", "token")), *((c, pa.int64()) for c in numbers)])
     for batch in batches:
         rows = []
         for key, host, source in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "html")), strict=True):
             page = Page(source or "")
             mass: Counter[str] = Counter()
+            texts: Counter[str] = Counter()
+            total = 0
             for path, other, _, text, linked in page.blocks:
                 if not other:
-                    mass[path] += len(text) - linked
+                    texts[text_token(path, text)] += 1
+                    total += len(text) - linked
+                    while path:
+                        mass[path] += len(text) - linked
+                        path = path.rpartition("/")[0]
             first: dict[str, int] = {}
             for i, token in enumerate(page.tokens):
                 first.setdefault(token, i)
-            rows += [(key, host, t, n, first[t], mass[t]) for t, n in Counter(page.tokens).items()]
+            rows += [(key, host, t, n, first[t], mass[t], total) for t, n in Counter(page.tokens).items()]
+            rows += [(key, host, t, n, None, 0, 0) for t, n in texts.items()]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * len(schema)
         yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _root(rows: pd.DataFrame) -> pd.DataFrame:
-    """The deepest container in the template of a host that holds ``MASS`` of its unlinked text, itself or in what is nested in it."""
-    mass = dict(zip(rows.token, rows.mass, strict=True))
-    total = sum(mass.values())
-    template = sorted(rows.token[rows.valid], key=lambda t: (t.count("/"), t))
-    root = None
-    for path in template:
-        held = sum(m for t, m in mass.items() if t == path or t.startswith(path + "/"))
-        if total and held >= MASS * total and path.rpartition("/")[2].partition(".")[0] in CONTAINERS:
-            root = path
-    return pd.DataFrame({"host": [rows.host.iloc[0]], "root": [root], "template": [template]})
-
-
 def templates(pages: DataFrame) -> DataFrame:
-    """host, root and template (paths) of every host of ``pages`` (page, host, html)."""
-    tokens = durable(pages.mapInArrow(_tokens, TOKENS))
+    """host, template (paths), slots (paths) and texts (tokens) of every host of ``pages`` (page, host, html).
+
+    A slot is a container in the template with ``MASS`` of the unlinked text of the pages that have it, so each layout
+    of a host has slots of its own. Equal pages of a host count once.
+    """
+    told = pages.select("host", "html", F.xxhash64("html").cast("string").alias("page"))
+    tokens = durable(told.mapInArrow(_tokens, TOKENS).dropDuplicates(["host", "page", "token"]))
     by_token = tokens.groupBy("host", "token").agg(
-        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("support"), F.sum("n").alias("total"), F.sum("mass").alias("mass"))
-    sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    by_token = by_token.join(sizes.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    frequent = (F.col("support") >= F.greatest(F.lit(2), F.col("pages") * SUPPORT)) | (F.col("pages") == 1)
-    by_token = durable(by_token.withColumn("frequent", frequent))
-    # The order of a class's tokens on each of its pages; valid classes have one order.
-    named = by_token.filter("frequent").select(F.col("host").alias("_host"), F.col("token").alias("_token"), "vector", "support")
+        F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.count(F.lit(1)).alias("support"), F.sum("mass").alias("mass"), F.sum("total").alias("total"),
+        F.first("first").isNull().alias("is_text"))
+    by_token = by_token.filter(~F.col("is_text") | (F.col("support") >= TEXT_PAGES))
+    sizes = told.select("host", "page").distinct().groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("pages"))
+    by_token = by_token.join(sizes, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
+    often = F.col("support") >= F.greatest(F.lit(2), F.col("pages") * SUPPORT)
+    by_token = durable(by_token.filter(often | (F.col("pages") == 1)))
+    # The order of a class's tokens on each of its pages; valid classes have one order. A text's place is told by its path.
+    named = by_token.filter("not is_text").select(F.col("host").alias("_host"), F.col("token").alias("_token"), "vector", "support")
     placed = tokens.join(named, F.col("host").eqNullSafe(F.col("_host")) & (F.col("token") == F.col("_token")))
     orders = placed.groupBy("host", "vector", "support", "page").agg(
         F.xxhash64(F.transform(F.array_sort(F.collect_list(F.struct("first", "token"))), lambda x: x["token"])).alias("order"), F.count(F.lit(1)).alias("size"))
     classes = orders.groupBy(F.col("host").alias("_h"), F.col("vector").alias("_v"), F.col("support").alias("_s")).agg(
         (F.min("order") == F.max("order")).alias("ordered"), F.max("size").alias("size"))
     same = F.col("host").eqNullSafe(F.col("_h")) & (F.col("vector") == F.col("_v")) & (F.col("support") == F.col("_s"))
-    judged = by_token.join(classes, same, "left").filter(~F.col("token").startswith("//")).select(
-        "host", "token", "mass", (F.col("frequent") & F.coalesce(F.col("ordered") & (F.col("size") > 1), F.lit(False))).alias("valid"))
-    # Rare tokens without text can't matter; what is left of a host is bounded by its layout, not by its pages.
-    judged = judged.filter("valid or mass > 0")
-    return durable(judged.groupBy("host").applyInPandas(_root, "host string, root string, template array<string>"))
+    valid = by_token.join(classes, same, "left").filter(~F.col("token").startswith("//") & (F.col("is_text") | F.col("ordered") & (F.col("size") > 1)))
+    container = F.regexp_extract("token", r"/([^/.]*)[^/]*$", 1).isin(*CONTAINERS)
+    is_slot = ~F.col("is_text") & container & (F.col("mass") > 0) & (F.col("mass") >= F.col("total") * MASS)
+    # A host's frequent tokens are bounded by its layouts: at most 1 / SUPPORT times those of a mean page.
+    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("token"))))
+    return durable(valid.groupBy("host").agg(listed(~F.col("is_text")).alias("template"), listed(is_slot).alias("slots"), listed(F.col("is_text")).alias("texts")))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(Page(h or ""), r) for h, r in zip(batch.column("html").to_pylist(), batch.column("root").to_pylist(), strict=True)]
+        texts = [main_text(Page(h or ""), s, t) for h, s, t in zip(*(batch.column(c).to_pylist() for c in ("html", "slots", "texts")), strict=True)]
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url")), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
@@ -239,12 +262,11 @@ def main_texts(pages: DataFrame, key: str = "page_id") -> DataFrame:
     slim = pages.select(
         F.col(q(key)).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
         F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"))
-    named = slim.withColumn("page", F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.xxhash64("url", "html").cast("string")))
-    found = templates(named.select("page", "host", "html"))
-    spread = found.select(F.col("host").alias("_host"), "root", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_part"))
+    found = templates(slim.select("host", "html"))
+    spread = found.select(F.col("host").alias("_host"), "slots", "texts", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_part"))
     salted = slim.withColumn("_salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
     joined = salted.join(spread, (F.col("host") == F.col("_host")) & (F.col("_salt") == F.col("_part")), "left")
-    return joined.select("page_id", "url", "html", "root").mapInArrow(_extract, "page_id long, url string, text string")
+    return joined.select("page_id", "url", "html", "slots", "texts").mapInArrow(_extract, "page_id long, url string, text string")
 
 
 def page_table(pages: DataFrame) -> DataFrame:
