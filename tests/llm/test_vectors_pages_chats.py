@@ -131,6 +131,16 @@ def test_template_decides_where_names_are(spark):
     assert extract(spark, pages) == [f"Body of page {i} with words enough to weigh." for i in range(6)]
 
 
+def test_templates_of_layouts_within_a_host(spark):
+    story = "<div id='post-{i}' class='entry-{i}'><p>Body of page {i} with words enough to weigh.</p></div><div id='box-{i}'><p>Mark {i}</p></div>"
+    rare = "<section class='column'><p>Column of page {i} with words enough to weigh.</p><p>Columns come out on each Monday.</p></section><div class='tail'>Tail</div>"
+    pages = [(f"https://f.example.org/{i}", LAYOUT.format(body=(story if i % 10 else rare).format(i=i))) for i in range(40)]
+    assert extract(spark, pages) == [f"{'Body' if i % 10 else 'Column'} of page {i} with words enough to weigh." for i in range(40)]
+    rows = spark.createDataFrame([("h", h) for _, h in pages], "host string, html string")
+    found = html_text.templates(rows).first()
+    assert len(found["template"]) < 40 and any(x.endswith("/div.entry-0") for x in found["slots"])
+
+
 def test_template_classes(spark):
     pages = [(str(i), "h", LAYOUT.format(body="<article>" + "<p>x</p>" * i + "</article>")) for i in range(1, 6)]
     found = html_text.templates(spark.createDataFrame(pages, "page string, host string, html string")).first()

@@ -47,10 +47,12 @@ MAIN_NAMES = set("article main".split())
 #: Elements whose names decide alone, whatever their classes say, but for these words.
 FIRM, FIRM_WORDS = {"html", "body", "main", "article"}, {"comment", "comments", "ad", "ads", "advert", "related", "promo"}
 
-#: A class belongs to the template if it is on this share of its host's pages, and on two at least.
-SUPPORT = 0.2
-#: A slot is a container with this share of the unlinked text of the pages that have it.
-MASS = 0.7
+#: A class of elements belongs to the template if it is on this share of its host's pages, and on two at least; a text
+#: if it is on the second share of the pages that have its path. Layouts of few pages have templates so.
+LAYOUT, SUPPORT = 0.01, 0.2
+#: A slot is a container with this share of the unlinked text of the pages that have it; the second one counts for
+#: containers on less than SUPPORT of the host's pages, which are layouts of few pages or only parts of some pages.
+MASS, RARE_MASS = 0.7, 0.9
 #: Texts belong to the template from this many pages on: two pages with a common text may be copies.
 TEXT_PAGES = 3
 CONTAINERS = set("body div section table tbody tr td center main article".split())
@@ -64,7 +66,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
 def _names(attributes: str) -> tuple[str, set[str], bool]:
-    """First class or id, the words of class, id and role, and whether the element is hidden."""
+    """First class or role (numbers in it as 0), the words of class, id and role, and whether the element is hidden."""
     label, words, hidden = "", set(), False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "")
@@ -72,7 +74,9 @@ def _names(attributes: str) -> tuple[str, set[str], bool]:
             hidden = True
         if name in ("class", "id", "role"):
             for item in value.split():
-                label = label or re.sub(r"[/.#]", "_", item.lower())
+                # Ids, and numbers in classes, often belong to one page; paths are of the layout.
+                if name != "id":
+                    label = label or re.sub(r"[0-9]+", "0", re.sub(r"[/.#]", "_", item.lower()))
                 if not item.lower().startswith(("has-", "no-", "with-")):
                     words.update(w.lower() for w in _WORD.findall(item))
     return label, words, hidden
@@ -228,8 +232,13 @@ def templates(pages: DataFrame) -> DataFrame:
     by_token = by_token.filter(~F.col("is_text") | (F.col("support") >= TEXT_PAGES))
     sizes = told.select("host", "page").distinct().groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("pages"))
     by_token = by_token.join(sizes, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    often = F.col("support") >= F.greatest(F.lit(2), F.col("pages") * SUPPORT)
-    by_token = durable(by_token.filter(often | (F.col("pages") == 1)))
+    by_token = durable(by_token)
+    elements = by_token.filter(~F.col("is_text") & ((F.col("support") >= F.greatest(F.lit(2), F.col("pages") * LAYOUT)) | (F.col("pages") == 1)))
+    paths = by_token.filter("not is_text").select(F.col("host").alias("_host"), F.col("token").alias("_token"), F.col("support").alias("having"))
+    texts = by_token.filter("is_text").withColumn("path", F.substring_index("token", "#", 1))
+    texts = texts.join(paths, F.col("host").eqNullSafe(F.col("_host")) & (F.col("path") == F.col("_token")), "left")
+    texts = texts.filter(F.col("support") >= F.coalesce("having", "pages") * SUPPORT).select(by_token.columns)
+    by_token = elements.unionByName(texts)
     # The order of a class's tokens on each of its pages; valid classes have one order. A text's place is told by its path.
     named = by_token.filter("not is_text").select(F.col("host").alias("_host"), F.col("token").alias("_token"), "vector", "support")
     placed = tokens.join(named, F.col("host").eqNullSafe(F.col("_host")) & (F.col("token") == F.col("_token")))
@@ -240,8 +249,9 @@ def templates(pages: DataFrame) -> DataFrame:
     same = F.col("host").eqNullSafe(F.col("_h")) & (F.col("vector") == F.col("_v")) & (F.col("support") == F.col("_s"))
     valid = by_token.join(classes, same, "left").filter(~F.col("token").startswith("//") & (F.col("is_text") | F.col("ordered") & (F.col("size") > 1)))
     container = F.regexp_extract("token", r"/([^/.]*)[^/]*$", 1).isin(*CONTAINERS)
-    is_slot = ~F.col("is_text") & container & (F.col("mass") > 0) & (F.col("mass") >= F.col("total") * MASS)
-    # A host's frequent tokens are bounded by its layouts: at most 1 / SUPPORT times those of a mean page.
+    is_slot = ~F.col("is_text") & container & (F.col("mass") > 0) & (
+        F.col("mass") >= F.col("total") * F.when(F.col("support") >= F.col("pages") * SUPPORT, F.lit(MASS)).otherwise(F.lit(RARE_MASS)))
+    # A host's frequent tokens are bounded by its layouts: at most 1 / LAYOUT times those of a mean page.
     listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.col("token"))))
     return durable(valid.groupBy("host").agg(listed(~F.col("is_text")).alias("template"), listed(is_slot).alias("slots"), listed(F.col("is_text")).alias("texts")))
 
