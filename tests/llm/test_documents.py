@@ -185,6 +185,32 @@ def test_outliers_go_and_plain_documents_stay(spark):
     assert sum(r["base_failed"] for r in got.values()) < 40
 
 
+def planted_outliers():
+    """For each feature a document that differs in it alone, among plain ones."""
+    r = random.Random(2)
+    plain = lambda n: ["".join(r.choice("abdeghilmnorstu") for _ in range(r.randrange(3, 8))) for _ in range(n)]
+    lines = lambda w: "\n".join(" ".join(w[i:i + 6]) for i in range(0, len(w), 6))
+    dotted = lambda w: [x + ("." if i % 9 == 8 else "") for i, x in enumerate(w)]
+    shown = lambda w: [x.capitalize() if i % 25 == 0 else x for i, x in enumerate(w)]
+    once = lambda n: lines(shown(dotted(plain(n))))
+    again = plain(12)
+    rows = {
+        "word_length": lines([x * 4 for x in plain(120)]), "symbols": lines([x + "$$" for x in plain(120)]), "capitals": once(120).upper(),
+        "marks": lines([x + ";;;;;;" for x in plain(120)]), "dup_lines": "\n".join(x + "\nread more" for x in once(240).split("\n")),
+        "repeats": lines(dotted(plain(60)) + again + dotted(plain(37)) + again), "doubles": lines([x for w in plain(60) for x in (w, w)]),
+    }
+    assert list(rows) == list(quality.FEATURES)
+    return rows, [once(120) for _ in range(300)]
+
+
+def test_every_feature_alone_rejects_an_outlier(spark):
+    rows, plain = planted_outliers()
+    docs = [(i, t, "en", "s") for i, t in enumerate([*rows.values(), *plain])]
+    got = {r["doc_id"]: r for r in quality.judge(table(spark, docs)).collect()}
+    assert [f for i, f in enumerate(rows) if got[i]["kept"] or got[i]["base_failed"]] == []
+    assert all(got[i]["kept"] for i in range(len(rows), len(docs)))
+
+
 def test_many_groups_are_joined_with_equal_results(spark, monkeypatch):
     docs = table(spark, corpus())
     few = sorted(map(tuple, quality.quality_table(docs).collect()))

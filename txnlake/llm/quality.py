@@ -31,7 +31,8 @@ GRID, LIMIT = 64, 16
 FEATURES = ("word_length", "symbols", "capitals", "marks", "dup_lines", "repeats", "doubles")
 P = len(FEATURES)
 #: Spreads below these (in units of the transformed statistics) are taken as these: differences that small mean nothing.
-FLOOR = (0.20, 0.10, 0.15, 0.25, 0.25, 0.25, 0.15)
+#: sqrt(CUTOFF) = 5.47 times each lies within what its feature can reach (1 for shares, sqrt(0.2) for repeats).
+FLOOR = (0.20, 0.10, 0.10, 0.25, 0.125, 0.08, 0.10)
 #: The 0.9999 quantile and the median of chi-squared with P degrees of freedom: squared distances of normal vectors.
 CUTOFF, MEDIAN = 29.88, 6.346
 STEPS = 5
@@ -113,13 +114,21 @@ def statistics(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed).withColumns({f"x{i}": place(x) for i, x in enumerate(vector)})
 
 
-# Estimates travel as rows (lang, source, n, center, inverse): center in grid units, inverse row by row.
-ESTIMATE = "lang string, source string, n long, center array<double>, inverse array<double>"
+# Estimates travel as rows (lang, source, n, center, cov, inverse): center and cov in grid units, matrices row by row.
+ESTIMATE = "lang string, source string, n long, center array<double>, cov array<double>, inverse array<double>"
 
 
 def _inverse(cov: np.ndarray) -> list[float]:
-    """Inverse of a covariance (in grid units) to which the floors are added."""
-    return np.linalg.inv(cov + np.diag((np.array(FLOOR) * GRID) ** 2)).reshape(-1).tolist()
+    """Inverse of a covariance (in grid units) whose spread in every direction is the floors' at least."""
+    floor = np.array(FLOOR) * GRID
+    spread, axes = np.linalg.eigh(cov / np.outer(floor, floor))
+    return ((axes / np.maximum(spread, 1.0)) @ axes.T / np.outer(floor, floor)).reshape(-1).tolist()
+
+
+def _estimate(rows: pd.DataFrame, n: int, center: list[float], cov: np.ndarray) -> pd.DataFrame:
+    first = rows.iloc[0]
+    return pd.DataFrame(
+        [(first.lang, first.source, n, center, cov.reshape(-1).tolist(), _inverse(cov))], columns=["lang", "source", "n", "center", "cov", "inverse"])
 
 
 def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
@@ -135,8 +144,7 @@ def _start(rows: pd.DataFrame) -> pd.DataFrame:
         values, weights = rows.value[rows.k == k].to_numpy(float), rows.n[rows.k == k].to_numpy(np.int64)
         center.append(_weighted_median(values, weights))
         spread.append(1.4826 * _weighted_median(np.abs(values - center[-1]), weights))
-    first = rows.iloc[0]
-    return pd.DataFrame([(first.lang, first.source, n, center, _inverse(np.diag(np.square(spread))))], columns=["lang", "source", "n", "center", "inverse"])
+    return _estimate(rows, n, center, np.diag(np.square(spread)))
 
 
 def _half(rows: pd.DataFrame) -> tuple[pd.DataFrame, int]:
@@ -155,18 +163,24 @@ def _step(rows: pd.DataFrame) -> pd.DataFrame:
     for i in range(P):
         for j in range(i, P):
             cov[i, j] = cov[j, i] = half[f"s{i}_{j}"].sum() / h - center[i] * center[j]
-    first = rows.iloc[0]
-    return pd.DataFrame([(first.lang, first.source, n, center.tolist(), _inverse(cov))], columns=["lang", "source", "n", "center", "inverse"])
+    return _estimate(rows, n, center.tolist(), cov)
 
 
 def _final(rows: pd.DataFrame) -> pd.DataFrame:
-    """How far distances must be divided so that their median is that of a normal vector; 1 at least."""
+    """How far a covariance must be multiplied so that the median of distances is that of a normal vector; 1 at least."""
     half, n = _half(rows)
     median = 2 ** ((half.bin.max() + 1) / BINS_PER_OCTAVE) - 1
     first = rows.iloc[0]
     return pd.DataFrame([(first.lang, first.source, max(1.0, median / MEDIAN))], columns=["lang", "source", "scale"])
 
 
+def _scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Covariances times ``scale``; the floors hold after that, so a wide feature doesn't widen those of another."""
+    for rows in batches:
+        cov = [np.array(c).reshape(P, P) * f for c, f in zip(rows["cov"], rows["scale"], strict=True)]
+        yield rows.assign(cov=[c.reshape(-1).tolist() for c in cov], inverse=[_inverse(c) for c in cov]).drop(columns="scale")
+
+
 def _distance() -> Column:
     """Squared distance of x0 to x6 under center and inverse."""
     off = [F.col(f"x{i}") - F.col("center")[i] for i in range(P)]
@@ -212,7 +226,7 @@ def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
     scale = _binned(good, found, few, False).groupBy("lang", "source").applyInPandas(_final, "lang string, source string, scale double")
     scale = scale.select(F.col("lang").alias("l"), F.col("source").alias("s"), "scale")
     both = found.join(scale, found["lang"].eqNullSafe(scale["l"]) & found["source"].eqNullSafe(scale["s"]))
-    return durable(both.drop("l", "s")), few
+    return durable(both.select("lang", "source", "n", "center", "cov", "inverse", "scale").mapInPandas(_scaled, ESTIMATE)), few
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -223,7 +237,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """
     rows = durable(statistics(docs))
     found, few = estimates(rows)
-    judged = _attach(rows, found, few).withColumn("distance", F.when(~F.col("base_failed"), _distance() / F.col("scale")))
+    judged = _attach(rows, found, few).withColumn("distance", F.when(~F.col("base_failed") & F.col("center").isNotNull(), _distance()))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
     return judged.select("doc_id", "lang", "source", "mark", *COUNTS, "base_failed", "distance", kept.alias("kept"))
 
