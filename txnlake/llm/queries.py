@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txnlake.llm import dedup, html_text, mixing, packing, planes, quality, quotes, secrets, sharding, topk
+from txnlake.llm import align, dedup, html_text, mixing, packing, planes, quality, quotes, runs, secrets, sharding, topk, toxicity
 from txnlake.llm.common import read
 from txnlake.llm.sql_secrets import SECRET_SQL
 
@@ -125,3 +125,18 @@ def op9_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_quotation_links")
 def op10_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quotes.link_quotations(read(spark, sf_dir, "conversations"))
+
+
+@query("op11_align_tokenizers")
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_table(read(spark, sf_dir, "documents"))
+
+
+@query("op12_word_runs")
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_table(read(spark, sf_dir, "documents"))
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
