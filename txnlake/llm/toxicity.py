@@ -28,6 +28,8 @@ from txnlake.plans.groups import durable
 
 #: Letters of an expression; the discount of a class; nats above the middle word.
 ORDER, CLASS_DISCOUNT, STEPS = 5, 0.9, (1.0, 2.0, 3.0, 4.0)
+#: Most that the middle word's evidence takes from the others': a text of nothing but toxic words is no language.
+MOST_MIDDLE = 1.0
 #: Shares are smoothed as if a document had so many more words, so many of them with evidence.
 MORE_WORDS, MORE_HITS = 30.0, 0.3
 THRESHOLD = 0.7
@@ -177,7 +179,7 @@ def shares(logs: np.ndarray, times: np.ndarray) -> list[float]:
     if len(logs):
         order = np.argsort(logs, kind="stable")
         upto = np.cumsum(times[order])
-        above = logs - logs[order][np.searchsorted(upto, upto[-1] / 2)]
+        above = logs - min(float(logs[order][np.searchsorted(upto, upto[-1] / 2)]), MOST_MIDDLE)
         hits = [float(weight[above > s].sum()) for s in STEPS]
     else:
         hits = [0.0] * len(STEPS)
