@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from txnlake.llm.tokens import byte_letters
 from txnlake.plans.groups import durable
 
 #: Texts of more bytes are cut into ranges of so many.
@@ -38,10 +39,9 @@ RANGE_BYTES = 65_536
 BLOCK_BYTES, REMEMBERED = 8 << 20, 250_000
 #: Fragments that one step of the tree composes.
 FAN = 16
-#: New parts that go through a tokenizer in one call.
-CALL_PARTS = 500
+#: New parts that go through a tokenizer in one call, and that are entered at a time.
+CALL_PARTS, LEARNED = 500, 20_000
 _SPLIT = re.compile(r"(?<=\S) ")
-_LOADED: dict[tuple[str, str], "Parts"] = {}
 
 
 class Fragment(NamedTuple):
@@ -125,8 +125,6 @@ class Parts:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        from txnlake.llm.tokens import byte_letters
-
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -236,8 +234,8 @@ class Parts:
         for parts in apart.values():
             new.update(dict.fromkeys(parts))
         new = [v for v in new if v not in self.index]
-        if new:
-            self.learn(new)
+        for i in range(0, len(new), LEARNED):
+            self.learn(new[i:i + LEARNED])
         place = np.fromiter((self.index.get(v, -1) for v in values), np.int64, len(values))
         out = []
         for i, (x, y) in enumerate(zip(offsets.tolist(), offsets.tolist()[1:])):
@@ -245,12 +243,6 @@ class Parts:
         return out
 
 
-def parts_of(paths: tuple[str, str]) -> Parts:
-    if paths not in _LOADED:
-        _LOADED[paths] = Parts(*paths)
-    return _LOADED[paths]
-
-
 def _safe(data: bytes, i: int) -> bool:
     """True when the blank at ``i`` begins a run of white space."""
     start = i - 1
@@ -414,7 +406,7 @@ def _block(parts: Parts, block: int, rows: list[tuple], texts: pa.Array) -> pa.R
 
 def _blocker(paths: tuple[str, str], block_bytes: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = parts_of(paths)
+        parts = Parts(*paths)
         context = TaskContext.get()
         block = (context.partitionId() if context else 0) << 32
         for batch in batches:
@@ -426,7 +418,6 @@ def _blocker(paths: tuple[str, str], block_bytes: int):
                 end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + block_bytes)))
                 yield _block(parts, block, rows[at:end], texts.slice(at, end - at))
                 at, block = end, block + 1
-        parts.forget()
 
     return work
 
