@@ -2,7 +2,8 @@
 
 Rule lists are small tables. Equality rules are joins whose strategy the optimizer picks from
 the list's known size; pattern rules are column expressions in rule order. Fuzzy rules run on
-distinct names only, and only on those no cheaper rule settled.
+distinct names only, and only on those no cheaper rule settled. Lists of fuzzy rules are sent along
+with the scoring function; rules in a DataFrame may be many, and are joined by `plans.fuzzy_join`.
 """
 
 from __future__ import annotations
@@ -22,21 +23,62 @@ from txnlake.functions.fixed_values import (
     PROMO_LATIN,
 )
 from txnlake.functions.rules import category_rules, first_match, java_pattern, local_table, valid_pattern
-from txnlake.functions.similarity import best_group_udf, best_name_udf, best_ratio_udf
+from txnlake.functions.similarity import best_group_udf, best_name_udf, best_ratio_udf, name_score, partial_ratio
+from txnlake.plans import fuzzy_join
+from txnlake.plans.groups import durable
 
 
 # --- merchants ----------------------------------------------------------------------------------
 
 
+def _checked(threshold: float) -> float:
+    if not 0 < threshold <= 100:
+        raise ValueError(f"a threshold is above 0 and at most 100, not {threshold}")
+    return float(threshold)
+
+
+def _placed(table: DataFrame, key: Column, value: str) -> DataFrame:
+    """One row for each key, the empty one left out: right, _value (of the last place), _place (the first one).
+
+    Without a ``place`` the text itself gives the order, and the greatest value counts.
+    """
+    place = F.col("place") if "place" in table.columns else key
+    last = F.struct(place.alias("p"), F.col(value).alias("v"))
+    return table.filter(key != "").groupBy(key.alias("right")).agg(F.max(last)["v"].alias("_value"), F.min(place).alias("_place"))
+
+
+def _nearest(scored: DataFrame, table: DataFrame) -> DataFrame:
+    """The best scored row of each ``left``, the first place at ties: left, _value, score."""
+    best = F.min_by(F.struct("_value", "score"), F.struct(-F.col("score"), F.col("_place")))
+    return scored.join(table, "right").groupBy("left").agg(best.alias("_b")).select("left", "_b._value", "_b.score")
+
+
+def _resolved_names(names: DataFrame, aliases: DataFrame, threshold: float) -> DataFrame:
+    """_name, _canonical, match_score of the ``names`` (column left) that an alias equals or resembles."""
+    table = durable(_placed(aliases, F.lower("alias"), "canonical"))
+    names = durable(names)
+    exact = names.join(table, names["left"] == table["right"]).select("left", "_value", F.lit(100.0).alias("score"))
+    missing = names.join(table.select(F.col("right").alias("left")), "left", "left_anti")
+    near = _nearest(fuzzy_join.similar_names(missing, table.select("right"), threshold), table)
+    return exact.union(near).toDF("_name", "_canonical", "match_score")
+
+
 def resolve_merchants(
-    df: DataFrame, payee: str, aliases: Sequence[tuple[str, str]], threshold: float = 85.0
+    df: DataFrame, payee: str, aliases: Sequence[tuple[str, str]] | DataFrame, threshold: float = 85.0
 ) -> DataFrame:
     """Adds ``canonical`` and ``match_score``: 100 for an alias, else the closest alias above the threshold.
 
     ``aliases`` are (alias, canonical) pairs; the first alias wins ties, an unmatched payee stands
     for itself without a score. Scoring runs once per distinct name; the scored names join back
     without a hint, so their measured size decides between broadcast and shuffle.
+
+    A DataFrame of aliases (alias, canonical, and place, which gives their order) may have any size: only names that
+    share a rare key with an alias are compared with it. Of equal aliases the last canonical name counts.
     """
+    if isinstance(aliases, DataFrame):
+        keyed = df.withColumn("_key", text.merchant_key(F.col(payee)))
+        names = keyed.select(F.col("_key").alias("left")).filter("left is not null").distinct()
+        return _with_canonical(keyed, payee, _resolved_names(names, aliases, _checked(threshold)))
     pairs = dict((a.lower(), c) for a, c in aliases)
     listed = list(pairs)
     spark = df.sparkSession
@@ -55,6 +97,10 @@ def resolve_merchants(
         F.col("_key").alias("_name"), F.coalesce("_exact", "_near").alias("_canonical"),
         F.when(F.col("_exact").isNotNull(), F.lit(100.0)).otherwise(F.col("_fuzzy.score")).alias("match_score"),
     )
+    return _with_canonical(keyed, payee, resolved)
+
+
+def _with_canonical(keyed: DataFrame, payee: str, resolved: DataFrame) -> DataFrame:
     joined = keyed.join(resolved, keyed["_key"] == resolved["_name"], "left")
     unmatched = F.when(F.col("_key").isNull() & F.col(payee).isNotNull(), "").otherwise(F.col(payee))
     return joined.withColumn("canonical", F.coalesce("_canonical", unmatched)).drop("_key", "_name", "_canonical")
@@ -83,7 +129,10 @@ def identify_bank(
     df: DataFrame, column: str = "text", patterns: Mapping[str, Sequence[str]] = BANK_PATTERNS,
     fuzzy: bool = True, threshold: float = 80.0,
 ) -> DataFrame:
-    """Adds ``bank_id`` and ``bank_score``: the first bank with a pattern in the text, else the closest one."""
+    """Adds ``bank_id`` and ``bank_score``: the first bank with a pattern in the text, else the closest one.
+
+    For fuzzy names in a table of any size see `nearest_bank`.
+    """
     message = text.stripped(F.col(column))
     banks = list(patterns)
     hits = []
@@ -110,6 +159,31 @@ def identify_bank(
     ).drop("_message", "_exact", "_fuzzy")
 
 
+def nearest_bank(df: DataFrame, column: str, names: DataFrame, threshold: float = 80.0) -> DataFrame:
+    """Adds ``bank_id`` and ``bank_score`` by a table of names (bank, name, place) that a text may hold with slips.
+
+    A bank scores by its first name, by place, that reaches the threshold against a stretch of the text; the best bank
+    wins, at ties the one with the first place. Without one: 'unknown_bank' and 0. Empty names match nothing.
+    """
+    threshold = _checked(threshold)
+    table = durable(names.select(F.lower("name").alias("right"), "bank", "place").filter("right <> ''"))
+    messages = df.withColumn("_message", F.nullif(F.lower(text.stripped(F.col(column))), F.lit("")))
+    left = durable(messages.select(F.col("_message").alias("left")).filter("left is not null").distinct())
+
+    def score(a: list[str], b: list[str]) -> list[float]:
+        return [partial_ratio(y, x) for x, y in zip(a, b, strict=True)]
+
+    pairs = fuzzy_join.partial_candidates(left, table.select("right").distinct(), threshold)
+    found = fuzzy_join.scored(pairs, score, threshold).join(table, "right")
+    of_bank = found.groupBy("left", "bank").agg(F.min_by("score", "place").alias("score"))
+    order = table.groupBy("bank").agg(F.min("place").alias("_first"))
+    best = of_bank.join(order, "bank").groupBy("left").agg(F.min_by(F.struct("bank", "score"), F.struct(-F.col("score"), F.col("_first"))).alias("_b"))
+    joined = messages.join(best, messages["_message"] == best["left"], "left")
+    return joined.withColumns({
+        "bank_id": F.coalesce("_b.bank", F.lit("unknown_bank")), "bank_score": F.coalesce("_b.score", F.lit(0.0)),
+    }).drop("_message", "left", "_b")
+
+
 def bank_statistics(df: DataFrame) -> DataFrame:
     """Messages per bank."""
     return df.groupBy("bank_id").agg(F.count("*").alias("count"))
@@ -236,11 +310,36 @@ def match_tag(df: DataFrame, tags: str, rules: Sequence[dict], out: str = "rule_
     return df.withColumn(out, first_match(choices))
 
 
+def _match_fuzzy_table(df: DataFrame, merchant: str, rules: DataFrame, threshold: float, unless: Column | None, offset: int, out: str) -> DataFrame:
+    key = text.merchant_key(F.col(merchant))
+    asked = df.withColumn("_asked", key if unless is None else F.when(unless, F.lit(None)).otherwise(key))
+    left = durable(asked.select(F.col("_asked").alias("left")).filter("left is not null").distinct())
+    pattern = F.lower(F.trim("pattern"))
+    place = F.struct(F.col("place") if "place" in rules.columns else F.col("rule"), F.col("rule"))
+    table = durable(rules.filter(pattern != "").groupBy(pattern.alias("right")).agg(
+        F.min_by("rule", place).alias("_value"), F.min(place).alias("_place")))
+    right = table.select("right")
+    pairs = fuzzy_join.token_candidates(left, right, threshold).union(fuzzy_join.partial_candidates(left, right, threshold)).distinct()
+
+    def score(a: list[str], b: list[str]) -> list[float]:
+        return [name_score(x, y) for x, y in zip(a, b, strict=True)]
+
+    best = _nearest(fuzzy_join.scored(pairs, score, threshold), table).select(
+        "left", (F.col("_value") + offset).cast("int").alias(out), F.col("score").alias(f"{out}_score"))
+    return asked.join(best, asked["_asked"] == best["left"], "left").drop("_asked", "left")
+
+
 def match_fuzzy(
-    df: DataFrame, merchant: str, rules: Sequence[dict], threshold: float = 80.0, unless: Column | None = None,
+    df: DataFrame, merchant: str, rules: Sequence[dict] | DataFrame, threshold: float = 80.0, unless: Column | None = None,
     offset: int = 0, out: str = "rule_idx",
 ) -> DataFrame:
-    """Adds the rule with the closest ``merchant_fuzzy`` name and its score; rows meeting ``unless`` are left out."""
+    """Adds the rule with the closest ``merchant_fuzzy`` name and its score; rows meeting ``unless`` are left out.
+
+    Rules in a DataFrame (rule, pattern, and place, which gives their order) may be any number: only names that share a
+    word or a rare key with a pattern are compared with it. The first place wins ties; empty patterns match nothing.
+    """
+    if isinstance(rules, DataFrame):
+        return _match_fuzzy_table(df, merchant, rules, _checked(threshold), unless, offset, out)
     patterns = [
         (i + offset, p.lower().strip()) for i, r in enumerate(rules) for p in r.get("merchant_fuzzy") or []
     ]
@@ -277,13 +376,14 @@ def merge_tags(existing: Column, added: Column) -> Column:
 
 def categorize(
     df: DataFrame, rules: Mapping, merchant: str = "normalized_merchant", payee: str | None = "payee",
-    tags: str | None = "tags", threshold: float = 80.0,
+    tags: str | None = "tags", threshold: float = 80.0, fuzzy: DataFrame | None = None,
 ) -> DataFrame:
     """Adds category, subcategory, merged tags and the stage that decided.
 
     Stages in order: match, match_regex, match_tag, merchant_exact, merchant_fuzzy, keywords,
     fallback. Everything but the tags depends on the merchant alone and is worked out once per
-    distinct name.
+    distinct name. ``fuzzy`` (rule, pattern, place) gives the fuzzy patterns as a table instead of the
+    ``merchant_fuzzy`` lists; rule is a position in ``categories``.
     """
     new, old = _split_rules(rules)
     offset = len(new)
@@ -294,7 +394,7 @@ def categorize(
     staged = match_regex(staged, "_who", new, "_i1")
     staged = match_exact(staged, "_who", old, "merchant_exact", offset, "_i3")
     settled = F.coalesce("_i0", "_i1", "_i3").isNotNull()
-    staged = match_fuzzy(staged, "_who", old, threshold, settled, offset, "_i4")
+    staged = match_fuzzy(staged, "_who", old if fuzzy is None else fuzzy, threshold, settled, offset, "_i4")
     staged = match_keywords(staged, "_who", old, offset, "_i5")
     staged = staged.withColumnRenamed("_who", "_name").drop("_i4_score")
     joined = base.join(staged, base["_who"] == staged["_name"], "left")

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import itertools
+from collections.abc import Iterator, Mapping, Sequence
 from datetime import date
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from txnlake.functions import text
 from txnlake.functions.fixed_values import LEDGER_COLUMNS, REPORT_COLUMNS
-from txnlake.plans.groups import attach, durable
+from txnlake.plans.components import components
+from txnlake.plans.groups import attach, durable, fits, row_position, rows_per_task
 
 COMPOSITE = ("date", "amount", "payee", "account_id")
 SEARCHED = ("date", "payee", "category", "subcategory", "tags")
@@ -218,49 +222,118 @@ def existing_rows(batch: DataFrame, ledger: DataFrame, keys: Sequence[str] = COM
 
     Ledger keys are reduced to one row each, so the two left joins add no rows.
     """
-    marked = _mark_existing(batch, ledger, keys)
+    marked = _mark_existing(batch, everywhere(ledger), keys)
     return marked.filter("_known is not null").drop("_known")
 
 
-def _mark_existing(batch: DataFrame, ledger: DataFrame, keys: Sequence[str]) -> DataFrame:
+class Lookups(NamedTuple):
+    """The parts of a ledger that hold every row with a hash, a composite key or an id of a batch."""
+
+    hashes: DataFrame
+    keys: DataFrame
+    ids: DataFrame
+
+
+def everywhere(ledger: DataFrame) -> Lookups:
+    return Lookups(ledger, ledger, ledger)
+
+
+def _mark_existing(batch: DataFrame, stored: Lookups, keys: Sequence[str]) -> DataFrame:
     """Adds ``_known``: the id (or TRUE without ids) of the ledger row a batch row equals."""
-    ident = F.col("id") if "id" in ledger.columns else F.lit("known")
-    by_hash = ledger.groupBy("message_hash").agg(F.min(ident).alias("_by_hash"))
-    by_key = ledger.na.drop(subset=list(keys)).groupBy(*keys).agg(F.min(ident).alias("_by_key"))
+    ident = F.col("id") if "id" in stored.hashes.columns else F.lit("known")
+    # Only ledger rows that the batch can equal are grouped: a small batch is sent to the ledger, which stays where it is.
+    same_hash = stored.hashes.join(batch.select("message_hash").distinct(), "message_hash", "left_semi")
+    same_key = stored.keys.join(batch.select(*keys).na.drop().distinct(), list(keys), "left_semi")
+    by_hash = same_hash.groupBy("message_hash").agg(F.min(ident).alias("_by_hash"))
+    by_key = same_key.groupBy(*keys).agg(F.min(ident).alias("_by_key"))
     marked = batch.join(by_hash, "message_hash", "left").join(by_key, list(keys), "left")
     return marked.withColumn("_known", F.coalesce("_by_hash", "_by_key")).select(*batch.columns, "_known")
 
 
-def _clashes(pairs: DataFrame) -> bool:
-    """Whether any hash or any key stands in more than one pair."""
-    shared = [
-        pairs.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("_n")).filter("_n > 1").select("_n")
-        for c in ("_h", "_c")
-    ]
-    return not shared[0].unionByName(shared[1]).isEmpty()
+#: Rounds in which the first rows of all hashes and keys are taken at once, before the rest is cut into components.
+LEADER_ROUNDS = 2
+
+
+def _leaders(pending: DataFrame) -> DataFrame:
+    """Pairs with ``_first``: whether a pair comes first under both its hash and its key."""
+    by_hash = pending.groupBy("_h").agg(F.min("_at").alias("_first_h"))
+    by_key = pending.filter("_c is not null").groupBy("_c").agg(F.min("_at").alias("_first_c"))
+    ranked = attach(pending, by_hash, ["_h"]).join(by_key, "_c", "left")
+    first = (F.col("_at") == F.col("_first_h")) & (F.col("_c").isNull() | (F.col("_at") == F.col("_first_c")))
+    return ranked.select("_at", "_h", "_c", first.alias("_first"))
+
+
+def _rest(pending: DataFrame, inserted: DataFrame) -> DataFrame:
+    """Pairs that share neither a hash nor a key with an inserted one."""
+    held = pending.join(inserted.select("_h"), "_h", "left_anti")
+    return held.join(inserted.filter("_c is not null").select("_c"), "_c", "left_anti")
 
 
-def _first_occurrences(rows: DataFrame, order: str, keys: Sequence[str]) -> DataFrame:
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Go through pairs component by component, each in its order; mark those that no earlier marked one equals."""
+    group, hashes, keys = None, set(), set()
+    for batch in batches:
+        firsts = []
+        for label, h, c in zip(*(batch.column(n).to_pylist() for n in ("label", "_hash", "_key"))):
+            if label != group:
+                group, hashes, keys = label, set(), set()
+            first = h not in hashes and (c is None or c not in keys)
+            if first:
+                hashes.add(h)
+                keys.add(c)
+            firsts.append(first)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(firsts, pa.bool_())], names=["row", "_first"])
+
+
+def _by_component(pending: DataFrame, keys: Sequence[str], rounds: list | None) -> tuple[DataFrame, DataFrame]:
+    """(inserted pairs, pairs that are still open): each component of pairs that share a hash or a key is gone through in
+    order, in one task. Of a component too large for that the first rows are; what they leave open comes next time.
+    """
+    spark = pending.sparkSession
+    # A pair links its hash and its key; two texts of one number only make a component larger than it need be.
+    hashed = F.xxhash64(F.lit("h"), "_h")
+    keyed = F.coalesce(F.xxhash64(F.lit("c"), *[F.col(f"_c.{k}") for k in keys]), hashed)
+    numbered = durable(pending.select("_at", "_h", "_c", hashed.alias("_x"), F.when(F.col("_c").isNull(), hashed).otherwise(keyed).alias("_y")))
+    labels = components(numbered.select(F.col("_x").alias("a"), F.col("_y").alias("b")), rounds)
+    placed = numbered.join(labels, numbered["_x"] == labels["node"]).select("_at", "_h", "_c", "label")
+    limit = rows_per_task(spark)
+    if not fits(placed, ["label"], limit):
+        placed = row_position(placed, ["label"], [F.col("_at")], small=False).filter(F.col("_pos") <= limit).drop("_pos")
+    placed = durable(placed.withColumn("row", F.monotonically_increasing_id()))
+    # Texts of the hash and the key, so that the pass need not know their types.
+    plain = placed.select("row", "label", "_at", F.col("_h").cast("string").alias("_hash"), F.to_json("_c").alias("_key"))
+    marked = plain.repartition("label").sortWithinPartitions("label", "_at").select("row", "label", "_hash", "_key").mapInArrow(
+        _in_order, "row long, _first boolean")
+    inserted = durable(placed.join(marked.filter("_first").select("row"), "row", "left_semi").select("_at", "_h", "_c"))
+    done = placed.select(F.col("_at").alias("_seen"))
+    open_ = numbered.select("_at", "_h", "_c").join(done, F.col("_at") == F.col("_seen"), "left_anti")
+    return inserted, open_
+
+
+def _first_occurrences(rows: DataFrame, order: str, keys: Sequence[str], rounds: list | None = None) -> DataFrame:
     """Rows a one-by-one load would insert: those no earlier inserted row equals.
 
-    Equal (hash, key) pairs collapse to their first row, map-side. Then, round by round, a row
-    that comes first under both its hash and its key is inserted and rules out the rows that
-    share either. Where no two pairs share anything, as in ordinary data, all are inserted at once.
+    Equal (hash, key) pairs collapse to their first row, map-side. Rows that come first under both their hash and their
+    key are inserted and rule out the rows that share either; in ordinary data that settles all. What is left after two
+    rounds are chains of clashes, each of which waits for the one before: their components are found in about log2 of
+    their length rounds, and each is gone through in order. ``rounds``, a list, gets an entry for each round of either kind.
     """
     pairs = rows.select(F.col(order).alias("_at"), F.col("message_hash").alias("_h"), _composite(keys).alias("_c"))
-    pending = durable(pairs.groupBy("_h", "_c").agg(F.min("_at").alias("_at")))
+    pending = pairs.groupBy("_h", "_c").agg(F.min("_at").alias("_at"))
     inserted = None
-    while True:
-        if not _clashes(pending):
-            return pending if inserted is None else inserted.unionByName(pending.select("_at", "_h", "_c"))
-        by_hash = pending.groupBy("_h").agg(F.min("_at").alias("_first_h"))
-        by_key = pending.filter("_c is not null").groupBy("_c").agg(F.min("_at").alias("_first_c"))
-        ranked = attach(pending, by_hash, ["_h"]).join(by_key, "_c", "left")
-        first = (F.col("_at") == F.col("_first_h")) & (F.col("_c").isNull() | (F.col("_at") == F.col("_first_c")))
-        leaders = durable(ranked.filter(first).select("_at", "_h", "_c"))
-        inserted = leaders if inserted is None else inserted.unionByName(leaders)
-        rest = pending.join(leaders.select("_h"), "_h", "left_anti").join(leaders.select("_c"), "_c", "left_anti")
-        pending = durable(rest)
+    for turn in itertools.count():
+        if turn < LEADER_ROUNDS:
+            ranked = durable(_leaders(pending))
+            now = ranked.filter("_first").drop("_first")
+            pending = ranked.filter("NOT _first").drop("_first")
+            if rounds is not None:
+                rounds.append("leaders")
+        else:
+            now, pending = _by_component(pending, keys, rounds)
+        inserted = now if inserted is None else inserted.unionByName(now)
+        if pending.isEmpty():
+            return inserted
+        pending = durable(_rest(pending, now))
 
 
 def _as_ledger(rows: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -271,7 +344,7 @@ def _as_ledger(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     )
 
 
-def _settled(ledger: DataFrame, batch: DataFrame, order: str, keys: Sequence[str], required: Sequence[str]) -> DataFrame:
+def _settled(stored: Lookups, batch: DataFrame, order: str, keys: Sequence[str], required: Sequence[str]) -> DataFrame:
     """Batch rows with ``_target``, the id of the ledger row each ends up in, and ``_state``: known, new, same or failed.
 
     A row is 'new' if no ledger row and no earlier new row equals it, and 'same' if an earlier new row does. A new
@@ -283,15 +356,16 @@ def _settled(ledger: DataFrame, batch: DataFrame, order: str, keys: Sequence[str
     usable = F.lit(True)
     for n in needed:
         usable = usable & n
-    marked = durable(_mark_existing(hashed.filter(usable), ledger, keys))
+    marked = durable(_mark_existing(hashed.filter(usable), stored, keys))
     fresh = marked.filter("_known is null")
     leaders = _first_occurrences(fresh, order, keys).select("_at", "_h", "_c")
     made = F.substring(F.sha2(F.concat_ws("|", F.lit("row"), "_h", F.col("_at").cast("string")), 256), 1, 32)
     own = F.col("id").cast("string") if "id" in fresh.columns else F.lit(None).cast("string")
     named = leaders.join(fresh.select(F.col(order).alias("_of"), own.alias("_own")), F.col("_at") == F.col("_of")).drop("_of")
-    if "id" in ledger.columns:
-        taken = ledger.select(F.col("id").cast("string").alias("_own")).distinct().withColumn("_taken", F.lit(True))
-        named = named.join(taken, "_own", "left")
+    if "id" in stored.ids.columns:
+        asked = named.select("_own").filter("_own is not null").distinct()
+        taken = asked.join(stored.ids.select(F.col("id").cast("string").alias("_own")), "_own", "left_semi")
+        named = named.join(taken.withColumn("_taken", F.lit(True)), "_own", "left")
     else:
         named = named.withColumn("_taken", F.lit(None).cast("boolean"))
     claims = named.filter("_own is not null").groupBy("_own").agg(F.min("_at").alias("_claim"))
@@ -335,9 +409,9 @@ def insert_skip(
     inserted. Loading a batch twice changes nothing. New rows without an id of their own that is free get one;
     ``stored_id`` is the id of the ledger row that a batch row is in, ``reason`` says why a row failed.
     """
-    settled = _settled(ledger, batch, order, keys, required)
+    settled = _settled(everywhere(ledger), batch, order, keys, required)
     added = settled.filter("_state = 'new'").withColumn("id", F.col("_target"))
-    status = _status(settled, {"new": "inserted", "known": "skipped", "same": "skipped", "failed": "failed"}, required)
+    status = _status(settled, SKIP_WORDS, required)
     return ledger.unionByName(_as_ledger(added, ledger)), status
 
 
@@ -349,12 +423,26 @@ def upsert(
     A stored id stays; of several batch rows for one ledger row the last wins, and its NULLs count.
     Batch columns the ledger lacks are left out. Ids of new rows, ``stored_id`` and ``reason`` as in `insert_skip`.
     """
-    settled = _settled(ledger, batch, order, keys, required)
-    status = _status(settled, {"new": "inserted", "known": "updated", "same": "updated", "failed": "failed"}, required)
+    settled = _settled(everywhere(ledger), batch, order, keys, required)
+    status = _status(settled, UPSERT_WORDS, required)
+    return _merged(ledger, _changes(settled, ledger, order)), status
+
+
+UPSERT_WORDS = {"new": "inserted", "known": "updated", "same": "updated", "failed": "failed"}
+SKIP_WORDS = {"new": "inserted", "known": "skipped", "same": "skipped", "failed": "failed"}
+
+
+def _changes(settled: DataFrame, ledger: DataFrame, order: str) -> DataFrame:
+    """The last batch row for each ledger row: _target, _b (its fields), _is_new."""
     fields = [c for c in settled.columns if c in ledger.columns and c != "id"]
     last = settled.filter("_state <> 'failed'").groupBy("_target").agg(
         F.max_by(F.struct(*fields), F.col(order)).alias("_b"), F.max((F.col("_state") == "new").cast("int")).alias("_is_new"))
-    changes = durable(last)
+    return durable(last)
+
+
+def _merged(ledger: DataFrame, changes: DataFrame) -> DataFrame:
+    """``ledger`` with known rows changed and new ones added."""
+    fields = changes.schema["_b"].dataType.names
     known = changes.filter("_is_new = 0")
     kinds = {f.name: f.dataType for f in ledger.schema.fields}
     joined = ledger.join(known, ledger["id"].cast("string") == known["_target"], "left")
@@ -363,7 +451,7 @@ def upsert(
         F.when(hit, F.col("_b")[c].cast(kinds[c])).otherwise(F.col(c)).alias(c) if c in fields else ledger[c] for c in ledger.columns
     ])
     added = changes.filter("_is_new = 1").select(F.col("_target").alias("id"), "_b.*")
-    return kept.unionByName(_as_ledger(added, ledger)), status
+    return kept.unionByName(_as_ledger(added, ledger))
 
 
 def load_stats(status: DataFrame) -> DataFrame:
