@@ -211,6 +211,66 @@ def test_every_feature_alone_rejects_an_outlier(spark):
     assert all(got[i]["kept"] for i in range(len(rows), len(docs)))
 
 
+def vectors(r, n, correlation):
+    """Rows of grid values whose first and fourth component go together as told; long texts, so that chance is small."""
+    z = r.normal(size=(n, quality.P))
+    z[:, 3] = correlation * z[:, 0] + math.sqrt(1 - correlation**2) * z[:, 3]
+    return np.round(40 * z + 200).astype(int)
+
+
+def plain_mcd(x, chance):
+    """Center and covariance from the operator's three starts, by sorting."""
+    n, p, best = len(x), quality.P, None
+    middle = np.sort(x, axis=0)[(n + 1) // 2 - 1]
+    spread = 1.4826 * np.sort(np.abs(x - middle), axis=0)[(n + 1) // 2 - 1]
+    for cov in (np.diag(spread**2), np.zeros((p, p)), np.eye(p) * quality.WIDE):
+        center = middle
+        for _ in range(quality.STEPS):
+            bins = np.floor(np.log2(1 + quality.distances(x, chance, center, cov)) * quality.BINS_PER_OCTAVE)
+            limit = np.sort(bins)[min(n, (n + p + 1) // 2) - 1]
+            half = x[bins <= limit]
+            center, cov = half.mean(axis=0), np.cov(half.T, bias=True)
+        det = np.linalg.slogdet(cov + np.eye(p))[1]
+        if best is None or det < best[0]:
+            best = det, center, cov
+    _, center, cov = best
+    bins = np.floor(np.log2(1 + quality.distances(x, chance, center, cov)) * quality.BINS_PER_OCTAVE)
+    median = 2 ** ((np.sort(bins)[min(n, (n + p + 1) // 2) - 1] + 1) / quality.BINS_PER_OCTAVE) - 1
+    return center, cov * max(1.0, median / quality.MEDIAN)
+
+
+@pytest.mark.parametrize("sent", [True, False])
+def test_the_covariance_decides(spark, monkeypatch, sent):
+    if not sent:
+        monkeypatch.setattr(quality, "BROADCAST_GROUPS", 0)
+    r = np.random.default_rng(3)
+    groups = {"together": vectors(r, 500, 0.95), "apart": vectors(r, 500, 0.0)}
+    rows = [(k, *map(int, x), 10_000, 10_000, 10_000) for k, v in groups.items() for x in v]
+    ddl = "key string, " + ", ".join(f"x{i} long" for i in range(quality.P)) + ", n_words long, n_lines long, n_letters long"
+    found = {e["key"]: e for e in quality.estimates(spark.createDataFrame(rows, ddl).repartition(5)).collect()}
+    point = np.array([[200 + 100, 200, 200, 200 - 100, 200, 200, 200]], dtype=float)
+    length = np.array([10_000])
+    chance = quality.noise(length, length, length)
+    far = {}
+    for key, x in groups.items():
+        center, cov = np.array(found[key]["center"]), np.array(found[key]["cov"]).reshape(quality.P, quality.P)
+        want = plain_mcd(x.astype(float), np.repeat(chance, len(x), axis=0))
+        assert np.allclose(center, want[0]) and np.allclose(cov, want[1], rtol=1e-6, atol=1e-6)
+        far[key] = quality.distances(point, chance, center, cov)[0]
+        single = np.diag(np.diag(cov))
+        assert quality.distances(point, chance, center, single)[0] < quality.CUTOFF
+    assert far["together"] > quality.CUTOFF > far["apart"]
+
+
+def test_small_groups_are_judged_by_wider_ones(spark):
+    rows = [(i, t, lang, f"s{i % 200}") for i, t, lang, _ in corpus()]
+    rows.append((1000, "%%% ".join(words(3, 60)), "xx", "s1"))
+    got = {r["doc_id"]: r for r in quality.judge(table(spark, rows)).collect()}
+    assert all((r["distance"] is None) == r["base_failed"] for r in got.values())
+    bad = {i for i, t, _, _ in rows if "%" in t}
+    assert all(got[i]["kept"] == (i not in bad) for i in got if not got[i]["base_failed"])
+
+
 def test_many_groups_are_joined_with_equal_results(spark, monkeypatch):
     docs = table(spark, corpus())
     few = sorted(map(tuple, quality.quality_table(docs).collect()))

@@ -2,9 +2,13 @@
 
 One pass over the texts gives whole-number statistics. Seven ratios of them, transformed and put on a grid, are a vector for
 each document. For each language and source a minimum-covariance-determinant estimate is found by concentration
-steps: start from medians and median deviations, take the half of the rows with the smallest distances, take
-their mean and covariance, and so on. A step is one aggregation by group and distance bin; sums of whole numbers
-don't depend on order, so reruns agree. Rows whose Mahalanobis distance is beyond ``CUTOFF`` are rejected.
+steps from three starts: take the half of the rows with the smallest distances, take their mean and covariance, and so
+on; the smallest determinant wins. A step is one aggregation by group, start and distance bin; sums of whole numbers
+don't depend on order, so reruns agree.
+
+A distance is taken under the covariance plus what the document's own ratios vary by chance, which follows from its
+length alone: one repeated line among ten may be chance, a hundred among a thousand are not. Rows whose Mahalanobis
+distance is beyond ``CUTOFF`` are rejected.
 """
 
 from __future__ import annotations
@@ -30,13 +34,13 @@ SPACES = " \t\n\r\x0b\x0c"
 GRID, LIMIT = 64, 16
 FEATURES = ("word_length", "symbols", "capitals", "marks", "dup_lines", "repeats", "doubles")
 P = len(FEATURES)
-#: Spreads below these (in units of the transformed statistics) are taken as these: differences that small mean nothing.
-#: sqrt(CUTOFF) = 5.47 times each lies within what its feature can reach (1 for shares, sqrt(0.2) for repeats).
-FLOOR = (0.20, 0.10, 0.10, 0.25, 0.125, 0.08, 0.10)
 #: The 0.9999 quantile and the median of chi-squared with P degrees of freedom: squared distances of normal vectors.
 CUTOFF, MEDIAN = 29.88, 6.346
-STEPS = 5
-#: Groups with fewer rows have no estimate; all their rows stay.
+#: Squares of the most that each component reaches; more repeated words fail the fixed rules.
+REACH = (float(LIMIT) ** 2, 1.0, 1.0, 1.0, 1.0, MAX_REPEAT_PERCENT / 100, 1.0)
+#: Concentration steps from each start; the spread that takes all rows into the first half.
+STEPS, STARTS, WIDE = 5, range(3), 1e12
+#: Groups with fewer rows are judged by the estimate of a wider group.
 MIN_ROWS = 4 * (P + 1)
 #: Groups up to this many are sent to all executors as parameters; more are joined, with hot groups split.
 BROADCAST_GROUPS = 20_000
@@ -114,21 +118,33 @@ def statistics(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", failed).withColumns({f"x{i}": place(x) for i, x in enumerate(vector)})
 
 
-# Estimates travel as rows (lang, source, n, center, cov, inverse): center and cov in grid units, matrices row by row.
-ESTIMATE = "lang string, source string, n long, center array<double>, cov array<double>, inverse array<double>"
+# Estimates travel as rows (key, start, n, center, cov, det): center and cov in grid units, cov row by row.
+ESTIMATE = "key string, start int, n long, center array<double>, cov array<double>, det double"
+ESTIMATE_COLUMNS = ["key", "start", "n", "center", "cov", "det"]
+
+
+def noise(n_words: np.ndarray, n_lines: np.ndarray, n_letters: np.ndarray) -> np.ndarray:
+    """Variances (in grid units) that the components of a text of this length have by chance, and by the grid.
+
+    A share k / n has a root whose variance is near 1 / 4n, whatever the share. Repeated words come ten at a time, as two
+    windows of five. Word lengths vary by half of their mean, and their logarithms so much less as there are more words.
+    Chance is never so large that a share could not reach the cutoff by itself.
+    """
+    words, lines, letters = (np.maximum(x, 1).astype(float) for x in (n_words, n_lines, n_letters))
+    by_chance = [0.5 / words, 0.25 / words, 0.25 / letters, 0.25 / words, 0.25 / lines, 2.5 / words, 0.25 / words]
+    return GRID**2 * np.minimum(np.stack(by_chance, axis=1), 0.95 * np.array(REACH) / CUTOFF) + 1.0
 
 
-def _inverse(cov: np.ndarray) -> list[float]:
-    """Inverse of a covariance (in grid units) whose spread in every direction is the floors' at least."""
-    floor = np.array(FLOOR) * GRID
-    spread, axes = np.linalg.eigh(cov / np.outer(floor, floor))
-    return ((axes / np.maximum(spread, 1.0)) @ axes.T / np.outer(floor, floor)).reshape(-1).tolist()
+def distances(x: np.ndarray, chance: np.ndarray, center: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    """Squared Mahalanobis distances, each under the covariance plus the row's own noise."""
+    off = x - center
+    own = cov[None] + chance[:, :, None] * np.eye(P)[None]
+    return np.maximum(np.einsum("ni,ni->n", off, np.linalg.solve(own, off[:, :, None])[:, :, 0]), 0.0)
 
 
-def _estimate(rows: pd.DataFrame, n: int, center: list[float], cov: np.ndarray) -> pd.DataFrame:
-    first = rows.iloc[0]
-    return pd.DataFrame(
-        [(first.lang, first.source, n, center, cov.reshape(-1).tolist(), _inverse(cov))], columns=["lang", "source", "n", "center", "cov", "inverse"])
+def _row(key: str, start: int, n: int, center: np.ndarray, cov: np.ndarray) -> tuple:
+    # One grid step in each direction, so that a group without any spread has a determinant.
+    return key, start, n, center.tolist(), cov.reshape(-1).tolist(), float(np.linalg.slogdet(cov + np.eye(P))[1])
 
 
 def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
@@ -137,14 +153,18 @@ def _weighted_median(values: np.ndarray, weights: np.ndarray) -> float:
     return float(values[order][np.searchsorted(upto, (upto[-1] + 1) // 2)])
 
 
-def _start(rows: pd.DataFrame) -> pd.DataFrame:
-    """Medians and median deviations from counts of grid values (k, value, n)."""
+def _starts(rows: pd.DataFrame) -> pd.DataFrame:
+    """Three starts from counts of grid values (k, value, n): medians with their deviations, medians without any spread
+    but the noise, and medians with so much spread that the first half is all rows, hence their mean and covariance.
+    """
     center, spread, n = [], [], int(rows.n[rows.k == 0].sum())
     for k in range(P):
         values, weights = rows.value[rows.k == k].to_numpy(float), rows.n[rows.k == k].to_numpy(np.int64)
         center.append(_weighted_median(values, weights))
         spread.append(1.4826 * _weighted_median(np.abs(values - center[-1]), weights))
-    return _estimate(rows, n, center, np.diag(np.square(spread)))
+    key, center = rows.key.iloc[0], np.array(center)
+    covs = [np.diag(np.square(spread)), np.zeros((P, P)), np.eye(P) * WIDE]
+    return pd.DataFrame([_row(key, i, n, center, c) for i, c in enumerate(covs)], columns=ESTIMATE_COLUMNS)
 
 
 def _half(rows: pd.DataFrame) -> tuple[pd.DataFrame, int]:
@@ -152,7 +172,7 @@ def _half(rows: pd.DataFrame) -> tuple[pd.DataFrame, int]:
     rows = rows.sort_values("bin")
     n = int(rows.n.sum())
     upto = rows.n.cumsum()
-    return rows[(upto - rows.n) < (n + P + 1) // 2], n
+    return rows[(upto - rows.n) < min(n, (n + P + 1) // 2)], n
 
 
 def _step(rows: pd.DataFrame) -> pd.DataFrame:
@@ -160,42 +180,135 @@ def _step(rows: pd.DataFrame) -> pd.DataFrame:
     h = half.n.sum()
     center = np.array([half[f"s{i}"].sum() for i in range(P)]) / h
     cov = np.zeros((P, P))
-    for i in range(P):
-        for j in range(i, P):
-            cov[i, j] = cov[j, i] = half[f"s{i}_{j}"].sum() / h - center[i] * center[j]
-    return _estimate(rows, n, center.tolist(), cov)
+    for i, j in PRODUCTS:
+        cov[i, j] = cov[j, i] = half[f"s{i}_{j}"].sum() / h - center[i] * center[j]
+    return pd.DataFrame([_row(rows.key.iloc[0], int(rows.start.iloc[0]), n, center, cov)], columns=ESTIMATE_COLUMNS)
 
 
-def _final(rows: pd.DataFrame) -> pd.DataFrame:
+def _scale(rows: pd.DataFrame) -> pd.DataFrame:
     """How far a covariance must be multiplied so that the median of distances is that of a normal vector; 1 at least."""
     half, n = _half(rows)
     median = 2 ** ((half.bin.max() + 1) / BINS_PER_OCTAVE) - 1
-    first = rows.iloc[0]
-    return pd.DataFrame([(first.lang, first.source, max(1.0, median / MEDIAN))], columns=["lang", "source", "scale"])
+    return pd.DataFrame([(rows.key.iloc[0], max(1.0, median / MEDIAN))], columns=["key", "scale"])
+
+
+PRODUCTS = [(i, j) for i in range(P) for j in range(i, P)]
+_SUMS = ["n", *[f"s{i}" for i in range(P)], *[f"s{i}_{j}" for i, j in PRODUCTS]]
+_BINS = pa.schema([("key", pa.string()), ("start", pa.int32()), ("bin", pa.int32()), *((c, pa.int64()) for c in _SUMS)])
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    x = np.stack([batch.column(f"x{i}").to_numpy().astype(float) for i in range(P)], axis=1)
+    return x, noise(*[batch.column(c).to_numpy() for c in ("n_words", "n_lines", "n_letters")])
+
+
+def _of_key(batch: pa.RecordBatch, keys: list, sent) -> Iterator[tuple[str, np.ndarray, list]]:
+    """Each key of a batch with its rows and its estimates (start, center, cov), sent along or joined to the rows."""
+    names, first, place = np.unique(np.array(keys, dtype=object), return_index=True, return_inverse=True)
+    for k, name in enumerate(names.tolist()):
+        rows = np.flatnonzero(place == k)
+        found = sent.value[name] if sent is not None else batch.column("estimates")[int(first[k])].as_py()
+        yield name, rows, [(e["start"], np.array(e["center"]), np.array(e["cov"]).reshape(P, P)) for e in found]
+
+
+def _binner(sent):
+    """Counts, sums and products of the rows of each key, start and bin of distances, batch by batch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, chance = _arrays(batch)
+            out: list[list] = [[] for _ in _BINS]
+            for key, rows, found in _of_key(batch, batch.column("key").to_pylist(), sent):
+                mine, own = x[rows], chance[rows]
+                weights = [np.ones(len(rows)), *mine.T, *[mine[:, i] * mine[:, j] for i, j in PRODUCTS]]
+                for start, center, cov in found:
+                    bins = np.floor(np.log2(1 + distances(mine, own, center, cov)) * BINS_PER_OCTAVE).astype(np.int32)
+                    names, place = np.unique(bins, return_inverse=True)
+                    # Sums of whole numbers far below 2 ** 53, so exact in any order.
+                    sums = [np.bincount(place, w).astype(np.int64) for w in weights]
+                    for column, values in zip(out, [[key] * len(names), [start] * len(names), names, *sums], strict=True):
+                        column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, _BINS, strict=True)], schema=_BINS)
+
+    return work
+
+
+_NEEDED = ["key", *[f"x{i}" for i in range(P)], "n_words", "n_lines", "n_letters"]
 
 
-def _scaled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Covariances times ``scale``; the floors hold after that, so a wide feature doesn't widen those of another."""
-    for rows in batches:
-        cov = [np.array(c).reshape(P, P) * f for c, f in zip(rows["cov"], rows["scale"], strict=True)]
-        yield rows.assign(cov=[c.reshape(-1).tolist() for c in cov], inverse=[_inverse(c) for c in cov]).drop(columns="scale")
+def _as_one(found: DataFrame) -> DataFrame:
+    """One row for each key, with all of its estimates."""
+    return found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "center", "cov"))).alias("estimates"))
 
 
-def _distance() -> Column:
-    """Squared distance of x0 to x6 under center and inverse."""
-    off = [F.col(f"x{i}") - F.col("center")[i] for i in range(P)]
-    terms = [off[i] * off[j] * F.col("inverse")[i * P + j] * (1 if i == j else 2) for i in range(P) for j in range(i, P)]
-    total = terms[0]
-    for t in terms[1:]:
-        total = total + t
-    return F.greatest(total, F.lit(0.0))
+def _told(rows: DataFrame, found: DataFrame, columns: list[str]) -> tuple[DataFrame, object]:
+    """``rows`` with estimates: sent to all tasks where there are few, else joined, with hot keys split."""
+    one = _as_one(found)
+    if found.count() <= len(STARTS) * BROADCAST_GROUPS:
+        sent = rows.sparkSession.sparkContext.broadcast({r["key"]: [e.asDict() for e in r["estimates"]] for r in one.toLocalIterator()})
+        return rows.select(*columns), sent
+    salted = rows.select(*columns).withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(SALT)))
+    spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    return salted.withColumn("_salt", F.col("_salt").cast("long")).join(spread, ["key", "_salt"]).drop("_salt"), None
 
 
-def _attach(rows: DataFrame, side: DataFrame, few: bool) -> DataFrame:
+def _binned(members: DataFrame, found: DataFrame) -> DataFrame:
+    rows, sent = _told(members, found, _NEEDED)
+    ddl = "key string, start int, bin int, " + ", ".join(f"{c} long" for c in _SUMS)
+    return rows.mapInArrow(_binner(sent), ddl).groupBy("key", "start", "bin").agg(*[F.sum(c).alias(c) for c in _SUMS])
+
+
+def estimates(members: DataFrame) -> DataFrame:
+    """The estimate of every key of ``members`` (key, x0 to x6, n_words, n_lines, n_letters), as ESTIMATE.
+
+    From each of three starts, ``STEPS`` concentration steps; what has the smallest determinant stays.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("value")) for k in range(P)])).alias("c")
+    values = members.select("key", cells).groupBy("key", "c.k", "c.value").agg(F.count(F.lit(1)).alias("n"))
+    # A key has at most P * (2 * LIMIT * GRID + 1) values, whatever its rows.
+    found = durable(values.groupBy("key").applyInPandas(_starts, ESTIMATE))
+    for _ in range(STEPS):
+        found = durable(_binned(members, found).groupBy("key", "start").applyInPandas(_step, ESTIMATE))
+    least = found.groupBy("key").agg(F.min(F.struct("det", "start")).alias("b")).select(F.col("key").alias("k"), F.col("b.start").alias("s"))
+    best = durable(found.join(least, (F.col("key") == F.col("k")) & (F.col("start") == F.col("s"))).drop("k", "s"))
+    scale = _binned(members, best).groupBy("key").applyInPandas(_scale, "key string, scale double").withColumnRenamed("key", "k")
+    both = best.join(scale, F.col("key") == F.col("k")).drop("k")
+    return durable(both.withColumn("cov", F.transform("cov", lambda c: c * F.col("scale"))).drop("scale"))
+
+
+def _key(level: int, *parts: str) -> Column:
+    """A text for a group; null and empty names differ."""
+    named = [F.coalesce(F.concat(F.lit("="), F.col(p)), F.lit("-")) for p in parts]
+    return F.concat_ws("\u0000", F.lit(str(level)), *named)
+
+
+def keyed(good: DataFrame) -> DataFrame:
+    """lang, source, key (the group whose estimate judges its rows) and members (the groups its rows count in).
+
+    A language of a source with fewer than ``MIN_ROWS`` good rows is judged as its language, else as its source, else as
+    all rows, so that every row has an estimate.
+    """
+    groups = good.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    # As many rows as languages in sources.
+    of_lang = groups.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("n_lang"))
+    of_source = groups.groupBy(F.col("source").alias("s")).agg(F.sum("n").alias("n_source"))
+    wide = groups.join(of_lang, groups["lang"].eqNullSafe(F.col("l"))).join(of_source, groups["source"].eqNullSafe(F.col("s")))
+    keys = [_key(0, "lang", "source"), _key(1, "lang"), _key(2, "source"), F.lit("3")]
+    enough = [F.col(c) >= MIN_ROWS for c in ("n", "n_lang", "n_source")]
+    own = F.when(enough[0], keys[0]).when(enough[1], keys[1]).when(enough[2], keys[2]).otherwise(keys[3])
+    placed = durable(wide.select("lang", "source", own.alias("key"), F.array(*keys).alias("all")))
+    used = placed.select("key").distinct().withColumnRenamed("key", "member")
+    each = placed.select("lang", "source", "key", F.explode("all").alias("member")).join(used, "member")
+    return durable(each.groupBy("lang", "source", "key").agg(F.collect_list("member").alias("members")))
+
+
+def _attach(rows: DataFrame, side: DataFrame) -> DataFrame:
     """``rows`` with the columns of ``side`` (one row for each lang and source); rows of a group without one get nulls."""
     named = side.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
-    same = rows["lang"].eqNullSafe(named["_lang"]) & rows["source"].eqNullSafe(named["_source"])
-    if few:
+    if named.count() <= BROADCAST_GROUPS:
+        same = rows["lang"].eqNullSafe(named["_lang"]) & rows["source"].eqNullSafe(named["_source"])
         return rows.join(F.broadcast(named), same, "left").drop("_lang", "_source")
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALT)))
     spread = named.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
@@ -203,46 +316,49 @@ def _attach(rows: DataFrame, side: DataFrame, few: bool) -> DataFrame:
     return salted.join(spread, same, "left").drop("_lang", "_source", "_salt", "_part")
 
 
-def _binned(rows: DataFrame, estimates: DataFrame, few: bool, products: bool) -> DataFrame:
-    near = _attach(rows, estimates, few).filter("center is not null")
-    place = F.floor(F.log2(1 + _distance()) * BINS_PER_OCTAVE).cast("int").alias("bin")
-    sums = [F.count(F.lit(1)).alias("n")]
-    if products:
-        sums += [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)]
-        sums += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P)]
-    return near.groupBy("lang", "source", place).agg(*sums)
+_KEPT = ["doc_id", "lang", "source", "mark", *COUNTS, "base_failed"]
+_JUDGED = pa.schema([
+    ("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string()), ("mark", pa.int64()), *((c, pa.int64()) for c in COUNTS),
+    ("base_failed", pa.bool_()), ("distance", pa.float64()),
+])
 
 
-def estimates(rows: DataFrame) -> tuple[DataFrame, bool]:
-    """Robust estimates of every lang and source of ``rows`` (from `statistics`), and whether they are few."""
-    good = rows.filter("not base_failed")
-    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"x{k}").alias("value")) for k in range(P)])).alias("c")
-    values = good.select("lang", "source", cells).groupBy("lang", "source", "c.k", "c.value").agg(F.count(F.lit(1)).alias("n"))
-    # A group has at most P * (2 * LIMIT * GRID + 1) values, whatever its rows.
-    found = durable(values.groupBy("lang", "source").applyInPandas(_start, ESTIMATE).filter(F.col("n") >= MIN_ROWS))
-    few = found.count() <= BROADCAST_GROUPS
-    for _ in range(STEPS):
-        found = durable(_binned(good, found, few, True).groupBy("lang", "source").applyInPandas(_step, ESTIMATE))
-    scale = _binned(good, found, few, False).groupBy("lang", "source").applyInPandas(_final, "lang string, source string, scale double")
-    scale = scale.select(F.col("lang").alias("l"), F.col("source").alias("s"), "scale")
-    both = found.join(scale, found["lang"].eqNullSafe(scale["l"]) & found["source"].eqNullSafe(scale["s"]))
-    return durable(both.select("lang", "source", "n", "center", "cov", "inverse", "scale").mapInPandas(_scaled, ESTIMATE)), few
+def _judge(sent):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, chance = _arrays(batch)
+            found = np.zeros(batch.num_rows)
+            for _, rows, ((_, center, cov),) in _of_key(batch, batch.column("key").to_pylist(), sent):
+                found[rows] = distances(x[rows], chance[rows], center, cov)
+            columns = [batch.column(c) for c in _KEPT] + [pa.array(found)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _JUDGED, strict=True)], schema=_JUDGED)
+
+    return work
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Statistics of every row of ``docs`` (doc_id, text, lang, source), ``distance`` and ``kept``.
 
-    Null and empty texts have no words and fail the base rules. Null languages and sources are groups like others.
-    Groups of fewer than ``MIN_ROWS`` rows that pass the base rules have no estimate: distance null, rows kept.
+    Null and empty texts have no words and fail the base rules. Null languages and sources are groups like others. Every
+    row that passes the base rules has a distance: groups of fewer than ``MIN_ROWS`` of them are judged by the estimate of
+    their language, else of their source, else of all rows. Rows that fail have a null distance.
     """
     rows = durable(statistics(docs))
-    found, few = estimates(rows)
-    judged = _attach(rows, found, few).withColumn("distance", F.when(~F.col("base_failed") & F.col("center").isNotNull(), _distance()))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(True))
-    return judged.select("doc_id", "lang", "source", "mark", *COUNTS, "base_failed", "distance", kept.alias("kept"))
+    good = rows.filter("not base_failed")
+    placed = durable(_attach(good, keyed(good)))
+    found = estimates(placed.select(F.explode("members").alias("key"), *_NEEDED[1:]))
+    told, sent = _told(placed, found, ["key", *[f"x{i}" for i in range(P)], *_KEPT])
+    ddl = "doc_id long, lang string, source string, mark long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, distance double"
+    judged = told.mapInArrow(_judge(sent), ddl)
+    failed = rows.filter("base_failed").select(*_KEPT, F.lit(None).cast("double").alias("distance"))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(False))
+    return judged.unionByName(failed).withColumn("kept", kept)
 
 
 def quality_table(docs: DataFrame) -> DataFrame:
+    """The counts and the verdict of every row, as `judge` gives them, without the hash of the row."""
     return judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
