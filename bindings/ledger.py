@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bindings.registry import WITH_LEDGER, ledger_table, query, read, rounded
-from txnlake.operators import ledger
+from bindings.registry import WITH_LEDGER, ledger_table, query, read, rounded, scratch
+from txnlake.operators import ledger, ledger_store
 
 FILTERS = {
     "amount_min": 50000, "amount_max": 400000, "date_from": "1996-02-01", "date_to": "1998-06-30",
@@ -240,3 +240,46 @@ def _(spark, sf):
 @query("l6_delete_where", WITH_LEDGER + "SELECT id FROM ledger WHERE id NOT IN ('5', '6')")
 def _(spark, sf):
     return ledger.delete_where(ledger_table(spark, sf), ["5", "6"]).select("id")
+
+
+# Every row shares its hash with one neighbour and its key with the other, ten thousand rows in a chain.
+CHAIN = """ chained AS (SELECT cast(id AS BIGINT) AS ord, 'h' || cast(id AS BIGINT) // 10000 || '_' || cast(id AS BIGINT) % 10000 // 2 AS message_hash, '2024-01-01' AS date,
+  1.0::DOUBLE AS amount, 'P' || cast(id AS BIGINT) // 10000 || '_' || (cast(id AS BIGINT) % 10000 + 1) // 2 AS payee, 'x' AS account_id FROM ledger) """
+
+
+@query("l3_insert_skip_chain", f"{WITH_LEDGER},{CHAIN} SELECT ord, message_hash, payee, CASE WHEN ord % 10000 % 2 = 0 THEN 'inserted' ELSE 'skipped' END AS status FROM chained")
+def _(spark, sf):
+    """Whether a row is inserted depends on all rows before it in its chain."""
+    key = F.col("id").cast("long")
+    block, place = F.floor(key / 10000), key % 10000
+    batch = ledger_table(spark, sf).select(
+        key.alias("ord"), F.concat(F.lit("h"), block, F.lit("_"), F.floor(place / 2)).alias("message_hash"), F.lit("2024-01-01").alias("date"),
+        F.lit(1.0).alias("amount"), F.concat(F.lit("P"), block, F.lit("_"), F.floor((place + 1) / 2)).alias("payee"), F.lit("x").alias("account_id"))
+    _, status = ledger.insert_skip(ledger.empty_ledger(spark), batch, "ord")
+    return status.select("ord", "message_hash", "payee", "status")
+
+
+def _store(spark, sf):
+    path = scratch(spark)
+    ledger_store.create(_stored(spark, sf), path, 4)
+    return path
+
+
+@query("l3_load_skip_store", f"{WITH_LEDGER},{BATCH_SQL},{FIRSTS} SELECT id, date, amount, message_hash FROM stored UNION ALL SELECT id, date, amount, message_hash FROM n WHERE r = 1")
+def _(spark, sf):
+    """A skip load into a stored ledger, then the ledger."""
+    path = _store(spark, sf)
+    ledger_store.load_skip(path, _batch(spark, sf), "ord", slots=4)
+    return ledger_store.read(spark, path).select("id", "date", "amount", "message_hash")
+
+
+@query("l4_load_upsert_store", f"""{WITH_LEDGER},{BATCH_SQL}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord DESC) AS r FROM batch) WHERE r = 1)
+ SELECT coalesce(s.id, l.id) AS id, CASE WHEN l.id IS NOT NULL THEN 'batch ' || l.ord ELSE s.category END AS category,
+  CASE WHEN l.id IS NOT NULL THEN NULL ELSE s.urgency END AS urgency, coalesce(s.payee, l.payee) AS payee
+ FROM stored s FULL JOIN last l ON s.id = l.id""")
+def _(spark, sf):
+    """An upsert that rewrites only partitions with changes, then the ledger."""
+    path = _store(spark, sf)
+    batch = _batch(spark, sf).withColumns({"category": F.concat(F.lit("batch "), F.col("ord").cast("string")), "urgency": F.lit(None).cast("string"), "note": F.lit("x")})
+    ledger_store.load_upsert(path, batch, "ord", slots=4)
+    return ledger_store.read(spark, path).select("id", "category", "urgency", "payee")

@@ -265,3 +265,41 @@ def _(spark, sf):
     flags = spark.read.parquet(flagged)
     last = flags.join(flags.agg(F.max("batch").alias("batch")), "batch").select("date", "kind")
     return texts(rounded(streams.current_totals(spark, target, "value").join(last, "date", "left")), "date")
+
+
+@query("r1_stream_ingest_store", WITH_LEDGER + "SELECT id, date, amount, payee FROM ledger")
+def _(spark, sf):
+    """As `r1_stream_ingest`, into a ledger keyed by month and hash slot."""
+    source, target, checkpoint = scratch(spark), scratch(spark), scratch(spark)
+    table = ledger_table(spark, sf).withColumns({"sms_text": F.concat(F.lit("m"), F.col("id")), "ord": F.col("id").cast("long") * 2})
+    again = table.filter("ord % 3 = 0").withColumn("ord", F.col("ord") + 1)
+    table.unionByName(again).repartition(4, "ord").write.parquet(source)
+    for _ in range(2):
+        streams.stream_ingest(spark, _stream(spark, source, spark.read.parquet(source).schema), target, checkpoint, "ord", slots=1).awaitTermination()
+    return spark.read.parquet(target).select("id", "date", "amount", "payee")
+
+
+@query("r3_stream_daily_flags", """WITH d AS (SELECT cast(ts AS date) AS d, sum(value) AS s, count(*) AS n FROM events GROUP BY 1),
+ z AS (SELECT *, (s - avg(s) OVER ()) / stddev_pop(s) OVER () AS z FROM d)
+ SELECT d::VARCHAR AS date, round(s, 4) AS value_sum, n AS transaction_count, CASE WHEN z > 1.0 THEN 'spike' WHEN z < -1.0 THEN 'drop' END AS kind FROM z""")
+def _(spark, sf):
+    """Late rows come with the second file; the flags of the last micro-batch equal a batch computation."""
+    source, target = scratch(spark), scratch(spark)
+    events = read(spark, sf, "events").select("event_id", "ts", "value")
+    events.repartition(4, "event_id").write.parquet(source)
+    streams.stream_daily_flags(_stream(spark, source, events.schema), "ts", "value", target, scratch(spark), 1.0).awaitTermination()
+    return texts(rounded(streams.current_flags(spark, target, "value")), "date")
+
+
+@query("l9_run_incremental_append", """SELECT o_orderkey AS order_key, o_orderpriority AS priority, strftime(o_orderdate, '%Y-%m-%d') AS order_date, o_totalprice AS amount,
+ CASE WHEN o_orderkey % 5 <> 0 THEN 1 ELSE 2 END::BIGINT AS files_from FROM orders""")
+def _(spark, sf):
+    """The second load adds files and leaves those of the first as they are."""
+    name = _name("inc")
+    raw = _raw_orders(spark, sf)
+    before = jobs.run_incremental(spark, raw.filter("`Order Key` % 5 <> 0"), name).inputFiles()
+    table = jobs.run_incremental(spark, raw, name)
+    listed = spark.createDataFrame([(os.path.basename(f),) for f in before], "name string")
+    rows = table.withColumn("name", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    return rows.join(listed.withColumn("old", F.lit(True)), "name", "left").select(
+        "order_key", "priority", "order_date", "amount", F.when(F.col("old"), 1).otherwise(2).cast("long").alias("files_from"))

@@ -63,12 +63,33 @@ def replace_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.table(name)
 
 
+def append_new_rows(spark: SparkSession, df: DataFrame, name: str) -> bool:
+    """Append the rows of ``df`` that a table lacks, each once; False if the table's columns can't take them.
+
+    Files of the table stay as they are, and until the append is committed readers see the old rows only, so a load that
+    fails on the way has changed nothing and can be run again. Columns that ``df`` lacks are NULL.
+    """
+    table = spark.table(name)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    if any(c not in table.columns or table.schema[c].dataType != kind for c, kind in kinds.items()):
+        return False
+    rows = df.select(*[F.col(c) if c in kinds else F.lit(None).cast(table.schema[c].dataType).alias(c) for c in table.columns])
+    # EXCEPT takes NULL for equal to NULL and leaves each row once.
+    durable(rows.subtract(table)).write.insertInto(name)
+    return True
+
+
 def run_incremental(spark: SparkSession, source: str | DataFrame, table: str, is_directory: bool = False) -> DataFrame:
-    """Prepare new rows, unite them with the table, keep every whole row once, replace the table."""
+    """Prepare new rows and append those that the table, which this job made, doesn't hold: every whole row once.
+
+    Only rows with new columns or types make the table be written anew.
+    """
     fresh = prepare(_read(spark, source, is_directory))
-    if spark.catalog.tableExists(table):
-        fresh = readers.append_distinct(spark.table(table), fresh)
-    return replace_table(spark, fresh, table)
+    if not spark.catalog.tableExists(table):
+        return replace_table(spark, fresh.dropDuplicates(), table)
+    if append_new_rows(spark, fresh, table):
+        return spark.table(table)
+    return replace_table(spark, readers.append_distinct(spark.table(table), fresh), table)
 
 
 def messages_to_ledger(
