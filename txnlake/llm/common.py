@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +42,14 @@ def unit_hash(key: Column, seed: str) -> Column:
 
 def scratch_name() -> str:
     return uuid.uuid4().hex
+
+
+def give_back() -> None:
+    """Give memory of earlier tasks of this worker back to the system; what they remembered goes with them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):
+        # Another C library keeps what it has.
+        pass

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import whole_row
+from txnlake.llm.common import give_back, whole_row
 from txnlake.llm.graph import components
 from txnlake.plans.groups import durable
 
@@ -46,7 +46,7 @@ MARGIN = 0.1
 ROUNDS, BLOCK = 2, 256
 #: Pairs whose similarity is estimated at a time.
 ESTIMATED = 1_000
-#: Words whose hashes a worker remembers at most.
+#: Words whose hashes a task remembers at most.
 REMEMBERED = 200_000
 
 _RNG = np.random.default_rng(20_240_101)
@@ -125,6 +125,7 @@ def _sketcher(k: int, with_sketch: bool):
     ])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             rows = []
             for doc_id, mark, text in zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), batch.column("text"), strict=True):
@@ -143,6 +144,7 @@ def _sketcher(k: int, with_sketch: bool):
 
 def _near(floor: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for whole in batches:
             for at in range(0, whole.num_rows, ESTIMATED):
                 batch = whole.slice(at, ESTIMATED)

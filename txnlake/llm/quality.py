@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import whole_row
+from txnlake.llm.common import give_back, whole_row
 from txnlake.plans.groups import durable
 
 MIN_WORDS = 10
@@ -87,6 +87,7 @@ def counts(text: str | None) -> tuple[int, ...]:
 
 def _counter(keys: list[str], schema: pa.Schema):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             found = [counts(t.as_py()) for t in batch.column("text")]
             columns = list(zip(*found, strict=True)) if found else [[] for _ in COUNTS]
@@ -238,17 +239,14 @@ def _binner(sent):
 _NEEDED = ["key", *[f"x{i}" for i in range(P)], "n_words", "n_lines", "n_letters"]
 
 
-def _as_one(found: DataFrame) -> DataFrame:
-    """One row for each key, with all of its estimates."""
-    return found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "center", "cov"))).alias("estimates"))
-
-
 def _told(rows: DataFrame, found: DataFrame, columns: list[str]) -> tuple[DataFrame, object]:
     """``rows`` with estimates: sent to all tasks where there are few, else joined, with hot keys split."""
-    one = _as_one(found)
     if found.count() <= len(STARTS) * BROADCAST_GROUPS:
-        sent = rows.sparkSession.sparkContext.broadcast({r["key"]: [e.asDict() for e in r["estimates"]] for r in one.toLocalIterator()})
-        return rows.select(*columns), sent
+        of_key: dict[str, list[dict]] = {}
+        for r in found.select("key", "start", "center", "cov").collect():
+            of_key.setdefault(r["key"], []).append(r.asDict())
+        return rows.select(*columns), rows.sparkSession.sparkContext.broadcast(of_key)
+    one = found.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "center", "cov"))).alias("estimates"))
     salted = rows.select(*columns).withColumn("_salt", F.pmod(F.xxhash64(*columns), F.lit(SALT)))
     spread = one.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
     return salted.withColumn("_salt", F.col("_salt").cast("long")).join(spread, ["key", "_salt"]).drop("_salt"), None

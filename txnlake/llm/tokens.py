@@ -18,7 +18,9 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Parts that a worker remembers in each of two generations; those met again outlive their generation.
+from txnlake.llm.common import give_back
+
+#: Parts that a task remembers in each of two generations; those met again outlive their generation.
 REMEMBERED = 500_000
 _LOADED: dict[str, "Encoder"] = {}
 #: Closing characters, which are pre-tokens of their own after a letter.
@@ -180,12 +182,15 @@ class Encoder:
             at = end
 
     def rest(self) -> None:
-        """Forget the older generation, so that a worker that waits or does other work holds less."""
+        """Forget all parts at the end of a task, as the next one loads an encoder of its own."""
+        self.known.clear()
         self.known.old = {}
+        self.bare.clear()
 
 
 def encoder(path: str) -> Encoder:
-    """The encoder of a worker process, loaded once."""
+    """The encoder of a task, loaded once."""
     if path not in _LOADED:
+        give_back()
         _LOADED[path] = Encoder(path)
     return _LOADED[path]
