@@ -238,12 +238,20 @@ def everywhere(ledger: DataFrame) -> Lookups:
     return Lookups(ledger, ledger, ledger)
 
 
+def _that_have(rows: DataFrame, value: Column, asked: DataFrame) -> DataFrame:
+    """Rows whose ``value`` is among ``asked`` (column _asked)."""
+    known = asked.filter("_asked is not null").distinct()
+    return rows.withColumn("_value", value).join(known, F.col("_value") == F.col("_asked"), "left_semi").drop("_value")
+
+
 def _mark_existing(batch: DataFrame, stored: Lookups, keys: Sequence[str]) -> DataFrame:
     """Adds ``_known``: the id (or TRUE without ids) of the ledger row a batch row equals."""
     ident = F.col("id") if "id" in stored.hashes.columns else F.lit("known")
     # Only ledger rows that the batch can equal are grouped: a small batch is sent to the ledger, which stays where it is.
-    same_hash = stored.hashes.join(batch.select("message_hash").distinct(), "message_hash", "left_semi")
-    same_key = stored.keys.join(batch.select(*keys).na.drop().distinct(), list(keys), "left_semi")
+    # Compared as one value that no filter of the ledger speaks of: a filter that fails on the batch's texts stays where it is.
+    hashed, keyed = F.concat(F.lit("="), F.col("message_hash")), _composite(keys)
+    same_hash = _that_have(stored.hashes, hashed, batch.select(hashed.alias("_asked")))
+    same_key = _that_have(stored.keys, keyed, batch.select(keyed.alias("_asked")))
     by_hash = same_hash.groupBy("message_hash").agg(F.min(ident).alias("_by_hash"))
     by_key = same_key.groupBy(*keys).agg(F.min(ident).alias("_by_key"))
     marked = batch.join(by_hash, "message_hash", "left").join(by_key, list(keys), "left")
@@ -363,8 +371,9 @@ def _settled(stored: Lookups, batch: DataFrame, order: str, keys: Sequence[str],
     own = F.col("id").cast("string") if "id" in fresh.columns else F.lit(None).cast("string")
     named = leaders.join(fresh.select(F.col(order).alias("_of"), own.alias("_own")), F.col("_at") == F.col("_of")).drop("_of")
     if "id" in stored.ids.columns:
-        asked = named.select("_own").filter("_own is not null").distinct()
-        taken = asked.join(stored.ids.select(F.col("id").cast("string").alias("_own")), "_own", "left_semi")
+        mark = F.concat(F.lit("="), F.col("id").cast("string"))
+        asked = named.select(F.concat(F.lit("="), "_own").alias("_asked"))
+        taken = _that_have(stored.ids.select("id"), mark, asked).select(F.col("id").cast("string").alias("_own")).distinct()
         named = named.join(taken.withColumn("_taken", F.lit(True)), "_own", "left")
     else:
         named = named.withColumn("_taken", F.lit(None).cast("boolean"))
