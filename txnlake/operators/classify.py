@@ -315,7 +315,7 @@ def _match_fuzzy_table(df: DataFrame, merchant: str, rules: DataFrame, threshold
     asked = df.withColumn("_asked", key if unless is None else F.when(unless, F.lit(None)).otherwise(key))
     left = durable(asked.select(F.col("_asked").alias("left")).filter("left is not null").distinct())
     pattern = F.lower(F.trim("pattern"))
-    place = F.struct(F.col("place") if "place" in rules.columns else F.col("rule"), F.col("rule"))
+    place = F.struct((F.col("place") if "place" in rules.columns else F.col("rule")).alias("at"), F.col("rule").alias("of"))
     table = durable(rules.filter(pattern != "").groupBy(pattern.alias("right")).agg(
         F.min_by("rule", place).alias("_value"), F.min(place).alias("_place")))
     right = table.select("right")
