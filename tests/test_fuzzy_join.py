@@ -141,3 +141,16 @@ def test_tables_without_rows(spark):
     assert classify.resolve_merchants(df.limit(0), "payee", spark.createDataFrame([("x", "y")], "alias string, canonical string")).collect() == []
     with pytest.raises(ValueError):
         classify.resolve_merchants(df, "payee", rules, 0)
+
+
+def test_few_bank_names_need_no_join_and_many_give_the_same(spark, monkeypatch):
+    texts = ["Vodafne Cash sent", "Bnque Misr alert and a long text about a great many other things", "citi", "Fawri", "", None, "brclays" * 3]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    names = [(b, p, i) for i, (b, p) in enumerate((b, p) for b, ps in BANK_PATTERNS.items() for p in ps)]
+    table = spark.createDataFrame(names, "bank string, name string, place int")
+    few = classify.nearest_bank(df, "text", table)
+    assert "Join" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(classify, "LISTED_NAMES", 3)
+    many = classify.nearest_bank(df, "text", table)
+    assert "Join" in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))

@@ -159,15 +159,33 @@ def identify_bank(
     ).drop("_message", "_exact", "_fuzzy")
 
 
+#: Names that are sent along with the scoring; a longer table is joined by keys.
+LISTED_NAMES = 500
+
+
 def nearest_bank(df: DataFrame, column: str, names: DataFrame, threshold: float = 80.0) -> DataFrame:
     """Adds ``bank_id`` and ``bank_score`` by a table of names (bank, name, place) that a text may hold with slips.
 
     A bank scores by its first name, by place, that reaches the threshold against a stretch of the text; the best bank
     wins, at ties the one with the first place. Without one: 'unknown_bank' and 0. Empty names match nothing.
+
+    Few short names are sent along with the scoring, which goes through each text once for each; the keys of a long text
+    are those of almost all names, so a join by keys pays only for more of them.
     """
     threshold = _checked(threshold)
     table = durable(names.select(F.lower("name").alias("right"), "bank", "place").filter("right <> ''"))
     messages = df.withColumn("_message", F.nullif(F.lower(text.stripped(F.col(column))), F.lit("")))
+    few = table.orderBy("place").limit(LISTED_NAMES + 1).collect()
+    if len(few) <= LISTED_NAMES and all(len(r["right"]) <= 64 for r in few):
+        listed: dict[str, list[str]] = {}
+        for r in few:
+            if r["bank"] is not None:
+                listed.setdefault(r["bank"], []).append(r["right"])
+        near = messages.withColumn("_near", best_group_udf(list(listed.values()), threshold)("_message"))
+        bank = F.try_element_at(F.array(*[F.lit(b) for b in listed]).cast("array<string>"), F.col("_near.idx") + 1)
+        return near.withColumns({
+            "bank_id": F.coalesce(bank, F.lit("unknown_bank")), "bank_score": F.coalesce("_near.score", F.lit(0.0)),
+        }).drop("_message", "_near")
     left = durable(messages.select(F.col("_message").alias("left")).filter("left is not null").distinct())
 
     def score(a: list[str], b: list[str]) -> list[float]:
