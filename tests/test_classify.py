@@ -124,3 +124,28 @@ def test_patterns_are_tried_where_they_run(spark):
     rules = [{"match_regex": "(?P<x>a)"}, {"match_regex": "(["}, {"match_regex": "a+"}]
     df = spark.createDataFrame([("caab",), (None,)], "m string")
     assert {r["m"]: r["rule_idx"] for r in classify.match_regex(df, "m", rules).collect()} == {"caab": 2, None: None}
+
+
+def test_banks_in_letters_that_equal_ascii_ones_without_case(spark):
+    texts = ["ſaıb", "yOUR hSBC CARD", "HSBC.COM", "hsbcxcom", "bloM banK", "CİTİ", "بنك مصر", "cib", None, " "]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["text"]: r["bank_id"] for r in classify.identify_bank(df, fuzzy=False).collect()}
+    plain = {b: classify.java_pattern("(?:" + "|".join(p) + ")") for b, p in BANK_PATTERNS.items()}
+    hit = df.select("text", *[F.col("text").rlike(p).alias(b) for b, p in plain.items()]).collect()
+    assert got == {r["text"]: next((b for b in plain if r[b]), "unknown_bank") for r in hit}
+    plan = classify.identify_bank(df, fuzzy=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper()
+
+
+def test_scores_of_many_texts_in_small_batches(monkeypatch):
+    groups = [["hsbc", "your card"], ["citi", "balance is"]]
+    texts = ["hsb", "x" * 50 + "citi", "your crd", "balanc is low", "", "itic", "a", "your balance"] * 9
+    whole = sim.best_groups(texts, groups, 80.0)
+    monkeypatch.setattr(sim, "LETTERS_AT_ONCE", 40)
+    assert sim.best_groups(texts, groups, 80.0) == whole
+    for t, (i, score) in zip(texts, whole):
+        best = (None, 0.0)
+        for g, ps in enumerate(groups):
+            s = next((s for p in ps if (s := sim.partial_ratio(p, t)) >= 80), 0.0)
+            best = (g, s) if s > best[1] else best
+        assert (i, score or 0.0) == best

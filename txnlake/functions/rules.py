@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import re
 from collections.abc import Sequence
 from pathlib import Path
 
@@ -72,6 +73,13 @@ def java_pattern(pattern: str) -> str:
     return f"(?iuU){pattern}"
 
 
+def literal(pattern: str) -> str | None:
+    """The text, in lower case, that a pattern of plain ASCII or caseless Arabic letters stands for; None for any other."""
+    if not re.fullmatch(r"(?:[A-Za-z0-9 _-]|[\u0621-\u064A]|\\[.-])+", pattern):
+        return None
+    return pattern.replace("\\", "").lower()
+
+
 def valid_pattern(pattern: str) -> bool:
     """Whether the expression compiles where it will run: in the JVM."""
     compiler = SparkSession.active()._jvm.java.util.regex.Pattern

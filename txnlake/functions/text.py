@@ -33,6 +33,11 @@ def collapsed(col: Column) -> Column:
     return F.trim(F.regexp_replace(col, r"(?U)\s+", " "))
 
 
+def folded(col: Column) -> Column:
+    """Lower case, and the four letters beyond ASCII that equal an ASCII one without regard to case as that one."""
+    return F.lower(F.translate(col, "\u0130\u0131\u017f\u212a", "iisk"))
+
+
 def merchant_key(col: Column) -> Column:
     """The form in which merchant names are compared; blank becomes NULL."""
     return blank_to_null(F.lower(col))

@@ -22,7 +22,7 @@ from txnlake.functions.fixed_values import (
     PROMO_ARABIC,
     PROMO_LATIN,
 )
-from txnlake.functions.rules import category_rules, first_match, java_pattern, local_table, valid_pattern
+from txnlake.functions.rules import category_rules, first_match, java_pattern, literal, local_table, valid_pattern
 from txnlake.functions.similarity import best_group_udf, best_name_udf, best_ratio_udf, name_score, partial_ratio
 from txnlake.plans import fuzzy_join
 from txnlake.plans.groups import durable
@@ -137,13 +137,20 @@ def identify_bank(
     banks = list(patterns)
     hits = []
     for bank in banks:
-        good = [p for p in patterns[bank] if valid_pattern(p)]
-        plain = [p for p in patterns[bank] if p not in good]
-        found = F.col("_message").rlike(java_pattern("(?:" + "|".join(good) + ")")) if good else F.lit(False)
+        literals = [(p, literal(p)) for p in patterns[bank]]
+        good = [p for p, same in literals if same is None and valid_pattern(p)]
+        plain = [p for p, same in literals if same is None and p not in good]
+        # Plain text is looked up in the folded message, which a pattern without regard to case goes through far slower.
+        found = F.lit(False)
+        for _, same in literals:
+            found = found if same is None else found | F.contains("_folded", F.lit(same))
+        if good:
+            found = found | F.col("_message").rlike(java_pattern("(?:" + "|".join(good) + ")"))
         for p in plain:
             found = found | F.contains(F.lower("_message"), F.lit(p.lower()))
         hits.append(F.when(found, F.lit(bank)))
-    staged = df.withColumn("_message", message).withColumn("_exact", F.coalesce(*hits))
+    staged = df.withColumn("_message", message).withColumn("_folded", text.folded(F.col("_message")))
+    staged = staged.withColumn("_exact", F.coalesce(*hits)).drop("_folded")
     missed = F.when(F.col("_exact").isNull() & (F.col("_message") != ""), F.col("_message"))
     if fuzzy:
         staged = staged.withColumn("_fuzzy", best_group_udf([patterns[b] for b in banks], threshold)(missed))
