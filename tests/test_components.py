@@ -42,3 +42,9 @@ def test_no_links_and_a_hub(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
     got = components(spark.createDataFrame([(5, i) for i in range(500)], "a long, b long"))
     assert {x["label"] for x in got.collect()} == {0} and got.count() == 500
+
+
+def test_links_that_come_together_need_no_rounds(spark):
+    rounds = []
+    got = components(spark.range(0, 5000, 1, 2).selectExpr("id AS a", "id + 1 AS b"), rounds)
+    assert {x["label"] for x in got.collect()} == {0} and got.count() == 5001 and len(rounds) <= 3

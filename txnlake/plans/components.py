@@ -3,10 +3,16 @@
 Every round links the neighbours of a node to its smallest neighbour, first the greater ones, then the smaller ones. The
 least node of a component draws near by doubling, so a chain of n nodes takes about log2(n) rounds. A round is two grouped
 minima, which are summed up before the shuffle, and two joins; nothing is gathered, whatever the size of a hub.
+
+Before the first round each task joins up what its own links connect, some at a time. Only the smallest nodes of these
+pieces, where two pieces have a node in common, go through the rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +34,42 @@ def _small_stars(links: DataFrame) -> DataFrame:
     return smaller.union(least.select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
 
 
+#: Links that a task joins up at a time.
+LINKS_AT_ONCE = 500_000
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every node of some links with the smallest node that they connect it to."""
+    root: dict[int, int] = {}
+    count = 0
+
+    def find(x: int) -> int:
+        up = root.setdefault(x, x)
+        while up != root[up]:
+            root[x] = root[up]
+            x, up = up, root[root[up]]
+        return up
+
+    def told() -> pa.RecordBatch:
+        nodes = list(root)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "root"])
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            a, b = find(a), find(b)
+            if a < b:
+                root[b] = a
+            else:
+                root[a] = b
+        count += batch.num_rows
+        if count >= LINKS_AT_ONCE:
+            yield told()
+            root.clear()
+            count = 0
+    if root:
+        yield told()
+
+
 def _mark(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -37,9 +79,11 @@ def components(links: DataFrame, rounds: list | None = None) -> DataFrame:
 
     ``rounds``, a list, gets one entry for each round.
     """
-    loops = links.filter("a = b").select(F.col("a").alias("node"), F.col("a").alias("label"))
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    now = durable(links.filter("a <> b").select(high.alias("a"), low.alias("b")).distinct())
+    pieces = durable(links.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(_pieces, "node long, root long"))
+    low = durable(pieces.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")))
+    # Pieces meet in the nodes that have more than one root.
+    shared = pieces.join(low.filter("low < high").select("node", "low"), "node")
+    now = durable(shared.filter("root > low").select(F.col("root").alias("a"), F.col("low").alias("b")).distinct())
     mark, before = _mark(now), None
     while mark != before:
         before = mark
@@ -47,6 +91,5 @@ def components(links: DataFrame, rounds: list | None = None) -> DataFrame:
         mark = _mark(now)
         if rounds is not None:
             rounds.append(mark)
-    leaves = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
-    return durable(leaves.union(roots).union(loops).groupBy("node").agg(F.min("label").alias("label")))
+    labels = now.groupBy(F.col("a").alias("low")).agg(F.min("b").alias("label"))
+    return durable(low.join(labels, "low", "left").select("node", F.coalesce("label", "low").alias("label")))
