@@ -1,10 +1,16 @@
+import re
+from collections import Counter
+
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from txnlake.functions import similarity as sim
+from txnlake.functions import text
 from txnlake.functions.fixed_values import BANK_PATTERNS
 from txnlake.functions.rules import alias_pairs, category_rules
-from txnlake.operators import classify
+from txnlake.operators import classify, ml
+from txnlake.plans.groups import dealt
 
 RULES = {
     "rules": [
@@ -149,3 +155,48 @@ def test_scores_of_many_texts_in_small_batches(monkeypatch):
             s = next((s for p in ps if (s := sim.partial_ratio(p, t)) >= 80), 0.0)
             best = (g, s) if s > best[1] else best
         assert (i, score or 0.0) == best
+
+
+TEXTS = [(i, f"{a} {b} {a} {b} shop{i % 3} x {'pad ' * (i % 4)}" if i % 7 else "  ", None if i % 11 == 5 else a) for i, (a, b) in enumerate(
+    [("food", "lunch menu"), ("ride", "Taxi trip"), ("bill", "Ünit lıght")] * 30)]
+
+
+def test_learned_categories_are_those_of_the_whole_stages(spark):
+    df = spark.createDataFrame(TEXTS, "id int, text string, category string").coalesce(1)
+    for features in (5000, 4):
+        model, stats = ml.train_classifier(df, ["text"], features=features, iterations=10)
+        rows = ml.labelled_text(df, ["text"], "category")
+        assert stats == {"samples": float(rows.count()), "labels": 3.0}
+        terms = [t for r in PipelineModel(model.stages[:3]).transform(rows).collect() for t in r["_terms"]]
+        held = Counter(t for r in PipelineModel(model.stages[:3]).transform(rows).collect() for t in set(r["_terms"]))
+        count = {t: n for t, n in Counter(terms).items() if held[t] >= 2}
+        assert model.stages[3].vocabulary == sorted(count, key=lambda t: (-count[t], t))[:features]
+        whole = model.transform(df.withColumn("_text", text.combined(["text"])))
+        want = {r["id"]: (r["predicted_category"], list(r["_probability"])) for r in whole.collect()}
+        for r in ml.predict_category(model, df, ["text"], "none").collect():
+            name, chances = want[r["id"]]
+            blank = not r["text"].strip()
+            assert (r["predicted_category"], r["predicted_probability"]) == (("none", 0.0) if blank else (name, max(chances)))
+    kept, _ = ml._vocabulary(spark.createDataFrame([("a b a b",), ("a b",)], "_words string"), 2, 2), None
+    assert kept == ["a", "a b"]
+
+
+def test_wrong_predictions_run_the_model_once(spark):
+    df = spark.createDataFrame(TEXTS, "id int, text string, category string")
+    model, _ = ml.train_classifier(df, ["text"], iterations=3)
+    shuffled = df.withColumn("category", F.when(F.col("id") % 2 == 0, "ride").otherwise(F.col("category")))
+    wrong = ml.misclassified(model, shuffled, ["text"])
+    told = {r["id"]: r["predicted_category"] for r in ml.predict_category(model, shuffled, ["text"]).collect()}
+    labelled = ml.labelled_text(shuffled, ["text"], "category").select("id", "category").collect()
+    assert {r["id"] for r in wrong.collect()} == {r["id"] for r in labelled if told[r["id"]] != r["category"]}
+    plan = wrong._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"_one#\d+\)? AS|AS _one#|AS _words#", plan)) <= 2 and plan.count("AS _prediction#") == 1
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    each = dealt(rows, 100).groupBy(F.spark_partition_id()).count().collect()
+    assert len(each) == 10 and sum(r["count"] for r in each) == 1000 and max(r["count"] for r in each) <= 110
+    assert dealt(spark.range(800), 100).rdd.getNumPartitions() == spark.range(800).rdd.getNumPartitions()
+    assert dealt(rows.limit(0), 100).count() == 0

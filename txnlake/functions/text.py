@@ -97,7 +97,7 @@ def repaired(col: Column) -> Column:
 
 def combined(cols: Sequence[str]) -> Column:
     """Text columns joined by blanks, skipping NULL and blank ones."""
-    return F.trim(F.concat_ws(" ", *[F.when(blank_to_null(F.col(c)).isNotNull(), F.col(c)) for c in cols]))
+    return F.trim(F.concat_ws(" ", *[F.when(F.col(c).cast("string").rlike(r"(?U)\S"), F.col(c)) for c in cols]))
 
 
 def words(*cols: Column) -> Column:

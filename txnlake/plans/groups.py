@@ -54,6 +54,20 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int) -> DataFrame:
+    """The rows dealt out evenly, about ``rows`` to a task and to all cores, before work that is heavy per row.
+
+    How a scan is split says little: a row group lies in one task whole, and the other splits of its file are empty. Rows
+    are therefore counted by task (a scan without columns), and a table that lies evenly stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    by_task = df.groupBy(F.spark_partition_id().alias("_task")).agg(F.count("*").alias("_n"))
+    total, largest = by_task.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    if largest <= min(rows, max(2 * total // cores, rows // 100)):
+        return df
+    return df.repartition(max(cores, -(-total // rows)))
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     """Join condition on ``keys`` in which NULL equals NULL."""
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys], F.lit(True))
