@@ -63,16 +63,22 @@ def _(spark, sf):
     return readers.read_message_lines(spark, path).groupBy("text").agg(F.count("*").alias("n"))
 
 
+#: Messages of a JSON document, which a task reads whole.
+MESSAGES_PER_DOCUMENT = 20_000
+
+
 @query("s5_read_messages_json", "SELECT user_id AS first, count(*) AS n FROM (SELECT user_id, event_type FROM events) GROUP BY 1")
 def _(spark, sf):
-    """One JSON document per user in a file of its own partition."""
+    """JSON documents with the messages of many users each, one in a file, as many as the rows call for."""
     path = scratch(spark)
-    per_user = read(spark, sf, "events").groupBy("user_id").agg(
-        F.to_json(F.transform(F.collect_list("event_type"), lambda e: F.concat(F.col("user_id").cast("string"), F.lit(":"), e))).alias("value")
-    )
-    per_user.write.partitionBy("user_id").text(path)
-    found = readers.read_messages_json(spark, f"{path}/user_id=*")
-    return found.groupBy(F.substring_index("text", ":", 1).cast("long").alias("first")).agg(F.count("*").alias("n"))
+    events = read(spark, sf, "events")
+    message = F.concat(F.coalesce(F.col("user_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce("event_type", F.lit("")))
+    files = max(1, -(-events.count() // MESSAGES_PER_DOCUMENT))
+    dealt_out = events.select(message.alias("text")).repartition(files)
+    documents = dealt_out.groupBy(F.spark_partition_id().alias("document")).agg(F.to_json(F.collect_list("text")).alias("value"))
+    documents.write.partitionBy("document").text(path)
+    found = readers.read_messages_json(spark, f"{path}/document=*")
+    return found.groupBy(F.nullif(F.substring_index("text", ":", 1), F.lit("")).cast("long").alias("first")).agg(F.count("*").alias("n"))
 
 
 @query("s6_write_parquet", WITH_LEDGER + """SELECT id, strftime(cast(date AS date), '%Y-%m-%d') AS date, amount, account_type, 'a,' || account_type AS tags,
