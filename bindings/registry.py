@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txnlake.plans.groups import work_dir
+from txnlake.plans.groups import dealt, work_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,13 +103,13 @@ MESSAGE_LIST = [
 WITH_MESSAGES = f"WITH messages AS (SELECT {', '.join(MESSAGE_LIST)} FROM orders) "
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A scan with fewer splits than cores, dealt out to all cores before work that is heavy per row.
+#: Rows of a task where patterns run over short texts.
+MESSAGES_PER_TASK = 50_000
+
 
-    A table of any size has more splits than cores and stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame) -> DataFrame:
+    """A scan dealt out to all cores before work that is heavy per row."""
+    return dealt(df, MESSAGES_PER_TASK)
 
 
 def message_table(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,11 +75,29 @@ def java_pattern(pattern: str) -> str:
 
 def literal(pattern: str) -> str | None:
     """The text, in lower case, that a pattern of plain ASCII or caseless Arabic letters stands for; None for any other."""
-    if not re.fullmatch(r"(?:[A-Za-z0-9 _-]|[\u0621-\u064A]|\\[.-])+", pattern):
+    if not re.fullmatch(r"(?:[A-Za-z0-9 _-]|[\u0621-\u064A]|\\[.*-])+", pattern):
         return None
     return pattern.replace("\\", "").lower()
 
 
+def needed_words(pattern: str) -> list[str] | None:
+    """Words one of which is in every folded text that a pattern finds something in, as it begins or ends with a group of them.
+
+    None if the pattern has another form. Words hold no digits and marks, which may be written in several ways.
+    """
+    flat, last = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "x", pattern), None
+    while flat != last:
+        flat, last = re.sub(r"\([^()]*\)", "x", flat), flat
+    if "|" in flat:
+        return None
+    group = r"\((?:\?:)?([^()\[\]]+)\)"
+    for found in (re.match(group + r"(?![?*{])", pattern), re.search(r"(?<!\\)" + group + "$", pattern)):
+        words = [literal(w) for w in found[1].split("|")] if found else [None]
+        if all(w and not re.search(r"[\d.,]", w) for w in words):
+            return words
+    return None
+
+
 def valid_pattern(pattern: str) -> bool:
     """Whether the expression compiles where it will run: in the JVM."""
     compiler = SparkSession.active()._jvm.java.util.regex.Pattern

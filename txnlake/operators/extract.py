@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from txnlake.functions.fixed_values import (
     MESSAGE_DATE_FORMATS,
     RECORD_DATE_FORMATS,
 )
-from txnlake.functions.rules import java_pattern
+from txnlake.functions.rules import java_pattern, needed_words
 from txnlake.functions.templates import STOCK_TEMPLATES
 
 FIELDS = ("amount", "currency", "date", "payee", "transaction_type", "card_suffix")
@@ -99,25 +100,37 @@ def parse_messages(
     chosen = [t for t in templates if template_name is None or t["name"] == template_name]
     prepared = df.withColumn("_message", message)
     # Every distinct pattern runs once, into a column of its own, and only on messages that can
-    # match; cleaning the found text is a second step, so that nothing is looked for twice.
+    # match: that hold one of the words it needs. Cleaning the found text is a second step, so that nothing is looked for twice.
     specs = [(t.get("needs"), *spec) for t in chosen for spec in t["fields"].values()]
     slots = {str(s): (f"_f{i}", s) for i, s in enumerate({str(s): s for s in specs}.values())}
     tests = {need: f"_n{i}" for i, need in enumerate(sorted({s[0] for s in specs if s[0]}))}
+    patterns = dict.fromkeys([*[s[1] for s in specs], *(CARD_SUFFIX_PATTERNS if find_card else [])])
+    needed = {p: needed_words(p) for p in patterns}
+    words = {w: f"_w{i}" for i, w in enumerate(dict.fromkeys(w for ws in needed.values() for w in ws or []))}
     raw, clean = {}, {}
+
+    def where_it_can(pattern: str, found: Column) -> Column:
+        if needed[pattern] is None:
+            return found
+        return F.when(reduce(lambda a, b: a | b, [F.col(words[w]) for w in needed[pattern]]), found)
+
     for name, (need, *spec) in slots.values():
         numbers = _groups(spec)
         for g in numbers:
-            found = _found(F.col("_message"), spec[0], g)
+            found = where_it_can(spec[0], _found(F.col("_message"), spec[0], g))
             raw[f"{name}_{g}"] = F.when(F.col(tests[need]), found) if need else found
         clean[name] = _cleaned([F.col(f"{name}_{g}") for g in numbers])
     if find_card:
         prepared = prepared.withColumn("_digits", text.western_digits(F.col("_message")))
-        raw.update({f"_c{i}": _found(F.col("_digits"), p, 1) for i, p in enumerate(CARD_SUFFIX_PATTERNS)})
+        raw.update({f"_c{i}": where_it_can(p, _found(F.col("_digits"), p, 1)) for i, p in enumerate(CARD_SUFFIX_PATTERNS)})
         clean["_card"] = F.coalesce(*[F.nullif(F.col(f"_c{i}"), F.lit("")) for i in range(len(CARD_SUFFIX_PATTERNS))])
     else:
         clean["_card"] = F.lit(None).cast("string")
-    tested = prepared.withColumns({c: F.col("_message").rlike(need) for need, c in tests.items()}) if tests else prepared
-    prepared = tested.withColumns(raw).withColumns(clean).drop(*raw, *tests.values(), "_digits")
+    prepared = prepared.withColumn("_folded", text.folded(F.col("_message")))
+    able = {c: F.col("_message").rlike(need) for need, c in tests.items()}
+    able |= {c: F.contains("_folded", F.lit(w)) for w, c in words.items()}
+    tested = prepared.withColumns(able) if able else prepared
+    prepared = tested.withColumns(raw).withColumns(clean).drop(*raw, *able, "_digits", "_folded")
     options = []
     for template in chosen:
         found = {f: F.col(slots[str((template.get("needs"), *spec))][0]) for f, spec in template["fields"].items()}
