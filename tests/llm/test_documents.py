@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from txnlake.llm import dedup, graph, mixing, packing, planes, quality, secrets, sharding, tokens
+from txnlake.llm import common, dedup, graph, mixing, packing, planes, quality, secrets, sharding, tokens
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _row string, n int, key string, sig string, label int, _spans string, shard int, `a.b` string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -124,6 +124,33 @@ def test_one_of_each_keeps_rows_whole(odd, empty):
     assert dedup.one_of_each(empty).count() == 0
 
 
+def test_near_duplicates_send_no_growing_table_whole(spark, monkeypatch):
+    """Ids take little room in files and several times that in the driver, so small files are no reason to send a table."""
+    plans, written = [], dedup.durable
+
+    def seen(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df)
+
+    monkeypatch.setattr(dedup, "durable", seen)
+    monkeypatch.setattr(graph, "durable", seen)
+    monkeypatch.setattr(common, "SENT", -1, raising=False)
+    rows = near_copies(1)
+    docs = table(spark, [(*r, "en", "s") for r in rows])
+    want = dict(zip([r[0] for r in rows], brute_components(rows)))
+    assert {r["doc_id"]: r["component_id"] for r in seen(dedup.near_duplicates(docs)).collect()} == want
+    assert {r["doc_id"] for r in seen(dedup.one_of_each(docs)).collect()} == set(want.values())
+    assert len([p for p in plans if "SortMergeJoin" in p]) > 10 and any("FlatMapGroupsInPandas" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_few_rows_are_sent_and_others_merged(spark):
+    one, other = spark.range(10), spark.range(5)
+    plan = lambda rows: one.join(common.beside(other, rows), "id")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(common.SENT) and "SortMergeJoin" in plan(common.SENT + 1)
+
+
 def test_sketches_estimate_and_merge():
     r = np.random.default_rng(5)
     for share in (0.3, 0.8, 0.95):

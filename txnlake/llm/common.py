@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows that a side of a join has at most if it is sent to all tasks whole, by way of the driver.
+SENT = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +42,20 @@ def unit_hash(key: Column, seed: str) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(2**52))
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """``side`` of a join, to be sorted and merged whatever its size.
+
+    Left alone, Spark sends a side whole, by way of the driver, if its files are small. Ids take several times as much
+    there as in their files, so no side that grows with the input is left to that.
+    """
+    return side.hint("merge")
+
+
+def beside(side: DataFrame, rows: int) -> DataFrame:
+    """``side`` of a join, of ``rows`` rows at most: sent whole if these are few, else merged."""
+    return F.broadcast(side) if rows <= SENT else merged(side)
+
+
 def scratch_name() -> str:
     return uuid.uuid4().hex
 

@@ -16,6 +16,8 @@ documents agree with a probability near their similarity.
    share a band are estimated from their registers, and those near the threshold are verified on the full sets in
    the same task. Only links become rows. Blocks are made of classes that buckets connect, not of buckets, so
    that a pair that shares several bands is compared once.
+
+Every table here grows with the input, so joins are sorted and merged; only tables of few rows are sent whole.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnlake.llm.common import give_back, whole_row
+from txnlake.llm.common import beside, give_back, merged, whole_row
 from txnlake.llm.graph import components
 from txnlake.plans.groups import durable
 
@@ -160,7 +162,7 @@ def _both(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
     """``pairs`` (a, b) with ``columns`` of ``side`` (by cid) for both, named with _a and _b."""
     for end in ("a", "b"):
         named = side.select(F.col("cid").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-        pairs = pairs.join(named, end)
+        pairs = pairs.join(merged(named), end)
     return pairs
 
 
@@ -172,11 +174,12 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _sets(wanted: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """cid, rep and members (the full set) of the classes ``wanted`` (cid), made anew from their texts."""
-    ends = durable(classes.select("cid", "sig", "rep").join(wanted, "cid", "left_semi"))
-    members = docs.join(ends.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(
+    ends = durable(classes.select("cid", "sig", "rep").join(merged(wanted), "cid", "left_semi"))
+    reps = beside(ends.select(F.col("rep").alias("doc_id")).distinct(), ends.count())  # if few, no text is shuffled
+    members = docs.join(reps, "doc_id", "left_semi").mapInArrow(
         _sketcher(k, False), "doc_id long, mark long, n_shingles long, sig binary, members array<long>").filter("members is not null")
     # Repeated rows of an id may hold other sets; one row of each wanted set is enough.
-    return durable(members.select("sig", "members").join(ends, "sig").dropDuplicates(["cid"]).select("cid", "rep", "members"))
+    return durable(members.select("sig", "members").join(merged(ends), "sig").dropDuplicates(["cid"]).select("cid", "rep", "members"))
 
 
 def _verified(near: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -197,15 +200,15 @@ def _with_hubs(members: DataFrame, turn: int) -> DataFrame:
     hubs = members.groupBy(F.col("key").alias("of")).agg(
         F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("draw"), "cid", "label")).alias("hub"))
     hubs = hubs.select("of", F.col("hub.cid").alias("hub"), F.col("hub.label").alias("hub_label"))
-    paired = members.join(hubs, F.col("key") == F.col("of")).filter("label <> hub_label")
+    paired = members.join(merged(hubs), F.col("key") == F.col("of")).filter("label <> hub_label")
     return paired.select(*_ordered("cid", "hub")).distinct()
 
 
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows (key, cid, label) of ``shared`` (key, cid) in buckets with several labels; ``labels``: cid, label."""
-    placed = durable(shared.join(labels, "cid"))
+    placed = durable(shared.join(merged(labels), "cid"))
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    return durable(placed.join(mixed, "key", "left_semi"))
+    return durable(placed.join(merged(mixed), "key", "left_semi"))
 
 
 def _block_links(percent: int):
@@ -252,19 +255,19 @@ def _block_links(percent: int):
 def _links_within(members: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """All links (a, b) between different labels in the buckets of ``members`` (key, cid, label), as ids of classes."""
     firsts = members.groupBy(F.col("key").alias("of")).agg(F.min("cid").alias("a"))
-    ties = members.join(firsts, F.col("key") == F.col("of")).select("a", F.col("cid").alias("b"))
+    ties = members.join(merged(firsts), F.col("key") == F.col("of")).select("a", F.col("cid").alias("b"))
     families = components(ties.filter("a <> b").distinct()).select(F.col("node").alias("cid"), F.col("label").alias("family"))
-    placed = durable(members.select("cid", "label").distinct().join(families, "cid"))
+    placed = durable(members.select("cid", "label").distinct().join(merged(families), "cid"))
     sizes = placed.groupBy(F.col("family").alias("of")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     # Small families share blocks: members of different ones have no band in common, so this adds no pair.
     shared = max(1, math.ceil(placed.count() / BLOCK))
     bin_ = F.when(F.col("blocks") > 1, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(shared)))
-    spread = placed.join(sizes, F.col("family") == F.col("of")).select(
+    spread = placed.join(merged(sizes), F.col("family") == F.col("of")).select(
         "cid", "label", bin_.alias("bin"), F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     spread = spread.select("cid", "label", "bin", "block", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"))
     sets = _sets(placed.select("cid"), classes, docs, k)
-    fed = spread.join(classes.select("cid", "sketch"), "cid").join(sets, "cid")
+    fed = spread.join(merged(classes.select("cid", "sketch")), "cid").join(merged(sets), "cid")
     return durable(fed.groupBy("bin", "i", "j").applyInPandas(_block_links(percent), "a long, b long"))
 
 
@@ -289,13 +292,13 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
 
     banded = classes.select("cid", F.explode(F.array(*[key(b) for b in range(BANDS)])).alias("key"))
     several = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    shared = durable(banded.join(several, "key", "left_semi"))
-    open_rows = shared.join(classes.select("cid", F.col("rep").alias("label")), "cid")
+    shared = durable(banded.join(merged(several), "key", "left_semi"))
+    open_rows = shared.join(merged(classes.select("cid", F.col("rep").alias("label"))), "cid")
     tried = links = labels = None
     for turn in range(ROUNDS + 1):
         if turn < ROUNDS:
             pairs = _with_hubs(open_rows, turn)
-            pairs = durable(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+            pairs = durable(pairs if tried is None else pairs.join(merged(tried), ["a", "b"], "left_anti"))
             tried = pairs if tried is None else tried.union(pairs)
             fresh = _verified(_estimated(pairs, classes, percent), classes, docs, k, percent)
         else:
@@ -304,13 +307,13 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
         if labels is None or not fresh.isEmpty():
             labels = components(links)
             if turn < ROUNDS:
-                known = classes.select("cid", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+                known = classes.select("cid", "rep").join(merged(labels.withColumnRenamed("node", "rep")), "rep", "left")
                 open_rows = _open(shared, known.select("cid", F.coalesce("label", "rep").alias("label")))
         if open_rows.isEmpty():
             break
 
-    found = classes.select("sig", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("sig", F.coalesce("label", "rep").alias("label"))
-    out = rows.select("doc_id", "mark", "n_shingles", "sig").join(found, "sig", "left")
+    found = classes.select("sig", "rep").join(merged(labels.withColumnRenamed("node", "rep")), "rep", "left").select("sig", F.coalesce("label", "rep").alias("label"))
+    out = rows.select("doc_id", "mark", "n_shingles", "sig").join(merged(found), "sig", "left")
     part = F.col("doc_id").isNotNull()
     component = F.when(part, F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "mark", "n_shingles", component.alias("component_id")).withColumn(
@@ -326,7 +329,7 @@ def one_of_each(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
     kept = near_duplicates(docs, k, percent).filter("kept and doc_id is not null")
     kept = kept.groupBy("doc_id").agg(F.min(F.struct("mark")).alias("first"), F.count(F.lit(1)).alias("n"))
     kept = durable(kept.select(F.col("doc_id").alias("kept_id"), F.col("first.mark").alias("kept_mark"), "n"))
-    found = rows.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")))
+    found = rows.join(merged(kept), (F.col("id") == F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")))
     once = found.filter("n = 1").select("_row.*")
     one = found.filter("n > 1").groupBy("id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
     return once.unionByName(one.select("_row.*")).unionByName(rows.filter("id is null").select("_row.*"))
